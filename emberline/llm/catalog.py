@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from emberline.llm.simhash import op2_simhash_near_dedup
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {"op2_simhash_near_dedup": op2_simhash_near_dedup, "op7_exact_dedup": op7_exact_dedup}
 
 
 def llm_oracle_sql() -> dict[str, str]:
