@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from emberline.llm.licenses import op9_license_scan
 from emberline.llm.mixing import op4_pivotal_mixing
 from emberline.llm.packing import op5_best_fit_packing
 from emberline.llm.simhash import op2_simhash_near_dedup
@@ -20,6 +21,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
+        "op9_license_scan": op9_license_scan,
     }
 
 

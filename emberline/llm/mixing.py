@@ -73,20 +73,20 @@ def pivot_block(items: Column, place: list[Column], last: bool) -> Column:
         chance = F.pmod(F.xxhash64(F.lit(SEED), *place, F.size(acc)), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
         def trade(b: Column) -> Column:
-            up, down = F.least(b["A"] - b["a"], b["b"]), F.least(b["a"], b["B"] - b["b"])
-            return F.struct(b["a"].alias("a"), b["A"].alias("A"), b["b"].alias("b"), b["B"].alias("B"), F.when(chance * (up + down) < down, up).otherwise(-down).alias("move"))
+            up, down = F.least(b["cap1"] - b["mass1"], b["mass2"]), F.least(b["mass1"], b["cap2"] - b["mass2"])
+            return F.struct(*[b[c].alias(c) for c in ("mass1", "cap1", "mass2", "cap2")], F.when(chance * (up + down) < down, up).otherwise(-down).alias("move"))
 
         def parted(t: Column) -> Column:
-            a, b = t["a"] + t["move"], t["b"] - t["move"]
-            a_done = (a <= t["A"] * NEAR) | (a >= t["A"] * (1 - NEAR))
-            b_done = (b <= t["B"] * NEAR) | (b >= t["B"] * (1 - NEAR))
-            own = settled(cur, a, F.when(a_done, F.round(a / t["A"])))
-            new = settled(x, b, F.when(b_done, F.round(b / t["B"])))
+            a, b = t["mass1"] + t["move"], t["mass2"] - t["move"]
+            a_done = (a <= t["cap1"] * NEAR) | (a >= t["cap1"] * (1 - NEAR))
+            b_done = (b <= t["cap2"] * NEAR) | (b >= t["cap2"] * (1 - NEAR))
+            own = settled(cur, a, F.when(a_done, F.round(a / t["cap1"])))
+            new = settled(x, b, F.when(b_done, F.round(b / t["cap2"])))
             rest = F.slice(acc, 1, F.size(acc) - 1)
             # the fractional one, if any, stands last
             return F.when(b_done & ~a_done, F.concat(rest, F.array(new, own))).otherwise(F.concat(rest, F.array(own, new)))
 
-        start = F.struct(cur["mass"].alias("a"), cur["cap"].alias("A"), x["mass"].alias("b"), x["cap"].alias("B"))
+        start = F.struct(cur["mass"].alias("mass1"), cur["cap"].alias("cap1"), x["mass"].alias("mass2"), x["cap"].alias("cap2"))
         joined = _let(start, lambda b: _let(trade(b), parted))
         return F.when((F.size(acc) == 0) | cur["copies"].isNotNull(), F.concat(acc, F.array(settled(x, x["mass"], F.lit(None))))).otherwise(joined)
 
