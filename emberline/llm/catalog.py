@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.llm.chat_format import OP3_SQL, op3_chat_format
 from emberline.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from emberline.llm.licenses import op9_license_scan
 from emberline.llm.mixing import op4_pivotal_mixing
 from emberline.llm.packing import op5_best_fit_packing
 from emberline.llm.simhash import op2_simhash_near_dedup
+from emberline.llm.tiff import op1_tiff_media
 from emberline.llm.toxicity import op8_toxicity
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_tiff_media": op1_tiff_media,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_chat_format": op3_chat_format,
         "op4_pivotal_mixing": op4_pivotal_mixing,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
@@ -26,4 +30,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op3_chat_format": OP3_SQL, "op7_exact_dedup": OP7_SQL}
