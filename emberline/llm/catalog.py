@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm.chat_format import OP3_SQL, op3_chat_format
 from emberline.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from emberline.llm.language import op6_language_id
 from emberline.llm.licenses import op9_license_scan
 from emberline.llm.mixing import op4_pivotal_mixing
 from emberline.llm.packing import op5_best_fit_packing
 from emberline.llm.simhash import op2_simhash_near_dedup
+from emberline.llm.substring_dedup import op10_substring_dedup
 from emberline.llm.tiff import op1_tiff_media
 from emberline.llm.toxicity import op8_toxicity
 
@@ -23,9 +25,11 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_format": op3_chat_format,
         "op4_pivotal_mixing": op4_pivotal_mixing,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_language_id": op6_language_id,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 

@@ -300,9 +300,9 @@ def read_tiff(data: bytes | None) -> list[dict]:
                 page |= {"width": w, "height": h, "channels": c, "bits": 8 * pixels.itemsize, "compression": e.get("compression", [NONE])[0], "predictor": e.get("predictor", [1])[0]}
                 page |= {"samples": pixels.tobytes(), "look": look_of(pixels) if pixels.size else ""}
             except (ValueError, KeyError, IndexError, struct.error, zlib.error) as why:
-                page["error"] = f"{type(why).__name__}: {why}"
+                page["error"] = f"unreadable page: {why}"
     except (ValueError, struct.error) as why:
-        pages.append({f.name: None for f in PAGE} | {"page": len(pages), "error": f"{type(why).__name__}: {why}"})
+        pages.append({f.name: None for f in PAGE} | {"page": len(pages), "error": f"unreadable file: {why}"})
     return pages
 
 
