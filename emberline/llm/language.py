@@ -32,6 +32,8 @@ from emberline.llm.shared import table
 
 UNKNOWN = "und"
 TRAIN_BYTES, TRAIN_ROWS, ROW_BYTES = 24_000, 64, 96_000
+#: Languages that are told apart, those with the most labelled rows; one takes about 9 MB of a worker's memory.
+MAX_LANGUAGES = 64
 BLOCK = 2048
 #: Classes of bytes: 0 for bytes that no training text has, 1 for all that separates words, the rest a byte each.
 CLASSES = 64
@@ -174,6 +176,7 @@ def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 40))
     counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    counts = counts.orderBy(F.col("_n").desc(), "_lang").limit(MAX_LANGUAGES)
     near = F.least(F.lit(4.0 * TRAIN_ROWS) / F.col("_n"), F.lit(1.0)) * F.lit(float(1 << 40))
     few = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where((place < near) & (F.octet_length(text_col) <= ROW_BYTES))
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_place", "_text"))
