@@ -109,7 +109,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", rul
     own = F.array_intersect(F.split(F.col("_line"), " "), F.lit(keywords))
     tried = F.filter(rules_literal(every), lambda r: F.array_contains(F.col("_own"), r["keyword"]))
     found = F.flatten(F.transform(F.col("_rules"), lambda r: rule_spans(F.col("_line"), r)))
-    none = F.filter(found, lambda s: F.lit(False))
+    none = F.array().cast("array<struct<start:int,end:int,priority:int,rank:int,label:string,score:double>>")
     spanned = gated.withColumn("_own", own).withColumn("_rules", F.when(F.size("_own") > 0, tried)).withColumn("_all", F.when(F.size("_rules") > 0, found))
     base = F.filter(F.col("_all"), lambda s: s["rank"] < len(BASE_RULES))
     n_words = F.when(F.col("_line").isNotNull(), F.greatest(spaces(F.col("_line")) - 1, F.lit(0))).otherwise(F.regexp_count(text, F.lit(WORD)))

@@ -7,7 +7,7 @@ The labels at hand tell toxic from clean only. Grades of the toxic training rows
 lean strongly to the toxic rows: at or above the median of the toxic rows is the top grade, under it the one below.
 
 The classifier is fitted on at most MAX_TRAIN labelled rows, those whose ids have the smallest hashes; its features
-are at most MAX_FEATURES words that tell the two classes apart. It is applied to every row and whole text.
+are at most MAX_FEATURES words and beginnings of words that tell the two classes apart. It is applied to every row and whole text.
 
 Defined results: a null or empty text has no features and gets the severity of the thresholds alone, below the
 cut; rows repeat as they are; without labels of both classes every severity is 0 and nothing is toxic; labels that
@@ -38,20 +38,52 @@ MIN_ROWS, MIN_Z = 4, 4.0
 #: Toxic if P(grade >= 1) is above this.
 CUT = 0.5
 
+#: Lengths of word beginnings that are features beside whole words; inflected and compound words share them.
+BEGINNINGS = (4, 5, 6, 7)
+#: Words whose features a worker remembers.
+MEMORY = 200_000
+
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def word_features(word: str) -> list[str]:
+    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
+
+
+def text_features(text: str | None) -> Counter:
+    """Counts of the words of a text and of their beginnings."""
+    counts: Counter = Counter()
+    for word, n in Counter(WORD.findall((text or "").lower())).items():
+        for f in word_features(word):
+            counts[f] += n
+    return counts
+
+
+class KnownFeatures(dict):
+    """Features of a word that have a weight, worked out when first asked for."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= MEMORY:
+            self.clear()
+        out = self[word] = tuple(f for f in word_features(word) if f in self.weights)
+        return out
+
+
 @dataclass
 class OrdinalModel:
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
 
-    def at_least(self, text: str | None) -> list[float]:
+    def at_least(self, text: str | None, known: KnownFeatures | None = None) -> list[float]:
         """P(grade >= k) for k = 1, 2, ..."""
         if not self.thresholds:
             return [0.0] * (GRADES - 1)
-        seen = Counter(w for w in WORD.findall((text or "").lower()) if w in self.weights)
-        z = sum(self.weights[w] * math.log1p(n) for w, n in sorted(seen.items()))
+        known = KnownFeatures(self.weights) if known is None else known
+        counts = Counter(f for w in WORD.findall((text or "").lower()) for f in known[w])
+        z = sum(self.weights[f] * math.log1p(n) for f, n in sorted(counts.items()))
         return [1 / (1 + math.exp(-max(-60.0, min(60.0, z - t)))) for t in self.thresholds]
 
 
@@ -103,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [Counter(WORD.findall((t.as_py() or "").lower())) for t in batch.column("text")]
+            counts = [text_features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
                 ["toxic", "words", "counts"],
@@ -147,7 +179,8 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
 
     @F.pandas_udf("array<double>")
     def graded(text: pd.Series) -> pd.Series:
-        return text.map(model.at_least)
+        known = KnownFeatures(model.weights)
+        return text.map(lambda t: model.at_least(t, known))
 
     p = F.col("_at_least")
     parts = F.struct(
