@@ -87,7 +87,7 @@ class OrdinalModel:
         return [1 / (1 + math.exp(-max(-60.0, min(60.0, z - t)))) for t in self.thresholds]
 
 
-def fit_cumulative_link(rows: list[dict[int, float]], grades: np.ndarray, n_features: int, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: list[dict[int, float]], grades: np.ndarray, n_features: int, l2: float = 0.2, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that make the penalised log-likelihood of the grades largest (Adam on the full batch)."""
     k = int(grades.max())
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
