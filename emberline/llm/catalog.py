@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from emberline.llm.chat_format import OP3_SQL, op3_chat_format
 from emberline.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from emberline.llm.language import op6_language_id
@@ -30,6 +31,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
