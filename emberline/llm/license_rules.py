@@ -227,7 +227,7 @@ FAMILIES: list[tuple[str, str, dict[str, list[str]]]] = [
     ("RPL-1.5", "reciprocal", {"name": [rf"reciprocal public license(?: {V}1 5)?"]}),
     ("NASA-1.3", "nasa", {"name": [rf"nasa open source agreement(?: {V}1 3)?"]}),
     ("Blue-Oak-1.0.0", "oak", {"name": [r"blue oak model license(?: 1 0 0)?"]}),
-    ("OpenRAIL", "openrail", {"name": [r"(?:creativeml )?openrail(?: m| \+\+)?(?: license)?"]}),
+    ("OpenRAIL", "openrail", {"name": [r"(?:creativeml )?openrail(?: m)?(?: license)?"]}),
     ("Llama-Community", "llama", {"name": [r"llama(?: \d(?: \d)?)? community license(?: agreement)?"]}),
     ("Proprietary", "reserved", {"grant": [r"all rights reserved"]}),
     ("Proprietary", "proprietary", {"name": [r"proprietary (?:and confidential|licen[sc]e|software)"]}),

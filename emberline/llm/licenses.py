@@ -14,6 +14,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,13 +67,9 @@ def rule_spans(line: Column, rule: Column) -> Column:
 
 
 def rules_literal(rules: list[Rule]) -> Column:
-    rows = [
-        F.struct(
-            F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.score).alias("score")
-        )
-        for k, r in enumerate(rules)
-    ]
-    return F.array(*rows)
+    rows = [r._asdict() | {"rank": k} for k, r in enumerate(rules)]
+    shape = "array<struct<keyword:string,pattern:string,priority:int,rank:int,label:string,score:double>>"
+    return F.from_json(F.lit(json.dumps(rows)), F.lit(shape))
 
 
 def surviving(spans: Column) -> Column:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import drop_staged, stage, table
+from emberline.llm.shared import stage, table
 
 CAPACITY = 2048
-#: A bin with at most so many free tokens is nearly full.
-SLACK = 8
+#: A bin with at most this part of its room free is nearly full.
+SLACK = 1 / 256
 #: Pieces that a partition packs at least, as far as there are so many, and partitions whose rests meet in one.
 PER_TASK, FAN_IN = 50_000, 8
 #: Words whose ids a worker remembers.
@@ -56,7 +57,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        out = self[word] = np.array(self.ids(word), "<u4").tobytes()
+        ids = self.ids(word)
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
@@ -165,7 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK)
                 return
             rows = pa.Table.from_batches(held).combine_chunks()
             bins, offsets, room = best_fit(rows.column("length").to_numpy(), capacity)
-            done = np.ones(len(bins), bool) if last else room[bins] <= SLACK
+            done = np.ones(len(bins), bool) if last else room[bins] <= int(capacity * SLACK)
             seq = (np.int64(number) << 56) + (np.int64(TaskContext.get().partitionId()) << 32) + bins
             out = [*rows.columns, pa.array(seq, pa.int64(), mask=~done), pa.array(np.where(done, offsets, 0), pa.int64())]
             yield from pa.Table.from_arrays(out, [*names, "sequence_id", "offset"]).to_batches(max_chunksize=10_000)

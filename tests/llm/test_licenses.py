@@ -1,0 +1,58 @@
+import re
+
+from helpers import AWKWARD, documents, write_tables
+
+from emberline.llm import licenses as N
+from emberline.llm.license_rules import BASE_RULES, GATE, signature_rules
+
+TEXTS = [
+    "Released under the MIT License.", "MIT\nLICENSE mit license, The MIT-License!", "Licensed under the Apache License, Version 2.0 and the GNU General Public License v3 or later.",
+    "SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under CC BY-NC-SA 4.0.", "no licence here, limit license", "general public license general public license mit license apache license",
+    "see https://opensource.org/licenses/MIT", "Redistribution and use in source and binary forms, with or without modification, are permitted. All rights reserved. Copyright (c) 2019 Some One",
+    "GNU Lesser General Public License v2.1", "éMIT license", "MITé license", "mit licensé", "dedicated to the public domain", "clean text about permits and limits", "this is the BSD 3-Clause License for all",
+]
+
+
+def brute(text):
+    words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    out = {"n_words": len(words)}
+    places = [(k, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    out |= {"n_base": len(places), "first": min((k for k, _ in places), default=None), "last": max((k for k, _ in places), default=None), "base": ",".join(sorted({b for _, b in places}))}
+    spans = []
+    line = " " + " ".join([*words, ""]) if words else " "
+    if re.search(GATE, text or ""):
+        for rank, rule in enumerate([*BASE_RULES, *signature_rules()]):
+            if rule.keyword in words:
+                for m in re.finditer(rule.pattern, line):
+                    start = line[: m.start()].count(" ")
+                    spans.append((start, start + m[0].count(" ") - 1, rule.priority, rank, rule.label, rule.score))
+    beats = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and (e[:2] != d[:2] or e[3] < d[3]))
+    kept = [d for d in spans if not any(beats(e, d) for e in spans)]
+    out |= {"labels": ",".join(sorted({b for _, b in places} | {d[4] for d in kept})), "score": max((d[5] for d in kept), default=0.0)}
+    return out
+
+
+def test_rules_are_many_sound_and_short():
+    rules = signature_rules()
+    assert len(rules) >= 400 and len({(r.pattern, r.label) for r in rules}) == len(rules)
+    for r in rules:
+        re.compile(r.pattern)
+        assert r.keyword == r.keyword.lower() and 0 < r.score <= 1
+        assert not re.search(r"[*+](?!\))", re.sub(r"\{\d+,\d+\}|\\S\+", "", r.pattern)), r.pattern
+
+
+def test_matches_brute_force(spark, tmp_path):
+    rows = [(r[0], r[1]) for r in AWKWARD] + [(100 + k, t) for k, t in enumerate(TEXTS)] + [(200, " filler ".join(TEXTS)), (201, ("mit license x " * 700) + "word " * 2000 + TEXTS[2])]
+    sf = write_tables(spark, tmp_path, documents=documents(spark, rows).withColumn("licenses", N.F.lit("clash")))
+    got = N.op9_license_scan(spark, sf).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t in rows}
+    for r in got:
+        b = brute(texts[r.doc_id])
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == tuple(b.values()), (texts[r.doc_id] or "")[:80]
+
+
+def test_empty_table_and_suppression(spark):
+    assert N.scan(documents(spark, [])).count() == 0
+    spans = N.scan(documents(spark, [(1, TEXTS[2])])).select("licenses.spans").first()[0]
+    assert {s.label for s in spans} == {"Apache-2.0", "GPL-3.0-or-later"}

@@ -65,8 +65,8 @@ def test_rounds_of_the_tree(spark, kind):
     rows = P.pack(pieces, capacity=100, per_task=200).collect()
     assert sorted(r.id for r in rows) == list(range(3000))
     n = check_sequences(rows, 100)
-    least = -(-sum(lengths) // 100) if kind == "mixed" else 3000
-    assert n <= least * 1.02
+    in_one_go = len(P.best_fit(np.array(lengths), 100)[2])
+    assert n <= in_one_go * 1.01
 
 
 def test_best_fit_offsets():

@@ -1,0 +1,68 @@
+import hashlib
+import zlib
+
+import numpy as np
+import pytest
+from helpers import AWKWARD, documents, write_tables
+
+from emberline.llm import tiff as M
+
+rng = np.random.default_rng(0)
+
+
+@pytest.mark.parametrize("codec", list(M.ENCODERS))
+def test_codecs_round_trip(codec):
+    for n in (0, 1, 2, 129, 5000, 30000):
+        for data in (rng.integers(0, 256, n, dtype=np.uint8).tobytes(), rng.integers(0, 3, n, dtype=np.uint8).tobytes(), b"a" * n):
+            assert M.DECODERS[codec](M.ENCODERS[codec](data)) == data
+
+
+def test_known_streams():
+    assert M.packbits_decode(bytes.fromhex("fe aa 02 80 00 2a fd aa 03 80 00 2a 22 f7 aa".replace(" ", ""))) == bytes.fromhex("aaaaaa80002aaaaaaaaa80002a22aaaaaaaaaaaaaaaaaaaa")
+    # Clear, 7, 258, 8, 8, 258, 6, 6, end: the worked example of the TIFF 6.0 specification
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert M.lzw_decode(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+def test_pages_round_trip(order, kind):
+    pixels = rng.integers(0, 200, (37, 45, 3)).astype(kind)
+    small = np.ascontiguousarray(pixels[:5, :7, :1])
+    for codec in M.ENCODERS:
+        for predictor in (1, 2):
+            for tile in (None, (16, 16), (32, 16)):
+                file = M.write_tiff([M.write_page(pixels, codec, predictor, tile, 10, order), M.write_page(small, codec, predictor, tile, 3, order)], order)
+                pages = M.read_tiff(file)
+                assert [p["samples"] for p in pages] == [pixels.tobytes(), small.tobytes()]
+                assert [(p["width"], p["height"], p["channels"], p["error"]) for p in pages] == [(45, 37, 3, None), (7, 5, 1, None)]
+
+
+def test_one_row_per_page_and_broken_files(spark):
+    page = M.write_page(np.zeros((4, 4, 1), np.uint8), M.LZW)
+    two = M.write_tiff([page, page])
+    loop = bytearray(M.write_tiff([page]))
+    loop[-4:] = loop[4:8]
+    rows = [(1, two, "x"), (2, None, "x"), (3, b"", "x"), (4, b"junk", "x"), (5, two[:40], "x"), (6, bytes(loop), "x"), (7, two, None), (7, two, None)]
+    df = spark.createDataFrame(rows, "page long, media binary, samples string")
+    got = M.read_pages(df, "media", "found").collect()
+    assert {k: sum(r.page == k for r in got) for k in range(1, 8)} == {1: 2, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, 7: 4}
+    assert all((r.found.error is None) == (r.page in (1, 6, 7)) for r in got)
+    assert M.read_pages(df.limit(0), "media").count() == 0
+
+
+def test_query_reads_back_every_payload(spark, tmp_path):
+    rows = [(r[0], r[1]) for r in AWKWARD] + [(100 + k, "ä" * k) for k in range(0, 400, 37)]
+    sf = write_tables(spark, tmp_path, documents=documents(spark, rows))
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, t)
+    got = M.op1_tiff_media(spark, sf).collect()
+    assert len(got) == len(rows) and {r.n_pages for r in got} != {1}
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert r.media_sha256 == hashlib.sha256(M.text_to_tiff(texts[r.doc_id])).hexdigest() and r.media_bytes == len(M.text_to_tiff(texts[r.doc_id])) and r.feature
