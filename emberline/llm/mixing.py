@@ -4,8 +4,10 @@ A source's target over its size is the copy rate of its documents: so many whole
 copy probability, the same for all of the source. Documents are dealt by hash into blocks of about BLOCK. In a block,
 pairs of fractional documents trade expected words, at random and without bias, until one of the two is integral; the
 fractional one meets the next document. Every block leaves at most one fractional document, which goes on to the next
-level of the tree, where FAN_IN blocks meet. Words are kept exactly at each trade, so a source misses its target by
-what its very last document is rounded by, at most half its words.
+level of the tree, where FAN_IN blocks meet. Words are kept exactly at each trade, so a source misses its target only
+by what its very last document is rounded by, at most half its words. That miss is then handed on, up to EXCHANGES
+times, to the one document of the source whose size comes nearest to it and which can give or take a copy, so that
+sources of a few documents come near their targets too.
 
 Defined results: a null text has size 0, is its source's like any other and takes nothing; null is a source of its
 own, ordered last; where all sizes are 0 all targets are 0; rows that repeat are documents of their own; equal rows
@@ -23,7 +25,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order, repeating; what they share, as a part of all sizes; the most copies of a source.
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
-BLOCK, FAN_IN = 128, 64
+BLOCK, FAN_IN, EXCHANGES = 128, 64, 4
 SEED = 20240229
 #: A mass this near to none or all of a document is integral.
 NEAR = 1e-9
@@ -97,39 +99,60 @@ def pivot_block(items: Column, place: list[Column], last: bool) -> Column:
     return F.transform(done, lambda x: settled(x, x["mass"], F.coalesce(x["copies"], F.round(x["mass"] / x["cap"]).cast("int"))))
 
 
+def exchange_misses(taken: DataFrame, misses: DataFrame, total: int) -> DataFrame:
+    """taken (nth, source, size, h, extra and others) after the misses (source, rows, miss: words short) were handed on."""
+    for _ in range(EXCHANGES):
+        met = join_splitting_hot(taken.where("size > 0"), misses, ["source"], "rows", total)
+        able = ((F.col("miss") > 0) & (F.col("extra") == 0)) | ((F.col("miss") < 0) & (F.col("extra") == 1))
+        off = F.abs(F.col("size") - F.abs("miss"))
+        best = met.where(able & (off < F.abs("miss"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "h", "nth", "size", F.signum("miss").alias("way"))).alias("best"))
+        best = stage(best.select("source", "best.nth", "best.size", "best.way"))
+        if best.isEmpty():
+            break
+        turned = best.select(F.col("nth").alias("_nth"), F.col("way").cast("int").alias("_way"))
+        taken = stage(taken.join(turned, F.col("nth") == F.col("_nth"), "left").withColumn("extra", F.col("extra") + F.coalesce("_way", F.lit(0))).select(*taken.columns))
+        left = F.col("miss") - F.coalesce(F.col("_size") * F.col("_way"), F.lit(0.0))
+        met = misses.join(best.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("way").alias("_way")), F.col("source").eqNullSafe(F.col("_source")), "left")
+        misses = stage(met.select("source", "rows", left.alias("miss")))
+    return taken
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target and copies (0, 1 or 2)."""
-    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))
+    h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(SEED))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h"))
+    sized = stage(sized.withColumn("nth", F.monotonically_increasing_id()))
     sources = stage(source_targets(sized))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.when(rate >= MOST, F.lit(int(MOST))).otherwise(F.floor(rate + NEAR).cast("int"))
-    sources_with = sources.withColumn("base", base).withColumn("part", F.greatest(rate - F.col("base"), F.lit(0.0)))
-    sources_with = sources_with.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("rows", F.col("n"))
-    sources_with = sources_with.select("source", "rows", "base", "part", "blocks")
-    spread = sources.agg(F.max("n"), F.sum("n")).first()
-    rows = join_splitting_hot(sized, sources_with, ["source"], "rows", spread[1] or 0)
+    dealt = sources.withColumn("base", base).withColumn("part", F.greatest(rate - F.col("base"), F.lit(0.0)))
+    dealt = dealt.select("source", F.col("n").alias("rows"), "base", "part", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    most, total = sources.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = join_splitting_hot(sized, dealt, ["source"], "rows", total)
     whole = (F.col("part") <= NEAR) | (F.col("size") == 0)
-    h = F.xxhash64("id", F.lit(SEED))
-    row = F.struct("id", "source", "size", "base")
-    fixed = rows.where(whole).select("id", "source", "size", "base", F.lit(0).alias("extra"))
-    open_ = rows.where(~whole).select(
-        "source", F.pmod(h, F.col("blocks")).alias("block"), F.struct(h.alias("h"), row.alias("row"), F.col("size").cast("double").alias("cap"), (F.col("size") * F.col("part")).alias("mass")).alias("item")
-    )
-    blocks, level, parts = -(-(spread[0] or 0) // BLOCK), 0, [fixed]
+    row = F.struct("id", "size", "nth", "base")
+    fixed = rows.where(whole).select("id", "size", "nth", "base", "source", "h", F.lit(0).alias("extra"))
+    item = F.struct("h", row.alias("row"), F.col("size").cast("double").alias("cap"), (F.col("size") * F.col("part")).alias("mass"))
+    open_ = rows.where(~whole).select("source", F.pmod("h", F.col("blocks")).alias("block"), item.alias("item"))
+    blocks, level, parts = -(-most // BLOCK), 0, []
     while True:
         last = blocks <= 1
         grouped = open_.groupBy("source", "block").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        settled = grouped.select("source", "block", F.inline(pivot_block(F.col("items"), [F.col("source"), F.col("block"), F.lit(level)], last)))
-        settled = stage(settled)
-        parts.append(settled.where("copies is not null").select("row.*", F.col("copies").alias("extra")))
+        settled = stage(grouped.select("source", "block", F.inline(pivot_block(F.col("items"), [F.col("source"), F.col("block"), F.lit(level)], last))))
+        parts.append(settled.where("copies is not null").select("row.*", "source", "h", F.col("copies").alias("extra")))
         if last:
             break
         open_ = settled.where("copies is null").select("source", F.expr(f"block div {FAN_IN}").alias("block"), F.struct("h", "row", "cap", "mass").alias("item"))
         blocks, level = -(-blocks // FAN_IN), level + 1
+    misses = settled.groupBy("source").agg(F.sum(F.col("mass") - F.col("copies") * F.col("cap")).alias("miss"))
+    misses = misses.select(F.col("source").alias("_source"), "miss").where(F.abs("miss") >= 1)
+    misses = stage(misses.join(dealt.select("source", "rows"), F.col("_source").eqNullSafe(F.col("source"))).select("source", "rows", "miss"))
     taken = parts[0]
     for more in parts[1:]:
         taken = taken.unionByName(more)
-    out = join_splitting_hot(taken, sources.withColumn("rows", F.col("n")).select("source", "rows", "source_size", "target"), ["source"], "rows", spread[1] or 0)
+    taken = exchange_misses(stage(taken), misses, total).unionByName(fixed)
+    named = sources.select("source", F.col("n").alias("rows"), "source_size", "target")
+    out = join_splitting_hot(taken, named, ["source"], "rows", total)
     return out.select("id", "source", "size", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"))
 
 
