@@ -43,7 +43,7 @@ def test_targets_sums_and_copies(spark, tmp_path):
         assert r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[s] += r.taken
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 3  # the smallest documents have 3 words
+        assert abs(taken[s] - target[s]) <= 0.002 * target[s] + 3
     again = {(r.doc_id, r.taken) for r in M.op4_pivotal_mixing(spark, sf).repartition(3).collect()}
     assert again == {(r.doc_id, r.taken) for r in got}
 
