@@ -12,38 +12,58 @@ from emberline.functions.numbers import both_zeroed
 
 #: Sums of weights are exact in this type, whatever order Spark adds in.
 EXACT = "decimal(28,6)"
+#: Sequence numbers of a machine that one block of the ledger spans, and seconds of one stretch of as-of lookups.
+BLOCK_ENTRIES, BLOCK_SECONDS = 1 << 20, 7 * 86_400
 CURRENT, POINT, RANGE = "current", "point", "range"
 
 
-def weight_history(operations: DataFrame, machines: DataFrame) -> DataFrame:
+def weight_history(operations: DataFrame, machines: DataFrame, block: int = BLOCK_ENTRIES) -> DataFrame:
     """machine, seq, ts, weight: the level after each load, dispense or reset.
 
     A reset starts a new segment, in which the level is a running sum; the first segment starts from the machine's
-    initial weight. Segment and sum share one shuffle and sort by machine.
+    initial weight. A machine's entries are dealt out in blocks of `block` sequence numbers, so that one busy machine
+    is not one task: levels are summed within blocks, and a table with one row for each block carries levels across.
     """
-    in_order = Window.partitionBy("machine").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    in_segment = Window.partitionBy("machine", "_segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    by_block = Window.partitionBy("machine", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    by_segment = Window.partitionBy("machine", "_block", "_segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     amount = F.col("amount").cast(EXACT)
-    change = F.when(F.col("op") == "dispense", -amount).otherwise(amount)
-    known = operations.join(machines.select("machine", F.col("initial").cast(EXACT).alias("_initial")), "machine", "left")
-    level = F.sum("_change").over(in_segment) + F.when(F.col("_segment") == 0, F.coalesce("_initial", F.lit(0).cast(EXACT))).otherwise(F.lit(0).cast(EXACT))
-    segments = known.withColumn("_change", change).withColumn("_segment", F.sum(F.when(F.col("op") == "reset", 1).otherwise(0)).over(in_order))
-    return segments.select("machine", "seq", "ts", level.cast("double").alias("weight"))
-
-
-def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: str = "at", out: str = "weight") -> DataFrame:
+    entries = operations.select("machine", "seq", "ts", F.expr(f"seq div {block}").alias("_block"), (F.col("op") == "reset").cast("int").alias("_reset"), F.when(F.col("op") == "dispense", -amount).otherwise(amount).alias("_change"))
+    within = entries.withColumn("_segment", F.sum("_reset").over(by_block)).withColumn("_level", F.sum("_change").over(by_segment))
+    ends = within.groupBy("machine", "_block").agg(F.max("_segment").alias("_resets"), F.max_by("_level", "seq").alias("_end"))
+    # a block with a reset sets the level like a reset, any other adds to it
+    before = Window.partitionBy("machine").orderBy("_block")
+    ends = ends.join(machines.select("machine", F.col("initial").cast(EXACT).alias("_initial")), "machine", "left")
+    ends = ends.withColumn("_run", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(before))
+    reached = F.sum("_end").over(Window.partitionBy("machine", "_run").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
+    start = F.coalesce("_initial", F.lit(0).cast(EXACT))
+    ends = ends.withColumn("_after", reached + F.when(F.col("_run") == 0, start).otherwise(F.lit(0).cast(EXACT)))
+    carried = ends.select("machine", "_block", F.coalesce(F.lag("_after").over(before), start).alias("_carried"))
+    level = F.col("_level") + F.when(F.col("_segment") == 0, F.col("_carried")).otherwise(F.lit(0).cast(EXACT))
+    return within.join(carried, ["machine", "_block"]).select("machine", "seq", "ts", level.cast("double").alias("weight"))
+
+
+def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: str = "at", out: str = "weight", block_seconds: int = BLOCK_SECONDS) -> DataFrame:
     """probes (machine, the column `at`, any others) with the weight at that time, else the machine's initial weight.
 
-    Ledger and probes go through one window by machine; there is no inequality join.
+    Ledger and probes go through one window by machine and stretch of time; there is no inequality join. A table with
+    one row for each machine and stretch carries the last entry of earlier stretches.
     """
     names = probes.columns
+    entry = "struct<seq:bigint,weight:double>"
     rows = history.select("machine", F.col("ts").alias("_ts"), F.struct("seq", "weight").alias("_entry"), F.lit(None).cast(probes.select(F.struct(*names)).schema[0].dataType).alias("_probe"))
-    asked = probes.select("machine", F.col(at).alias("_ts"), F.lit(None).cast("struct<seq:bigint,weight:double>").alias("_entry"), F.struct(*names).alias("_probe"))
-    until = Window.partitionBy("machine").orderBy("_ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    found = rows.unionByName(asked).withColumn("_last", F.when(F.col("_ts").isNotNull(), F.max("_entry").over(until))).where("_probe is not null")
+    asked = probes.select("machine", F.col(at).alias("_ts"), F.lit(None).cast(entry).alias("_entry"), F.struct(*names).alias("_probe"))
+    both = rows.unionByName(asked).withColumn("_block", F.expr(f"unix_seconds(cast(_ts as timestamp)) div {block_seconds}"))
+    until = Window.partitionBy("machine", "_block").orderBy("_ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_own", F.max("_entry").over(until)).where("_probe is not null")
+    ends = both.groupBy("machine", "_block").agg(F.max("_entry.seq").alias("_seq"), F.max_by("_entry.weight", "_entry.seq").alias("_weight"))
+    earlier = Window.partitionBy("machine").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.when(F.col("_seq").isNotNull(), F.struct(F.col("_seq").alias("seq"), F.col("_weight").alias("weight")))
+    carried = ends.where("_block is not null").select("machine", "_block", F.max(last).over(earlier).alias("_carried"))
+    met = found.join(carried, ["machine", "_block"], "left")
+    best = F.when(F.col("_ts").isNotNull(), F.greatest("_own", "_carried"))
     initial = machines.select(F.col("machine").alias("_m"), F.col("initial").alias("_initial"))
-    met = found.select("_probe.*", F.col("_last.weight").alias("_weight")).join(initial, F.col("machine") == F.col("_m"), "left")
-    return met.select(*names, F.coalesce("_weight", "_initial").alias(out))
+    known = met.select("_probe.*", best["weight"].alias("_weight")).join(initial, F.col("machine") == F.col("_m"), "left")
+    return known.select(*names, F.coalesce("_weight", "_initial").alias(out))
 
 
 def range_summary(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_ties: bool = False) -> DataFrame:

@@ -38,14 +38,15 @@ def tables(spark, entries, initial):
     return spark.createDataFrame(rows, HISTORY), spark.createDataFrame(list(initial.items()), MACHINES)
 
 
-def test_random_ledgers_match_a_walk(spark):
+@pytest.mark.parametrize("stretch", [L.BLOCK_SECONDS, 3])
+def test_random_ledgers_match_a_walk(spark, stretch):
     rng = random.Random(7)
     entries = {m: [(rng.randrange(12), float(rng.randrange(0, 500, 10))) for _ in range(rng.randrange(12))] for m in range(6)}
     initial = {m: float(m * 50) for m in range(6)}
     history, machines = tables(spark, entries, initial)
     probes = [(k, rng.randrange(6), rng.choice([None, *range(-2, 14)]), rng.choice([None, *range(-2, 14)])) for k in range(200)]
     p = spark.createDataFrame([(k, m, at(a), at(b)) for k, m, a, b in probes], RANGES)
-    got = {r.probe: r.weight for r in L.weight_at(history, p, machines, "from").collect()}
+    got = {r.probe: r.weight for r in L.weight_at(history, p, machines, "from", block_seconds=stretch).collect()}
     assert got == {k: point(entries[m], initial[m], a) for k, m, a, _ in probes}
     got = {r.probe: (r.loaded, r.dispensed) for r in L.range_summary(history, p, machines).collect()}
     assert got == {k: ranged(entries[m], initial[m], a, b) for k, m, a, b in probes}
@@ -72,11 +73,12 @@ def test_known_ranges(spark, entries, initial, a, b, expected):
         assert (r.loaded, r.dispensed) == (0.0, 0.0)
 
 
-def test_levels_after_operations(spark):
+@pytest.mark.parametrize("block", [1, 2, 3, L.BLOCK_ENTRIES])
+def test_levels_after_operations(spark, block):
     ops = [(1, 0, "load", 500.5), (1, 1, "dispense", 0.1), (1, 2, "reset", 20.0), (1, 3, "load", 0.2), (1, 4, "reset", 0.0), (2, 0, "dispense", 5.0)]
     df = spark.createDataFrame([(m, k, at(k), op, v) for m, k, op, v in ops], "machine bigint, seq bigint, ts timestamp_ntz, op string, amount double")
     machines = spark.createDataFrame([(1, 100.0), (2, 50.0)], MACHINES)
-    got = {(r.machine, r.seq): r.weight for r in L.weight_history(df, machines).collect()}
+    got = {(r.machine, r.seq): r.weight for r in L.weight_history(df, machines, block).collect()}
     assert got == {(1, 0): 600.5, (1, 1): 600.4, (1, 2): 20.0, (1, 3): 20.2, (1, 4): 0.0, (2, 0): 45.0}
 
 
