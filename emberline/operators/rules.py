@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.numbers import above, below, to_fixed
 
-#: Limits of the threshold engine; the first that holds in a chain gives the issue.
+# Limits and messages of the threshold engine. The first limit that holds in a chain gives the issue.
 VOLTAGE = ((below, 350.0, "Critical low voltage: "), (below, 360.0, "Low voltage: "), (above, 410.0, "Critical high voltage: "), (above, 400.0, "High voltage: "))
 COSPHI = ((below, 0.7, "Critical low power factor: "), (below, 0.8, "Low power factor: "))
 QUALITY_VOLTAGE, QUALITY_COSPHI, QUALITY = 370.0, 0.8, "Power quality issue detected"

@@ -12,6 +12,7 @@ from emberline.operators.rules import threshold_issues
 from emberline.streaming.feed import ChangeFeed
 from emberline.streaming.run import Subscription, every
 
+#: Fixed value.
 PERIOD_MS = 1000
 
 
