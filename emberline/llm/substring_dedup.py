@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from emberline.llm.shared import join_splitting_hot, stage, table
 
 RUN = 3
-MAX_WORDS, MIN_WORDS = 16, 12
+MAX_WORDS, MIN_WORDS = 12, 12
 #: Bytes of text that one Arrow batch of results holds, about.
 BATCH_BYTES = 16 << 20
 
