@@ -5,8 +5,8 @@ piece that may be shorter. Full pieces are sequences of their own. All other pie
 partition packs its items best-fit, largest first, and emits the bins that are nearly full; the others go on as items
 for the next round, in fewer partitions. Bins that went on are opened again, so that their pieces can part.
 
-The tree ends in one partition, or as soon as a round with PER_TASK pieces a partition no longer emits a fair share:
-no task ever holds more than about PER_TASK pieces, whatever their sizes.
+The tree ends in one partition, or as soon as fewer partitions would hold over twice PER_TASK pieces each: then what
+is left hardly combines, and no task ever holds more, whatever the sizes.
 
 Defined results: a null or empty text is the single id 0; rows that repeat an id are documents of their own, with equal
 pieces; an empty table gives no rows; other columns are ignored. Sequence numbers name round, partition and bin.
@@ -176,23 +176,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK)
 
     full = F.col("length") >= capacity
     whole = items.where(full).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(127 << 56)).withColumn("offset", F.lit(0).cast("long"))
-    done, rest, number = [whole], items.where(~full), 0
+    done, rest, number, last = [whole], items.where(~full), 0, False
     n = rest.count()
     parts = max(1, min(n // per_task, 1 << 20))
     while n:
-        last = parts == 1
+        last = last or parts == 1
         # dealt out by what an item is, so that a task that runs again packs the same rows in the same order
         dealt = rest.repartition(parts, F.xxhash64(*names), F.lit(number)).sortWithinPartitions(*names)
         out = stage(dealt.mapInArrow(round_of(number, last), shape))
         done.append(out.where("sequence_id is not null"))
+        if last:
+            break
         rest = out.where("sequence_id is null").select(*names)
-        left = 0 if last else rest.count()
-        if left > n // 2 and left // parts * FAN_IN > per_task:
-            # what is left hardly combines: one more round over the same partitions ends it
-            out = stage(rest.repartition(parts, F.xxhash64(*names)).sortWithinPartitions(*names).mapInArrow(round_of(number + 1, True), shape))
-            done.append(out)
-            left = 0
-        n, number, parts = left, number + 2, max(1, min(parts // FAN_IN, -(-left // per_task)))
+        n = rest.count()
+        merged = max(1, parts // FAN_IN, -(-n // (2 * per_task)))
+        last, parts, number = merged >= parts, min(parts, merged), number + 1
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
