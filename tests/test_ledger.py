@@ -4,7 +4,6 @@ from datetime import datetime, timedelta
 import pytest
 
 from emberline.operators import ledger as L
-from pyspark.sql import functions as F
 
 T0 = datetime(2024, 1, 1)
 HISTORY = "machine bigint, seq bigint, ts timestamp_ntz, weight double"
