@@ -12,8 +12,8 @@ from emberline.functions.numbers import both_zeroed
 
 #: Sums of weights are exact in this type, whatever order Spark adds in.
 EXACT = "decimal(28,6)"
-#: Sequence numbers of a machine that one block of the ledger spans, and seconds of one stretch of as-of lookups.
-BLOCK_ENTRIES, BLOCK_SECONDS = 1 << 20, 7 * 86_400
+#: Sequence numbers of a machine that one block of the ledger spans, and days of one stretch of as-of lookups.
+BLOCK_ENTRIES, BLOCK_DAYS = 1 << 20, 7
 CURRENT, POINT, RANGE = "current", "point", "range"
 
 
@@ -42,7 +42,7 @@ def weight_history(operations: DataFrame, machines: DataFrame, block: int = BLOC
     return within.join(carried, ["machine", "_block"]).select("machine", "seq", "ts", level.cast("double").alias("weight"))
 
 
-def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: str = "at", out: str = "weight", block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: str = "at", out: str = "weight", block_days: int = BLOCK_DAYS) -> DataFrame:
     """probes (machine, the column `at`, any others) with the weight at that time, else the machine's initial weight.
 
     Ledger and probes go through one window by machine and stretch of time; there is no inequality join. A table with
@@ -52,7 +52,7 @@ def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: st
     entry = "struct<seq:bigint,weight:double>"
     rows = history.select("machine", F.col("ts").alias("_ts"), F.struct("seq", "weight").alias("_entry"), F.lit(None).cast(probes.select(F.struct(*names)).schema[0].dataType).alias("_probe"))
     asked = probes.select("machine", F.col(at).alias("_ts"), F.lit(None).cast(entry).alias("_entry"), F.struct(*names).alias("_probe"))
-    both = rows.unionByName(asked).withColumn("_block", F.expr(f"unix_seconds(cast(_ts as timestamp)) div {block_seconds}"))
+    both = rows.unionByName(asked).withColumn("_block", F.floor(F.datediff("_ts", F.lit("1970-01-01")) / block_days))
     until = Window.partitionBy("machine", "_block").orderBy("_ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_own", F.max("_entry").over(until)).where("_probe is not null")
     ends = both.groupBy("machine", "_block").agg(F.max("_entry.seq").alias("_seq"), F.max_by("_entry.weight", "_entry.seq").alias("_weight"))
