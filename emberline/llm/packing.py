@@ -33,8 +33,6 @@ CAPACITY = 2048
 SLACK = 1 / 256
 #: Pieces that a partition packs at least, as far as there are so many, and partitions whose rests meet in one.
 PER_TASK, FAN_IN = 50_000, 8
-#: Words whose ids a worker remembers.
-MEMORY = 200_000
 
 PIECE_SHAPE = "id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -48,30 +46,11 @@ def vocabulary_path() -> str:
 # ---------------------------------------------------------------------- ids
 
 
-class WordIds(dict):
-    """Ids of words, as bytes of little-endian unsigned 32-bit numbers, worked out when first asked for."""
-
-    def __init__(self, ids: Callable[[str], list[int]]) -> None:
-        self.ids = ids
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = self.ids(word)
-        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-
-SPLITS = re.compile(r"\s\s|^\s|\s\Z")
-
-
 class DocumentIds:
     """The ids that the tokenizers library gives a text with a byte-level BPE file, without special tokens added.
 
-    Where single white space stands between words, no id spans a space and the word before it, so each word with the
-    space before it can be looked up. Texts with other white space are encoded in one go. tiktoken encodes with the
-    same ranks and split pattern several times faster than the tokenizers library; tests hold the two against each
-    other. Strings of special tokens inside a text become their ids, as the library does by default.
+    tiktoken encodes with the same ranks and split pattern several times faster than the tokenizers library; tests hold
+    the two against each other. Strings of special tokens inside a text become their ids, as the library does by default.
     """
 
     def __init__(self, path: str, terminator: int = 0) -> None:
@@ -79,22 +58,28 @@ class DocumentIds:
         import tiktoken
         from tokenizers import Tokenizer
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(re.sub(r"\.json$", ".tiktoken", path), "rb"))}
+        with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         special = {t.content: i for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
-        coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.encode = lambda text: coder.encode(text, allowed_special="all")
-        self.special = list(special)
-        self.words = WordIds(coder.encode_ordinary)
-        self.end = np.array([terminator], "<u4").tobytes()
+        self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special, self.terminator = list(special), terminator
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return self.end
-        if SPLITS.search(text) or any(s in text for s in self.special):
-            return np.array(self.encode(text), "<u4").tobytes() + self.end
-        head, *rest = text.split(" ")
-        words = self.words
-        return b"".join([words[head], *[words[" " + w] for w in rest], self.end])
+        """The ids and the terminator, as little-endian unsigned 32-bit numbers."""
+        plain = not any(s in text for s in self.special)
+        ids = self.coder.encode_ordinary(text) if plain else self.coder.encode(text, allowed_special="all")
+        ids.append(self.terminator)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: Encoders that this worker process has read, by path.
+_encoders: dict[str, DocumentIds] = {}
+
+
+def encoder_for(path: str) -> DocumentIds:
+    if path not in _encoders:
+        _encoders[path] = DocumentIds(path)
+    return _encoders[path]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -109,7 +94,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = DocumentIds(path)
+        ids_of = encoder_for(path)
         for batch in batches:
             of, rows = [], []
             for k, text in enumerate(batch.column("text")):
@@ -155,7 +140,6 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) -> DataFrame:
     """pieces (with a column length of at most capacity, and any others) with sequence_id and offset."""
-    spark = pieces.sparkSession
     names = pieces.columns
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     items = stage(pieces)
