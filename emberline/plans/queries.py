@@ -113,8 +113,8 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two probes for each machine: fixed times, and one before all entries."""
-    times = spark.createDataFrame([(0, datetime(2024, 1, 12, 6)), (1, datetime(2023, 12, 1))], "n bigint, at timestamp_ntz")
-    return fx.machines(spark, sf_dir).select("machine").crossJoin(F.broadcast(times))
+    times = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"), F.lit(t).cast("timestamp_ntz").alias("at")) for n, t in enumerate((datetime(2024, 1, 12, 6), datetime(2023, 12, 1)))])
+    return fx.machines(spark, sf_dir).select("machine", F.inline(times))
 
 
 @registered(f"WITH {LEDGER} SELECT * FROM h")
@@ -156,8 +156,8 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.snapshots(spark, sf_dir)
     long = s.select("machine", "ts", "seq", F.expr("stack(2, 'voltage', voltage, 'cosphi', cosphi) AS (sensor, value)"))
     m = long.select(F.concat_ws("/", "machine", "sensor").alias("topic"), "ts", "value", "seq")
-    units = spark.createDataFrame([("voltage", "V"), ("cosphi", "")], "sensor string, unit string")
-    sensors = fx.machines(spark, sf_dir).select("machine").crossJoin(F.broadcast(units)).withColumn("topic", F.concat_ws("/", "machine", "sensor"))
+    units = F.array(*[F.struct(F.lit(sensor).alias("sensor"), F.lit(unit).alias("unit")) for sensor, unit in (("voltage", "V"), ("cosphi", ""))])
+    sensors = fx.machines(spark, sf_dir).select("machine", F.inline(units)).withColumn("topic", F.concat_ws("/", "machine", "sensor"))
     return metrics.latest_or_default(m, sensors, F.lit(NOW).cast("timestamp_ntz"))
 
 
