@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import drop_staged, stage, table
+from emberline.llm.shared import drop_staged, match_rows, stage, table
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Counters of a summary: a digest of over 1/(CAPACITY + 1) of all rows is found for sure.
@@ -93,9 +93,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs, with all their columns, that exact dedup keeps."""
     kept = group_copies(docs, id_col, text_col, capacity).where("kept").select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
     with_digest = docs.withColumn("_digest", text_digest(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
-    repeats = Window.partitionBy(id_col, "_digest").orderBy(F.lit(0))
-    return with_digest.join(kept, same, "left_semi").withColumn("_nth", F.row_number().over(repeats)).where("_nth = 1").select(*docs.columns)
+    return match_rows(with_digest, kept, [(id_col, "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1").select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import join_splitting_hot, stage, table
+from emberline.llm.shared import join_splitting_hot, match_rows, stage, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order, repeating; what they share, as a part of all sizes; the most copies of a source.
@@ -162,9 +162,7 @@ def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = mix(docs, id_col, text_col, source_col).select(F.col("id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size"), "copies")
     mixed = mixed.groupBy(*key).agg(F.sum("copies").alias("_m_copies"), F.count("*").alias("_m_rows"))
     keyed = docs.withColumn("_d_size", word_count(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_m_id")) & F.col(source_col).eqNullSafe(F.col("_m_source")) & (F.col("_d_size") == F.col("_m_size"))
-    repeats = Window.partitionBy(id_col, source_col, "_d_size").orderBy(F.lit(0))
-    nth = keyed.join(mixed.where("_m_copies > 0"), same).withColumn("_nth", F.row_number().over(repeats))
+    nth = match_rows(keyed, mixed.where("_m_copies > 0"), [(id_col, "_m_id"), (source_col, "_m_source"), ("_d_size", "_m_size")])
     times = F.expr("cast(_m_copies div _m_rows as int) + if(_nth <= _m_copies % _m_rows, 1, 0)")
     return nth.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
 

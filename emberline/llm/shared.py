@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key that holds at least 1/HOT_SHARE of the rows is joined by broadcast; there are at most HOT_SHARE of them.
@@ -63,5 +63,20 @@ def join_splitting_hot(left: DataFrame, right: DataFrame, on: list[str], count:
     return by_map.unionByName(by_shuffle)
 
 
+def match_rows(rows: DataFrame, found: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
+    """Inner join of wide rows with found, one row for each key of it, on pairs of columns of which null matches null.
+
+    Adds `_nth`, which numbers the rows that share a key from 1. The join goes by a hash of the key, and so the
+    numbering finds its rows together: the wide rows are shuffled once. The keys themselves are compared as well.
+    """
+    keyed = rows.withColumn("_key", F.xxhash64(*[F.col(a) for a, _ in on]))
+    wanted = found.withColumn("_found_key", F.xxhash64(*[F.col(b) for _, b in on]))
+    same = F.col("_key") == F.col("_found_key")
+    for a, b in on:  # not written as <=>, which Spark would make a key of the shuffle
+        same = same & F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
+    repeats = Window.partitionBy("_key", *[a for a, _ in on]).orderBy(F.lit(0))
+    return keyed.join(wanted, same).withColumn("_nth", F.row_number().over(repeats)).drop("_key", "_found_key")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

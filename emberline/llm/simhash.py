@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import drop_staged, join_splitting_hot, stage, table
+from emberline.llm.shared import drop_staged, join_splitting_hot, match_rows, stage, table
 
 SHINGLE = 4
 SEED = 42
@@ -260,9 +260,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """The rows of docs, with all their columns, whose id names their component; one row where that id repeats."""
     kept = near_groups(docs, id_col, text_col, shingle, budget).where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("id").alias("_kept_id")).distinct()
-    repeats = Window.partitionBy(id_col).orderBy(F.lit(0))
-    with_nth = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").withColumn("_nth", F.row_number().over(repeats))
-    return with_nth.where("_nth = 1").select(*docs.columns)
+    return match_rows(docs, kept, [(id_col, "_kept_id")]).where("_nth = 1").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
