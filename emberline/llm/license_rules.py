@@ -23,10 +23,6 @@ class Rule(NamedTuple):
 PRIORITY = {"tag": 5, "address": 4, "grant": 3, "name": 2, "short": 1}
 SCORE = {"tag": 1.0, "address": 0.95, "grant": 0.9, "name": 0.85, "short": 0.5}
 
-#: Texts without any of these have no span; every rule needs one of them near or within what it matches.
-GATE = r"(?i)licen[sc]|copyright|copyleft|spdx|warrant|redistribut|public domain|creative ?commons|all rights reserved|\bCC[ -](?:BY|0)"
-
-
 def _over_words(body: str) -> str:
     return f" (?:{body})(?= )"
 
@@ -248,3 +244,7 @@ def signature_rules() -> list[Rule]:
         rules.append(_rule("spdx", rf"spdx license identifier {words}", "tag", label))
         rules.append(_rule("licenses", rf"(?:https? )?(?:www )?(?:opensource|spdx|gnu|apache|creativecommons) org licenses {words}", "address", label))
     return rules
+
+
+#: Texts without any of these words have no span: the keywords of all rules, as whole words.
+GATE = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(sorted({r.keyword for r in [*BASE_RULES, *signature_rules()]})) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
 A text is brought to a line of lower-case words. A rule has a keyword, a regular expression over that line, a priority,
-a label and a confidence. Only rules whose keyword is among the text's words are tried, and only texts with one of a
-few gate words are brought to a line at all. Every match is a span of words. A span that lies within a span of higher
+a label and a confidence. Only rules whose keyword is among the text's words are tried, and only texts with any
+rule's keyword are brought to a line at all. Every match is a span of words. A span that lies within a span of higher
 priority, or within a longer one of the same priority, is suppressed; what stays gives labels and score.
 
 The base phrases are rules as well; their places are counted before suppression, and their labels always stay.

@@ -56,3 +56,20 @@ def test_empty_table_and_suppression(spark):
     assert N.scan(documents(spark, [])).count() == 0
     spans = N.scan(documents(spark, [(1, TEXTS[2])])).select("licenses.spans").first()[0]
     assert {s.label for s in spans} == {"Apache-2.0", "GPL-3.0-or-later"}
+
+
+UNGATED = [
+    ("This file is GPLv3 or later", "GPL-3.0-or-later"), ("under the terms of GNU GPL v2", "GPL-2.0-only"), ("MPL 2.0", "MPL-2.0"), ("EUPL 1.2", "EUPL-1.2"),
+    ("Released under CC0 1.0 Universal", "CC0-1.0"), ("3-clause BSD", "BSD-3-Clause"), ("WTFPL version 2", "WTFPL"), ("Based in part on the work of the Independent JPEG Group", "IJG"),
+]
+
+
+def test_the_gate_loses_no_text_that_a_rule_matches(spark, monkeypatch):
+    rows = list(enumerate([*TEXTS, *(t for t, _ in UNGATED), "no words of any rule here", "\U0001f600mit mité", "quarter"]))
+    docs = documents(spark, rows)
+    found = lambda: {r.doc_id: r.licenses for r in N.scan(docs).collect()}
+    gated = found()
+    monkeypatch.setattr(N, "GATE", "")
+    assert gated == found()
+    for k, (_, label) in enumerate(UNGATED, len(TEXTS)):
+        assert label in {s.label for s in gated[k].spans}, rows[k]
