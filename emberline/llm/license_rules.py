@@ -5,6 +5,9 @@ FAMILIES lists for each label its keyword and its expressions, by kind:
   name    the full name, with version where it has one
   short   a short or loose form
 For each label two more rules come from its identifier: the tag line and the address of the license text.
+
+A rule is tried only in texts that have its keyword as a word, so its expression must not match without it; wording of
+which no one word is always there is split over several entries.
 """
 
 from __future__ import annotations
@@ -57,19 +60,23 @@ FAMILIES: list[tuple[str, str, dict[str, list[str]]]] = [
     ("MIT-notice", "substantial", {"grant": [r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"]}),
     ("AS-IS", "warranty", {
         "grant": [
-            r"(?:software|work|material|file) is provided as is without (?:any )?(?:express or implied )?warrant(?:y|ies)",
+            r"(?:software|work|material|file) is provided as is without (?:any )?(?:express or implied )?warranty",
             r"without warranty of any kind(?: express or implied)?",
             r"without even the implied warranty of merchantability or fitness for a particular purpose",
             r"absolutely no warranty",
         ],
     }),
+    ("AS-IS", "warranties", {"grant": [r"(?:software|work|material|file) is provided as is without (?:any )?(?:express or implied )?warranties"]}),
     ("MIT-0", "mit", {"name": [r"mit no attribution(?: license)?", r"mit 0 license", r"mit zero license"]}),
-    ("X11", "x11", {"name": [r"x11 license", r"x consortium license", r"mit x11 license"], "short": [r"x11 style license"]}),
+    ("X11", "x11", {"name": [r"x11 license", r"mit x11 license"], "short": [r"x11 style license"]}),
+    ("X11", "consortium", {"name": [r"x consortium license"]}),
     ("Apache-2.0", "apache", {
         "grant": [UNDER + rf"apache (?:software )?{LIC}(?: {V}2(?: 0)?)?", r"you may not use this file except in compliance with the license(?: \S+){0,16} apache"],
-        "name": [rf"apache (?:software )?{LIC} {V}2(?: 0)?", rf"apache {V}2(?: 0)? {LIC}", r"asl 2 0"],
-        "short": [r"apache licensed", r"apache 2(?: 0)?", r"alv2"],
+        "name": [rf"apache (?:software )?{LIC} {V}2(?: 0)?", rf"apache {V}2(?: 0)? {LIC}"],
+        "short": [r"apache licensed", r"apache 2(?: 0)?"],
     }),
+    ("Apache-2.0", "asl", {"name": [r"asl 2 0"]}),
+    ("Apache-2.0", "alv2", {"short": [r"alv2"]}),
     ("Apache-1.1", "apache", {"name": [rf"apache (?:software )?license {V}1 1"], "short": [r"apache 1 1"]}),
     ("Apache-1.0", "apache", {"name": [rf"apache (?:software )?license {V}1 0"], "short": [r"apache 1 0"]}),
     ("Apache-any", "apache", {"name": [r"apache software foundation license"], "short": [r"apache style license", r"apache (?:software )?licen[sc]e"]}),
@@ -116,7 +123,8 @@ FAMILIES: list[tuple[str, str, dict[str, list[str]]]] = [
     ("AGPL-3.0", "agpl", {"short": [rf"agpl {V}3(?: 0)?", r"gnu agpl"]}),
     ("GFDL-1.3", "documentation", {"grant": [UNDER + r"gnu free documentation license"], "name": [rf"(?:gnu )?free documentation license(?: {V}1 3)?"]}),
     ("GFDL-1.3", "gfdl", {"short": [r"gfdl(?: 1 [123])?"]}),
-    ("BSD-2-Clause", "bsd", {"name": [r"bsd 2 clause(?: license)?", r"2 clause bsd(?: license)?", r"two clause bsd(?: license)?", r"simplified bsd license", r"freebsd license"]}),
+    ("BSD-2-Clause", "bsd", {"name": [r"bsd 2 clause(?: license)?", r"2 clause bsd(?: license)?", r"two clause bsd(?: license)?", r"simplified bsd license"]}),
+    ("BSD-2-Clause", "freebsd", {"name": [r"freebsd license"]}),
     ("BSD-3-Clause", "bsd", {"name": [r"bsd 3 clause(?: license)?", r"3 clause bsd(?: license)?", r"three clause bsd(?: license)?", r"(?:new|modified|revised) bsd license"]}),
     ("BSD-4-Clause", "bsd", {"name": [r"bsd 4 clause(?: license)?", r"4 clause bsd(?: license)?", r"(?:original|old) bsd license"]}),
     ("BSD-any", "bsd", {"grant": [UNDER + r"bsd(?: style)? licen[sc]e"], "name": [r"bsd licen[sc]e"], "short": [r"bsd licen[sc]ed", r"bsd style"]}),
@@ -158,7 +166,8 @@ FAMILIES: list[tuple[str, str, dict[str, list[str]]]] = [
     ("Artistic-2.0", "artistic", {"name": [rf"artistic license {V}2(?: 0)?"], "grant": [UNDER + r"artistic license"]}),
     ("Artistic-1.0", "artistic", {"name": [rf"artistic license(?: {V}1(?: 0)?)?"]}),
     ("Perl-5", "perl", {"grant": [r"under the same terms as perl(?: itself)?"]}),
-    ("PSF-2.0", "python", {"name": [r"python software foundation license(?: version 2)?", r"psf license(?: agreement)?"], "short": [r"python license"]}),
+    ("PSF-2.0", "python", {"name": [r"python software foundation license(?: version 2)?"], "short": [r"python license"]}),
+    ("PSF-2.0", "psf", {"name": [r"psf license(?: agreement)?"]}),
     ("Python-2.0", "python", {"name": [r"python license 2 0", r"python 2 0(?: 1)? license"]}),
     ("Ruby", "ruby", {"name": [r"ruby license"], "grant": [r"under the same terms as ruby"]}),
     ("PHP-3.01", "php", {"name": [rf"php license(?: {V}3 01)?"]}),
@@ -181,7 +190,8 @@ FAMILIES: list[tuple[str, str, dict[str, list[str]]]] = [
     ("Unlicense", "unencumbered", {"grant": [r"this is free and unencumbered software released into the public domain"]}),
     ("WTFPL", "wtfpl", {"name": [r"wtfpl(?: license)?(?: version 2)?"]}),
     ("WTFPL", "want", {"name": [r"do what the \S+ you want to public license"]}),
-    ("Beerware", "beer", {"name": [r"(?:the )?beer ?ware license"]}),
+    ("Beerware", "beer", {"name": [r"(?:the )?beer ware license"]}),
+    ("Beerware", "beerware", {"name": [r"(?:the )?beerware license"]}),
     ("Public-Domain", "domain", {"grant": [r"(?:released|placed|dedicated) (?:into|in|to) the public domain"], "short": [r"(?:in )?the public domain", r"public domain dedication"]}),
     ("CC0-1.0", "cc0", {"name": [r"cc0(?: 1 0)?(?: universal)?"], "grant": [UNDER + r"cc0"]}),
     ("CC0-1.0", "creative", {"name": [r"creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?"]}),
@@ -228,11 +238,15 @@ FAMILIES: list[tuple[str, str, dict[str, list[str]]]] = [
     ("Proprietary", "reserved", {"grant": [r"all rights reserved"]}),
     ("Proprietary", "proprietary", {"name": [r"proprietary (?:and confidential|licen[sc]e|software)"]}),
     ("Proprietary", "confidential", {"grant": [r"unauthorized (?:copying|use|distribution)(?: \S+){0,10} strictly prohibited(?: \S+){0,3} confidential"]}),
-    ("Proprietary", "eula", {"name": [r"end user licen[sc]e agreement(?: eula)?", r"eula"]}),
-    ("Non-Commercial", "commercial", {"grant": [r"for non ?commercial (?:use|purposes) only", r"not for commercial use", r"free for (?:personal|non commercial) use"]}),
+    ("Proprietary", "agreement", {"name": [r"end user licen[sc]e agreement(?: eula)?"]}),
+    ("Proprietary", "eula", {"name": [r"eula"]}),
+    ("Non-Commercial", "commercial", {"grant": [r"for non commercial (?:use|purposes) only", r"not for commercial use", r"free for non commercial use"]}),
+    ("Non-Commercial", "noncommercial", {"grant": [r"for noncommercial (?:use|purposes) only"]}),
+    ("Non-Commercial", "personal", {"grant": [r"free for personal use"]}),
     ("Research-Only", "research", {"grant": [r"for (?:academic )?research (?:use|purposes) only"]}),
     ("Copyright-Notice", "copyright", {"short": [r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)?\d\d)?(?: by)?(?: \S+){1,3}", r"copyright c"]}),
-    ("License-Reference", "license", {"short": [r"see (?:the )?license(?: file)?(?: for (?:more )?details)?", r"license (?:txt|md|file)", r"this license", r"dual licen[sc]ed"]}),
+    ("License-Reference", "license", {"short": [r"see (?:the )?license(?: file)?(?: for (?:more )?details)?", r"license (?:txt|md|file)", r"this license"]}),
+    ("License-Reference", "dual", {"short": [r"dual licen[sc]ed"]}),
 ]
 
 

@@ -1,4 +1,7 @@
+import itertools
 import re
+from re import _constants as C
+from re import _parser as P
 
 from helpers import AWKWARD, documents, write_tables
 
@@ -73,3 +76,35 @@ def test_the_gate_loses_no_text_that_a_rule_matches(spark, monkeypatch):
     assert gated == found()
     for k, (_, label) in enumerate(UNGATED, len(TEXTS)):
         assert label in {s.label for s in gated[k].spans}, rows[k]
+
+
+def least_texts(tree):
+    """The shortest text of each alternative of a parsed pattern."""
+    out = [""]
+    for op, av in tree:
+        if op is C.LITERAL:
+            each = [chr(av)]
+        elif op is C.IN:
+            each = [chr(a) if o is C.LITERAL else chr(a[0]) if o is C.RANGE else "1" if a is C.CATEGORY_DIGIT else "z" for o, a in av if o is not C.NEGATE]
+        elif op is C.BRANCH:
+            each = [t for part in av[1] for t in least_texts(part)]
+        elif op is C.SUBPATTERN:
+            each = least_texts(av[-1])
+        elif op is C.MAX_REPEAT:
+            each = ["".join(t) for t in itertools.product(least_texts(av[2]), repeat=av[0])]
+        else:
+            assert op is C.ASSERT, op
+            each = [""]
+        out = list(dict.fromkeys(a + b for a in out for b in each))
+    return out
+
+
+def test_each_rule_matches_its_least_texts(spark):
+    rules = [*BASE_RULES, *signature_rules()]
+    least = [(k, t) for k, r in enumerate(rules) for t in least_texts(P.parse(r.pattern))]
+    for k, t in least:
+        assert re.search(rules[k].pattern, t + " "), t
+        assert rules[k].keyword in t.split() and re.search(GATE, t), (rules[k].keyword, t)
+    dead = {"asl 2 0": "Apache-2.0", "alv2": "Apache-2.0", "freebsd license": "BSD-2-Clause", "psf license": "PSF-2.0", "Beerware license": "Beerware", "end user license agreement": "Proprietary", "dual licensed": "License-Reference", "for noncommercial use only": "Non-Commercial", "free for personal use": "Non-Commercial", "x consortium license": "X11", "software is provided as is without express or implied warranties": "AS-IS"}
+    got = {r.text: {s.label for s in r.licenses.spans} for r in N.scan(documents(spark, list(enumerate(dead)))).collect()}
+    assert {t: label in got[t] for t, label in dead.items()} == dict.fromkeys(dead, True)
