@@ -1,14 +1,14 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences, and sentences over MAX_WORDS words into pieces counted from the sentence's start, so that
-a repeated passage is cut alike wherever it stands. Every run of RUN consecutive sentences with at least MIN_WORDS words
-is hashed to 128 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and there
+a repeated passage is cut alike wherever it stands. In scripts without spaces between words, two characters count as a word. From each
+sentence on, the run of RUN sentences, or of as many more as make up MIN_WORDS words, is hashed to 128 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and there
 at its first place, stays; the sentences of every other run with that hash are removed, whatever other runs they are in.
 
 Each document sends a run once, so a group's smallest id and size are sums that Spark combines before the shuffle; runs
 of very many documents are joined by broadcast. The text itself is moved once, to meet what is to be removed.
 
-Defined results: a null text stays null, without sentences; texts with under RUN sentences have no runs; rows that
+Defined results: a null text stays null, without sentences; texts with under RUN sentences or MIN_WORDS words have no runs; rows that
 repeat an id are one document and don't remove each other; rows with a null id are one document that is never first
 where another has the run; an empty table gives no rows; all other columns are kept.
 """
@@ -32,7 +32,13 @@ MAX_WORDS, MIN_WORDS = 12, 12
 BATCH_BYTES = 16 << 20
 
 ENDING = re.compile(r"[.!?…]+[\"')\]»”’]*\s+|[。！？]+\s*|\n\s*")
-WORDS = re.compile(r"\S+\s*")
+#: Letters and marks of scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese.
+SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u312f\u31a0-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+WORDS = re.compile(rf"(?:[{SOLID}]{{1,2}}|[^\s{SOLID}]+)\s*")
+
+
+def count_words(text: str) -> int:
+    return len(text.split()) if text.isascii() else len(WORDS.findall(text))
 
 
 def sentences(text: str) -> list[str]:
@@ -41,7 +47,7 @@ def sentences(text: str) -> list[str]:
     out: list[str] = []
     for a, b in zip(cuts, cuts[1:]):
         part = text[a:b]
-        n = len(part.split())
+        n = count_words(part)
         if n > MAX_WORDS:
             words = WORDS.findall(part)
             words[0] = part[: len(part) - sum(map(len, words))] + words[0]
@@ -58,13 +64,22 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def run_keys(parts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> list[bytes | None]:
-    """128-bit hash of the run that starts at each sentence; None where there is none or it is too short."""
-    words = [p.split() for p in parts]
-    each = [xxhash.xxh3_128_digest(" ".join(w).lower().encode("utf-8", "surrogatepass")) for w in words]
-    sizes = [len(w) for w in words]
+def run_keys(parts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[bytes, int]]:
+    """128-bit hash and end of the run that starts at each sentence, as far as the text has the sentences and words for it."""
+    each = [xxhash.xxh3_128_digest(" ".join(p.split()).lower().encode("utf-8", "surrogatepass")) for p in parts]
+    sizes = [count_words(p) for p in parts]
     join, digest = b"".join, xxhash.xxh3_128_digest
-    return [digest(join(each[k : k + run])) if sum(sizes[k : k + run]) >= min_words else None for k in range(len(parts) - run + 1)]
+    keys: list[tuple[bytes, int]] = []
+    end, words = 0, 0  # words of the sentences from k to end
+    for k in range(len(parts) - run + 1):
+        while end < len(parts) and (end < k + run or words < min_words):
+            words += sizes[end]
+            end += 1
+        if words < min_words:
+            break
+        keys.append((digest(join(each[k:end])), end))
+        words -= sizes[k]
+    return keys
 
 
 def document_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
@@ -74,8 +89,7 @@ def document_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
         for batch in batches:
             rows, keys = [], []
             for k, text in enumerate(batch.column("text")):
-                own = dict.fromkeys(run_keys(sentences(text.as_py() or ""), run, min_words))
-                own.pop(None, None)
+                own = dict(run_keys(sentences(text.as_py() or ""), run, min_words))
                 keys += own
                 rows += [k] * len(own)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
@@ -91,11 +105,10 @@ def remove_runs(text: str, repeated: set[bytes], run: int, min_words: int) -> tu
     """Text without the sentences of repeated runs and of runs that stood earlier in it; sentences; removed spans."""
     parts = sentences(text)
     gone, seen = [False] * len(parts), set()
-    for k, key in enumerate(run_keys(parts, run, min_words)):
-        if key is not None:
-            if key in repeated or key in seen:
-                gone[k : k + run] = [True] * run
-            seen.add(key)
+    for k, (key, end) in enumerate(run_keys(parts, run, min_words)):
+        if key in repeated or key in seen:
+            gone[k:end] = [True] * (end - k)
+        seen.add(key)
     spans: list[tuple[int, int]] = []
     at = 0
     for part, out in zip(parts, gone):

@@ -70,3 +70,18 @@ def test_awkward_rows(spark):
     assert [r.dedup.text for r in out if r.doc_id == 1] == [None]
     assert {r.dedup.text for r in out if r.doc_id is None} == {"no id", ""}
     assert D.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_repeats_in_short_lines_and_in_scripts_without_spaces(spark):
+    rng = random.Random(5)
+    verse = "\n".join(" ".join("v%d" % rng.randrange(999) for _ in range(1 + k % 3)) for k in range(40)) + "\n"
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    solid, unbroken = "".join(han(9) + "。" for _ in range(8)), han(240)
+    rows = [(1, "Own head of one.\n" + verse + "own tail\n"), (2, "Quite another head\n" + verse), (3, han(30) + "。" + solid), (4, solid + han(30) + "。"), (5, unbroken), (6, unbroken), (7, "は。い。" * 2), (8, "は。い。" * 2)]
+    got = {r.doc_id: r.dedup.text for r in D.remove_repeats(documents(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "Quite another head\n"
+    assert got[3] == rows[2][1] and got[4] == rows[3][1].removeprefix(solid)
+    assert got[5] == unbroken and got[6] == ""
+    assert got[7] == got[8] == rows[6][1]  # under MIN_WORDS words
+    for _, text in rows:
+        assert "".join(D.sentences(text)) == text and all(D.count_words(p) <= D.MAX_WORDS for p in D.sentences(text))
