@@ -43,6 +43,11 @@ CHUNK = 1 << 20
 # ---------------------------------------------------------------- fingerprints
 
 
+def text_digest(text: str) -> F.Column:
+    """SHA-256 of the text as it is, in hex."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of every run of `shingle` words (ASCII lower case, ASCII white space between words), repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -68,16 +73,18 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id and fp of every row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """id and fp of every row of docs; with digest also the text's."""
+    more = ["digest"] if digest else []
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = pa.array([simhash(t.as_py(), shingle) for t in batch.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), fp], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), fp, *batch.columns[2:]], ["id", "fp", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[text_digest(text_col).alias(n) for n in more])
+    return rows.mapInArrow(of, f"id {kind}, fp long" + "".join(f", {n} string" for n in more))
 
 
 # ------------------------------------------------------------------ trie walk
@@ -244,23 +251,28 @@ def star_contraction(edges: DataFrame) -> DataFrame:
         edges = done
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """One row per row of docs: id, fp and component_id, the smallest id of all rows that links reach."""
-    prints = stage(fingerprints(docs, id_col, text_col, shingle))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, digest: bool = False) -> DataFrame:
+    """One row per row of docs: id, fp, root (a fingerprint) of its component and component_id, the smallest id of all
+    rows that links reach; with digest also the text's."""
+    prints = stage(fingerprints(docs, id_col, text_col, shingle, digest))
     distinct = stage(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")))
     roots = stage(star_contraction(link_forest(distinct, budget)))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     of_print = stage(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root")))
     named = of_print.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("prints"))
     of_print = join_splitting_hot(of_print.select("fp", "n", "root"), named, ["root"], "prints", distinct.count())
-    return join_splitting_hot(prints, stage(of_print.select("fp", "n", "component_id")), ["fp"], "n", prints.count())
+    return join_splitting_hot(prints, stage(of_print.select("fp", "n", "root", "component_id")), ["fp"], "n", prints.count())
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows of docs, with all their columns, whose id names their component; one row where that id repeats."""
-    kept = near_groups(docs, id_col, text_col, shingle, budget).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("id").alias("_kept_id")).distinct()
-    return match_rows(docs, kept, [(id_col, "_kept_id")]).where("_nth = 1").select(*docs.columns)
+    """One row of docs for each component, with all its columns: of the rows whose id names it, that of the least digest.
+
+    Ids may be null or repeat in several components; a text is in one only, so id and digest tell which row is meant.
+    """
+    named = near_groups(docs, id_col, text_col, shingle, budget, digest=True).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = named.groupBy("root").agg(F.min("id").alias("_kept_id"), F.min("digest").alias("_kept_digest")).drop("root")
+    with_digest = docs.withColumn("_digest", text_digest(text_col))
+    return match_rows(with_digest, kept, [(id_col, "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

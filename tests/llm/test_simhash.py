@@ -97,3 +97,14 @@ def test_chains_hot_hubs_nulls_and_empty(spark):
     assert S.near_groups(documents(spark, [])).count() == 0
     got = {(r.id, r.component_id) for r in S.near_groups(documents(spark, [(None, "a b c d e"), (3, "a b c d e"), (None, "zz yy")])).collect()}
     assert got == {(None, 3), (3, 3), (None, None)}
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join("w%d" % rng.randrange(9999) for _ in range(60))
+    alone, pair, twin, shared = [say() for _ in range(12)], say(), say(), say()
+    rows = [(None, t) for t in alone] + [(7, pair), (7, twin), (3, shared), (7, shared + " "), (None, shared + "\n"), (9, pair), (9, pair), (None, None), (None, "")]
+    for k in range(3):
+        docs = documents(spark, rng.sample(rows, len(rows))).repartition(k + 1)
+        kept = [(r.doc_id, r.text or "") for r in S.keep_one_of_each_group(docs).collect()]
+        assert sorted(kept, key=str) == sorted([*((None, t) for t in alone), (7, pair), (7, twin), (3, shared), (None, "")], key=str)
