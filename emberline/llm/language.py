@@ -5,8 +5,8 @@ start, as far as the text goes on as a substring of the training text; there a p
 Phrases times log2 of the training length over the text's length estimate the cross entropy in bits a byte, which
 makes languages with more or less training text comparable; the language with the fewest such bits wins.
 
-The automata are dense transition tables over byte classes, in which a missing transition already holds the start of
-the next phrase and what it adds to the count. Blocks of BLOCK bytes of all texts of a batch are parsed in lockstep
+The automata are dense transition tables over the byte classes that the language's own training text has, in which a
+missing transition already holds the start of the next phrase and what it adds to the count. Blocks of BLOCK bytes of all texts of a batch are parsed in lockstep
 against all languages at once; a block's end ends a phrase. Every byte of every text is parsed.
 
 The classifier is fitted on a bounded sample of labelled rows: for each language the whole texts with the smallest id
@@ -20,7 +20,6 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +34,6 @@ TRAIN_BYTES, TRAIN_ROWS, ROW_BYTES = 24_000, 64, 96_000
 #: Languages that are told apart, those with the most labelled rows; one takes about 9 MB of a worker's memory.
 MAX_LANGUAGES = 64
 BLOCK = 2048
-#: Classes of bytes: 0 for bytes that no training text has, 1 for all that separates words, the rest a byte each.
-CLASSES = 64
 FOLDS = 5
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -48,15 +45,16 @@ def held_out(id_col: str) -> Column:
 
 
 def byte_classes(texts: list[bytes]) -> bytes:
-    """Table of 256 for bytes.translate: letters first, then the most frequent bytes of multi-byte characters."""
-    seen = Counter(b for t in texts for b in t)
-    high = sorted((b for b in seen if b >= 128), key=lambda b: (-seen[b], b))
+    """Table of 256 for bytes.translate: 0 for bytes that no training text has, 1 for all that separates words, the rest a
+    byte each."""
+    seen = set().union(*texts)
+    high = [b for b in range(128, 256) if b in seen]
     letters = [b for b in range(97, 123) if b in seen]
     out = bytearray(256)
     out[:128] = b"\1" * 128
     for b in range(97, 123):
         out[b] = 0
-    for k, b in enumerate([*letters, *high][: CLASSES - 2]):
+    for k, b in enumerate([*letters, *high]):
         out[b] = k + 2
     return bytes(out)
 
@@ -98,25 +96,31 @@ class CrossParser:
         joined = {lang: " ".join(texts).lower().encode("utf-8", "surrogatepass") for lang, texts in sorted(training.items())}
         self.languages = list(joined)
         self.classes = byte_classes(list(joined.values()))
+        #: For each language: the column of each class, 0 for those that its own training text lacks.
+        self.columns = np.zeros((len(joined), 256), np.uint8)
         tables, self.roots, self.bits, base = [], [], [], 0
-        for data in joined.values():
-            go = suffix_automaton(data.translate(self.classes).replace(b"\0", b"\1"))
-            start = np.full(CLASSES, base, np.uint32) + np.uint32(1 << 30)
+        for k, data in enumerate(joined.values()):
+            go = suffix_automaton(data.translate(self.classes))
+            column = {c: n for n, c in enumerate(sorted(go[0]), 1)}
+            self.columns[k, list(column)] = list(column.values())
+            width = len(column) + 1
+            # a state is the place of its row in the table
+            start = np.full(width, base, np.uint32) + np.uint32(1 << 30)
             for c, to in go[0].items():
-                start[c] = base + to
+                start[column[c]] = base + to * width
             # from any other state a missing transition ends a phrase; a byte that the start lacks is one of its own
             fail = np.where(start >> np.uint32(30) > 0, np.uint32(base + (2 << 30)), start + np.uint32(1 << 30))
             own = np.tile(fail, (len(go), 1))
             own[0] = start
-            at = [(s, c, base + to) for s, row in enumerate(go) if s for c, to in row.items()]
+            at = [(s, column[c], base + to * width) for s, row in enumerate(go) if s for c, to in row.items()]
             if at:
                 s, c, to = np.array(at, np.int64).T
                 own[s, c] = to
-            tables.append(own)
+            tables.append(own.ravel())
             self.roots.append(base)
             self.bits.append(float(np.log2(len(data) + 2)))
-            base += len(go)
-        self.table = np.concatenate(tables).ravel() if tables else np.empty(0, np.uint32)
+            base += own.size
+        self.table = np.concatenate(tables) if tables else np.empty(0, np.uint32)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (lower-case UTF-8) against each language."""
@@ -134,7 +138,7 @@ class CrossParser:
         state = np.repeat(roots, len(of), axis=1)
         count = np.zeros(state.shape, np.uint32)
         for t, a in enumerate(active.tolist()):
-            step = self.table[(state[:, :a].astype(np.int64) * CLASSES) + codes[begin[:a] + t]]
+            step = self.table[state[:, :a] + self.columns[:, codes[begin[:a] + t]]]
             count[:, :a] += step >> np.uint32(30)
             state[:, :a] = step & STATE
         count += state != roots

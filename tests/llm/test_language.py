@@ -70,3 +70,19 @@ def test_no_labels_and_empty(spark, tmp_path):
     sf = write_tables(spark, tmp_path, documents=documents(spark, [(1, "text", None, "a")]))
     assert [(r.lang_pred, r.score) for r in L.op6_language_id(spark, sf).collect()] == [("und", 0.0)]
     assert L.identify(documents(spark, []), {"a": ["x"]}).count() == 0
+
+
+def test_every_byte_of_every_script_counts():
+    rng = random.Random(6)
+    scripts = {"el": (0x3B1, 24), "hy": (0x561, 38), "he": (0x5D0, 27), "hi": (0x905, 60), "th": (0xE01, 58), "ka": (0x10D0, 33), "am": (0x1200, 300), "ja": (0x3041, 80), "zh": (0x4E00, 3000), "ko": (0xAC00, 3000), "ru": (0x430, 32)}
+    make = lambda lang, n: "".join(chr(scripts[lang][0] + rng.randrange(scripts[lang][1])) for _ in range(n))
+    training = {lang: [make(lang, 300)] for lang in scripts} | {"en": ["plain words with all of the letters " * 9]}
+    parser = L.CrossParser(training)
+    used = {b for texts in training.values() for b in " ".join(texts).encode() if b >= 128}
+    assert len(used) > 70 and len({parser.classes[b] for b in used} - {0, 1}) == len(used)
+    texts = [make(lang, 90) for lang in scripts] + ["letters ж 漢 and words"]
+    got = parser.phrases([t.encode() for t in texts])
+    for k, lang in enumerate(parser.languages):
+        source = " ".join(training[lang]).encode().translate(parser.classes)
+        assert got[k].tolist() == [brute_phrases(t.encode().translate(parser.classes), source) for t in texts]
+    assert parser.predict(texts[: len(scripts)])[0] == list(scripts)
