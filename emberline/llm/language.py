@@ -3,14 +3,18 @@
 Each language has one suffix automaton over labelled text. A text is parsed greedily against it: from the automaton's
 start, as far as the text goes on as a substring of the training text; there a phrase ends and the next one begins.
 Phrases times log2 of the training length over the text's length estimate the cross entropy in bits a byte, which
-makes languages with more or less training text comparable; the language with the fewest such bits wins.
+makes languages with more or less training text comparable; the language with the fewest such bits wins. A phrase is a
+place in the training text or one of 256 bytes, so that a language of a few words doesn't win by cheap phrases.
 
 The automata are dense transition tables over the byte classes that the language's own training text has, in which a
 missing transition already holds the start of the next phrase and what it adds to the count. Blocks of BLOCK bytes of all texts of a batch are parsed in lockstep
-against all languages at once; a block's end ends a phrase. Every byte of every text is parsed.
+against a group of languages at once; a block's end ends a phrase. Every byte of every text is parsed against every
+language that has a labelled row. Where the tables of all languages are more than a worker should hold, those of each
+group are laid out anew for every batch.
 
 The classifier is fitted on a bounded sample of labelled rows: for each language the whole texts with the smallest id
-hashes, until they have TRAIN_BYTES bytes, from at most TRAIN_ROWS rows of at most ROW_BYTES bytes.
+hashes, until they have TRAIN_BYTES bytes, from at most TRAIN_ROWS rows of at most ROW_BYTES bytes. A language that has
+longer rows only is fitted on the beginning of one of them.
 
 Defined results: a null text, or one without letters, is `und` with score 0, as are all texts without training rows;
 ties go to the language first in code point order; a null id counts as empty and so as held out; repeated rows stay; an
@@ -31,8 +35,8 @@ from emberline.llm.shared import table
 
 UNKNOWN = "und"
 TRAIN_BYTES, TRAIN_ROWS, ROW_BYTES = 24_000, 64, 96_000
-#: Languages that are told apart, those with the most labelled rows; one takes about 9 MB of a worker's memory.
-MAX_LANGUAGES = 64
+#: Entries of 4 bytes in the tables that a worker holds at once; a language takes about two million.
+GROUP_ENTRIES = 150_000_000
 BLOCK = 2048
 FOLDS = 5
 
@@ -90,7 +94,7 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """Tables of all languages in one array; what a text's parse against each costs."""
+    """Automata of all languages; what a text's parse against each costs."""
 
     def __init__(self, training: dict[str, list[str]]) -> None:
         joined = {lang: " ".join(texts).lower().encode("utf-8", "surrogatepass") for lang, texts in sorted(training.items())}
@@ -98,29 +102,42 @@ class CrossParser:
         self.classes = byte_classes(list(joined.values()))
         #: For each language: the column of each class, 0 for those that its own training text lacks.
         self.columns = np.zeros((len(joined), 256), np.uint8)
-        tables, self.roots, self.bits, base = [], [], [], 0
+        self.bits: list[float] = []
+        self.automata: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         for k, data in enumerate(joined.values()):
             go = suffix_automaton(data.translate(self.classes))
             column = {c: n for n, c in enumerate(sorted(go[0]), 1)}
             self.columns[k, list(column)] = list(column.values())
-            width = len(column) + 1
-            # a state is the place of its row in the table
-            start = np.full(width, base, np.uint32) + np.uint32(1 << 30)
-            for c, to in go[0].items():
-                start[column[c]] = base + to * width
-            # from any other state a missing transition ends a phrase; a byte that the start lacks is one of its own
-            fail = np.where(start >> np.uint32(30) > 0, np.uint32(base + (2 << 30)), start + np.uint32(1 << 30))
-            own = np.tile(fail, (len(go), 1))
-            own[0] = start
-            at = [(s, column[c], base + to * width) for s, row in enumerate(go) if s for c, to in row.items()]
-            if at:
-                s, c, to = np.array(at, np.int64).T
-                own[s, c] = to
-            tables.append(own.ravel())
-            self.roots.append(base)
-            self.bits.append(float(np.log2(len(data) + 2)))
-            base += own.size
-        self.table = np.concatenate(tables) if tables else np.empty(0, np.uint32)
+            at = np.array([(s, column[c], to) for s, row in enumerate(go) for c, to in row.items()], np.int32).reshape(-1, 3)
+            self.automata.append((len(go), len(column) + 1, *at.T))
+            self.bits.append(float(np.log2(len(data) + 256)))
+        self.groups: list[tuple[int, int]] = []
+        held = 0
+        for k, (states, width, *_) in enumerate(self.automata):
+            if not k or held + states * width > GROUP_ENTRIES:
+                self.groups.append((k, k))
+                held = 0
+            self.groups[-1] = (self.groups[-1][0], k + 1)
+            held += states * width
+        self._laid: tuple[tuple[int, int], np.ndarray, np.ndarray] | None = None
+
+    def tables(self, group: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of a group of languages in one array; the start of each. A state is the place of its row."""
+        if self._laid is None or self._laid[0] != group:
+            self._laid = None
+            automata = self.automata[slice(*group)]
+            ends = np.cumsum([states * width for states, width, *_ in automata])
+            table, roots = np.empty(ends[-1], np.uint32), np.concatenate(([0], ends[:-1])).astype(np.uint32)
+            for base, end, (states, width, s, c, to) in zip(roots.tolist(), ends.tolist(), automata):
+                own, place = table[base:end].reshape(states, width), base + to.astype(np.int64) * width
+                start = np.full(width, base + (1 << 30), np.uint32)
+                start[c[s == 0]] = place[s == 0]
+                # from any other state a missing transition ends a phrase; a byte that the start lacks is one of its own
+                own[:] = np.where(start >> np.uint32(30) > 0, np.uint32(base + (2 << 30)), start + np.uint32(1 << 30))
+                own[s, c] = place
+                own[0] = start
+            self._laid = group, table, roots
+        return self._laid[1:]
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text (lower-case UTF-8) against each language."""
@@ -134,17 +151,19 @@ class CrossParser:
         order = np.argsort(-length, kind="stable")
         of, begin, length = of[order], begin[order], length[order]
         active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
-        roots = np.array(self.roots, np.uint32)[:, None]
-        state = np.repeat(roots, len(of), axis=1)
-        count = np.zeros(state.shape, np.uint32)
-        for t, a in enumerate(active.tolist()):
-            step = self.table[state[:, :a] + self.columns[:, codes[begin[:a] + t]]]
-            count[:, :a] += step >> np.uint32(30)
-            state[:, :a] = step & STATE
-        count += state != roots
-        total = np.zeros((len(self.roots), len(texts)), np.int64)
-        for k in range(len(self.roots)):
-            total[k] = np.bincount(of, weights=count[k], minlength=len(texts)).astype(np.int64)
+        total = np.zeros((len(self.languages), len(texts)), np.int64)
+        for group in self.groups:
+            table, roots = self.tables(group)
+            columns, roots = self.columns[slice(*group)], roots[:, None]
+            state = np.repeat(roots, len(of), axis=1)
+            count = np.zeros(state.shape, np.uint32)
+            for t, a in enumerate(active.tolist()):
+                step = table[state[:, :a] + columns[:, codes[begin[:a] + t]]]
+                count[:, :a] += step >> np.uint32(30)
+                state[:, :a] = step & STATE
+            count += state != roots
+            for k, own in enumerate(count, group[0]):
+                total[k] = np.bincount(of, weights=own, minlength=len(texts)).astype(np.int64)
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -179,12 +198,13 @@ def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Whole training texts of each language, bounded as told above; never of held-out rows."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     place = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 40))
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
-    counts = counts.orderBy(F.col("_n").desc(), "_lang").limit(MAX_LANGUAGES)
-    near = F.least(F.lit(4.0 * TRAIN_ROWS) / F.col("_n"), F.lit(1.0)) * F.lit(float(1 << 40))
-    few = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where((place < near) & (F.octet_length(text_col) <= ROW_BYTES))
+    short = F.octet_length(text_col) <= ROW_BYTES
+    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count_if(short).alias("_n"), F.min(F.when(short, place)).alias("_least"), F.min(place).alias("_long"))
+    near = F.greatest(F.least(F.lit(4.0 * TRAIN_ROWS) / F.col("_n"), F.lit(1.0)) * F.lit(float(1 << 40)), F.col("_least") + 1)
+    wanted = F.when(F.col("_n") > 0, short & (place < near)).otherwise(place == F.col("_long"))
+    few = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where(wanted)
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_place", "_text"))
-    few = few.select("_lang", place.alias("_place"), F.col(text_col).alias("_text")).withColumn("_nth", nth).where(F.col("_nth") <= TRAIN_ROWS)
+    few = few.select("_lang", place.alias("_place"), F.when(short, F.col(text_col)).otherwise(F.substring(text_col, 1, TRAIN_BYTES)).alias("_text")).withColumn("_nth", nth).where(F.col("_nth") <= TRAIN_ROWS)
     so_far = F.sum(F.octet_length("_text")).over(Window.partitionBy("_lang").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1))
     chosen = few.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < TRAIN_BYTES).orderBy("_lang", "_nth").collect()
     out: dict[str, list[str]] = {}

@@ -86,3 +86,20 @@ def test_every_byte_of_every_script_counts():
         source = " ".join(training[lang]).encode().translate(parser.classes)
         assert got[k].tolist() == [brute_phrases(t.encode().translate(parser.classes), source) for t in texts]
     assert parser.predict(texts[: len(scripts)])[0] == list(scripts)
+
+
+def test_rare_languages_and_those_of_long_rows_are_learned(spark, monkeypatch):
+    rng = random.Random(7)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)] for k in range(80)}
+    say = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    langs = [lang for k, lang in enumerate(words) for _ in range(3 if k < 70 else 1)]
+    rows = [(i, say(lang, 20000 if lang == "l079" else 60), lang, "s") for i, lang in zip(train, langs)] + [(train[-1], "ab", "tiny", "s")]
+    training = L.training_texts(documents(spark, rows))
+    assert sorted(training) == [*words, "tiny"]
+    texts = [say(lang, 20) for lang in words]
+    whole = L.CrossParser(training)
+    assert whole.predict(texts)[0] == list(words)
+    monkeypatch.setattr(L, "GROUP_ENTRIES", 200_000)
+    grouped = L.CrossParser(training)
+    assert len(grouped.groups) > 3 and len(whole.groups) == 1 and grouped.predict(texts) == whole.predict(texts)
