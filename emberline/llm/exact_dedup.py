@@ -1,12 +1,13 @@
 """Exact dedup by heavy-hitter split.
 
 Misra-Gries summaries of every partition are merged in a tree and name the digests that may be frequent. Their exact
-counts and winners are then verified and broadcast, so that rows of frequent texts are decided where they are; only
-the remaining digests, none of which is frequent, are shuffled.
+counts and winners are then verified and broadcast, so that rows of frequent texts are decided where they are. The
+remaining digests are counted by a grouping that combines before its shuffle, and their rows meet their group's winner
+in a join that splits the larger ones.
 
 Defined results: a null text counts as empty; a null id sorts after all others and is the winner only of a group
 without other ids; rows that repeat id and text are rows like any others, and exactly one row of a group is kept;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored, whatever they are called, or kept as they are.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import drop_staged, match_rows, stage, table
+from emberline.llm.shared import drop_staged, join_splitting_hot, match_rows, place, plain, restored, stage, table
 
 WHITE = r"[\x20\x09-\x0D]+"
 #: Counters of a summary: a digest of over 1/(CAPACITY + 1) of all rows is found for sure.
@@ -65,35 +66,33 @@ def frequent_candidates(digests: DataFrame, capacity: int = CAPACITY) -> DataFra
 
 def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept and digest (32 bytes)."""
-    rows = stage(docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
+    wanted = plain(docs).select(F.col(place(docs, id_col)).alias("id"), text_digest(place(docs, text_col)).alias("digest"))
+    rows = stage(wanted.withColumn("row", F.monotonically_increasing_id()))
     candidates = stage(frequent_candidates(rows, capacity))
     total = rows.count()
-    winners = stage(
-        rows.join(F.broadcast(candidates), "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first"))
-        .where(F.col("n") * (capacity + 1) > F.lit(total))
-        .select("digest", "n", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"))
-    )
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("first")
+
+    def groups(of: DataFrame) -> DataFrame:
+        return of.groupBy("digest").agg(F.count("*").alias("n"), first).select("digest", "n", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+
+    winners = stage(groups(rows.join(F.broadcast(candidates), "digest", "left_semi")).where(F.col("n") * (capacity + 1) > F.lit(total)))
     drop_staged(candidates)
-    out = ["id", "keep_id", F.col("n").alias("group_size"), "kept", "digest"]
-    frequent = rows.join(F.broadcast(winners), "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
-    in_order = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last(), "row")
-    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rare = (
-        rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-        .withColumn("keep_id", F.first("id").over(whole))
-        .withColumn("n", F.count("*").over(whole))
-        .withColumn("kept", F.row_number().over(in_order) == 1)
-    )
-    return frequent.select(*out).unionByName(rare.select(*out))
+    frequent = rows.join(F.broadcast(winners), "digest")
+    # a row whose digest nothing else has needs no partner; the others meet the winner of their group
+    rare = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    shared = groups(rare).where("n > 1").withColumn("size", F.col("n"))
+    met = join_splitting_hot(rare, shared, ["digest"], "size", total, "left")
+    met = met.withColumn("keep_id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")))
+    met = met.withColumns({"keep_row": F.coalesce("keep_row", "row"), "n": F.coalesce("n", F.lit(1))})
+    out = ["id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"), "digest"]
+    return frequent.select(*out).unionByName(met.select(*out))
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs, with all their columns, that exact dedup keeps."""
     kept = group_copies(docs, id_col, text_col, capacity).where("kept").select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
-    with_digest = docs.withColumn("_digest", text_digest(text_col))
-    return match_rows(with_digest, kept, [(id_col, "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1").select(*docs.columns)
+    with_digest = plain(docs).withColumn("_digest", text_digest(place(docs, text_col)))
+    return restored(match_rows(with_digest, kept, [(place(docs, id_col), "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1"), docs)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,38 +1,33 @@
-"""Helpers the training-data operators share: scratch tables that survive lost executors, and joins that split hot keys."""
+"""Helpers the training-data operators share: scratch tables that survive lost executors, joins that split hot keys,
+and names that can't clash with those of a user's table."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from emberline.sources.scratch import drop_written as drop_staged  # noqa: F401
+from emberline.sources.scratch import written as stage  # noqa: F401
 
 #: A key that holds at least 1/HOT_SHARE of the rows is joined by broadcast; there are at most HOT_SHARE of them.
-HOT_SHARE = 1000
+HOT_SHARE = 20_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for cut lineage: spark.checkpoint.dir where it is set, else a folder of the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return base.rstrip("/") + "/emberline" if base else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_emberline"
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... by place: whatever a user's columns are called, twice or with dots, no
+    helper column takes the place of one of them."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared scratch folder and read it back, so that later reads don't repeat its work."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def place(df: DataFrame, column: str) -> str:
+    """The name of a column of df in plain(df)."""
+    return f"c{df.columns.index(column)}"
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete a table that stage() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    root = scratch_root(spark).rpartition("/")[2]
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"/{root}/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def restored(rows: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of plain(df) in rows, under df's own names."""
+    return rows.select(*[f"c{k}" for k in range(len(df.columns))]).toDF(*df.columns)
 
 
 def join_splitting_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
@@ -42,9 +37,8 @@ def join_splitting_hot(left: DataFrame, right: DataFrame, on: list[str], count:
     of left stay where they are. All other keys are shuffled, none of them large. how: "inner" or "left".
     Keys that are null match null keys. `count` isn't returned.
     """
-    is_hot = F.col(count) * HOT_SHARE >= F.lit(total)
-    hot = right.where(is_hot & (F.col(count) > 1)).drop(count)
-    cold = right.where(~(is_hot & (F.col(count) > 1))).drop(count)
+    is_hot = (F.col(count) * HOT_SHARE >= F.lit(total)) & (F.col(count) > 1)
+    hot, cold = right.where(is_hot).drop(count), right.where(~is_hot).drop(count)
     values = [c for c in hot.columns if c not in on]
 
     def renamed(df: DataFrame, tag: str) -> DataFrame:
@@ -63,18 +57,28 @@ def join_splitting_hot(left: DataFrame, right: DataFrame, on: list[str], count:
     return by_map.unionByName(by_shuffle)
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def match_rows(rows: DataFrame, found: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
     """Inner join of wide rows with found, one row for each key of it, on pairs of columns of which null matches null.
 
-    Adds `_nth`, which numbers the rows that share a key from 1. The join goes by a hash of the key, and so the
-    numbering finds its rows together: the wide rows are shuffled once. The keys themselves are compared as well.
+    Adds `_nth`, which numbers the rows that share a key from 1, by a hash of all that a row has, so that a task which
+    runs again numbers them alike. The join goes by a hash of the key, and so the numbering finds its rows together:
+    the wide rows are shuffled once. The keys themselves are compared as well.
     """
     keyed = rows.withColumn("_key", F.xxhash64(*[F.col(a) for a, _ in on]))
     wanted = found.withColumn("_found_key", F.xxhash64(*[F.col(b) for _, b in on]))
     same = F.col("_key") == F.col("_found_key")
     for a, b in on:  # not written as <=>, which Spark would make a key of the shuffle
         same = same & F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
-    repeats = Window.partitionBy("_key", *[a for a, _ in on]).orderBy(F.lit(0))
+    all_of_it = F.xxhash64(*[F.col(f.name) for f in rows.schema if _hashable(f.dataType)])
+    repeats = Window.partitionBy("_key", *[a for a, _ in on]).orderBy(all_of_it)
     return keyed.join(wanted, same).withColumn("_nth", F.row_number().over(repeats)).drop("_key", "_found_key")
 
 

@@ -1,24 +1,31 @@
 """SimHash near-dedup: a self-join of fingerprints over binary tries.
 
-Fingerprints that differ in at most BUDGET of 64 bits agree on at least one of BUDGET + 1 blocks of bits. So the trie
-over all fingerprints is laid out once for each block, with that block's bits on top: every pair then meets in a
-sub-trie under a shared top, and sub-tries with different tops need no visit. Inside a sub-trie pairs of nodes are
-walked down together, level by level, with the differing bits so far; a pair of nodes goes as soon as it is over the
-budget, or once both nodes lie in one component already. A task returns a spanning forest of the links it found, at
-most one edge for each fingerprint, never all pairs. A sub-trie with more than MAX_NODE fingerprints is cut into child
-nodes by its next bits, and each pair of children within the budget becomes a task of its own.
+Pairs of trie nodes are walked down together, level by level, with the differing bits so far, to single leaves; a pair
+of nodes goes as soon as it is over the budget, or once both nodes lie in one component already. A task returns a
+spanning forest of the links it found, at most one edge for each fingerprint, never all pairs.
+
+One trie for all fingerprints can't be shared out: near its root each node must meet hundreds of others. So the trie is
+laid out several times, each time with other bits on top. Of BUDGET + s blocks that make up the 64 bits, two
+fingerprints within the budget agree on at least s; a layout for each choice of s blocks, with these on top, has every
+such pair in one sub-trie under a shared top, and sub-tries with different tops need no visit. s grows with the number
+of fingerprints, so that an evenly filled sub-trie has far fewer than MAX_NODE. A sub-trie that has more nonetheless is
+laid out again, BUDGET + 1 times, with a block of the bits below its top moved up, until none has more: fingerprints
+are distinct, so a sub-trie with few bits left is small. A fingerprint is copied once for each layout (5, 15, 35 or 70 times),
+and BUDGET + 1 times for each further layout of a crowded place, whatever the number of rows.
 
 Only distinct fingerprints are joined. Components come from rounds of star contraction over the forest edges, with each
 round written to the shared scratch folder.
 
 Defined results: a null, empty or wordless text has fingerprint zero, linked like any other; under 4 words the whole
 sequence is the one shingle; equal texts share a fingerprint and so a component; null ids never name a component that
-has other ids; repeated rows stay; an empty table gives no rows; other columns are ignored.
+has other ids; repeated rows stay; an empty table gives no rows; other columns are ignored, whatever they are called,
+or kept as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,14 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import drop_staged, join_splitting_hot, match_rows, stage, table
+from emberline.llm.shared import drop_staged, join_splitting_hot, match_rows, place, plain, restored, stage, table
 
 SHINGLE = 4
 SEED = 42
 BUDGET = 4
-#: Fingerprints of a sub-trie that one task takes; a larger one is cut into pairs of child nodes.
+#: Fingerprints of a sub-trie that one task takes; a larger one is laid out again.
 MAX_NODE = 50_000
-#: Fingerprints that one partition gets on average.
+#: Shared top bits up to which a sub-trie is laid out again; below, it has at most 2**(63 - SPLIT_TO) fingerprints.
+SPLIT_TO = 48
+#: Rows that one partition gets on average.
 PER_TASK = 200_000
 #: Node pairs or leaf pairs held at once while a trie is walked.
 CHUNK = 1 << 20
@@ -83,7 +92,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), fp, *batch.columns[2:]], ["id", "fp", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[text_digest(text_col).alias(n) for n in more])
+    text = place(docs, text_col)
+    rows = plain(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(text).alias("text"), *[text_digest(text).alias(n) for n in more])
     return rows.mapInArrow(of, f"id {kind}, fp long" + "".join(f", {n} string" for n in more))
 
 
@@ -141,7 +151,7 @@ def walk_tries(keys: np.ndarray, nodes: tuple[np.ndarray, ...], budget: int = BU
         one = (turns[ahi - 1] == turns[alo]) & (turns[bhi - 1] == turns[blo]) & (root[alo] == root[blo])
         if one.any():
             alo, ahi, blo, bhi, off = (x[~one] for x in (alo, ahi, blo, bhi, off))
-        few = ((ahi - alo) * (bhi - blo) <= 32) | (d == 64)
+        few = ((ahi - alo) * (bhi - blo) == 1) | (d == 64)
         if few.any():
             i, j = pairs_below(alo[few], ahi[few], blo[few], bhi[few])
             near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
@@ -163,68 +173,98 @@ def walk_tries(keys: np.ndarray, nodes: tuple[np.ndarray, ...], budget: int = BU
     return root
 
 
-def blocks(budget: int = BUDGET) -> list[tuple[int, int]]:
-    """(first bit from the top, bits) of budget + 1 blocks that make up 64 bits."""
-    edges = [round(64 * k / (budget + 1)) for k in range(budget + 2)]
+def blocks(parts: int) -> list[tuple[int, int]]:
+    """(first bit from the top, bits) of so many blocks that make up 64 bits."""
+    edges = [round(64 * k / parts) for k in range(parts + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def layouts(n: int, budget: int, max_node: int) -> list[list[tuple[int, int]]]:
+    """Orders of the blocks of a fingerprint, and how many stand on top, so that n spread fingerprints fill no sub-trie."""
+    for shared in range(1, 5):
+        cut = blocks(budget + shared)
+        if n <= (max_node // 4) << min(sum(w for _, w in c) for c in combinations(cut, shared)):
+            break
+    return [([*top, *(x for x in cut if x not in top)], sum(w for _, w in top)) for top in combinations(cut, shared)]
+
+
+def _gathered(order: list[tuple[int, int]]) -> str:
+    """SQL of fp with its blocks in this order from the top."""
+    out, at = [], 0
+    for a, w in order:
+        at += w
+        out.append(f"shiftleft(shiftrightunsigned(fp, {64 - a - w}) & {(1 << w) - 1}L, {64 - at})")
+    return "(" + " | ".join(out) + ")"
+
+
+def _laid_again(budget: int) -> F.Column:
+    """Array of (layout, bits, turned) that put each block of the bits below the top up to the others."""
+    each = []
+    for j in range(budget + 1):
+        first, after = f"(bits + (64 - bits) * {j} div {budget + 1})", f"(bits + (64 - bits) * {j + 1} div {budget + 1})"
+        first, after = f"cast({first} as int)", f"cast({after} as int)"
+        top = "shiftleft(shiftrightunsigned(turned, 64 - bits), 64 - bits)"
+        own = f"shiftleft(shiftrightunsigned(shiftleft(turned, {first}), 64 - {after} + {first}), 64 - bits - {after} + {first})"
+        skipped = f" | shiftleft(shiftrightunsigned(shiftleft(turned, bits), 64 - {first} + bits), 64 - {after})" if j else ""
+        rest = f"(turned & (shiftleft(1L, 64 - {after}) - 1))"
+        each.append(f"struct(layout * 16 + {j + 1} as layout, bits + {after} - {first} as bits, ({top} | {own}{skipped} | {rest}) as turned)")
+    return F.expr(f"array({', '.join(each)})")
+
+
 def forest_of_partition(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """Spanning forest (u > v by fingerprint) of the links among rows with the same block, top, lo and hi."""
-    cuts = blocks(budget)
-    first, bits = (np.array(x)[pdf["block"].to_numpy()] for x in zip(*cuts))
-    fp = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64)
-    turned = np.where(first == 0, fp, (fp << first.astype(np.uint64)) | (fp >> ((64 - first) % 64).astype(np.uint64)))
-    block, top, lo, hi, cut = (pdf[c].to_numpy() for c in ("block", "top", "lo", "hi", "cut"))
-    order = np.lexsort((turned, hi, lo, top, block))
-    block, top, lo, hi, cut, turned, fp, bits = (x[order] for x in (block, top, lo, hi, cut, turned, fp, bits))
+    """Spanning forest (u > v by fingerprint) of the links among rows with the same layout and top."""
+    order = np.lexsort((pdf["turned"].to_numpy().view(np.uint64), pdf["layout"].to_numpy()))
+    layout, bits, turned, fp = (pdf[c].to_numpy()[order] for c in ("layout", "bits", "turned", "fp"))
+    turned = turned.view(np.uint64)
+    top = turned >> (64 - bits).astype(np.uint64)
     new = np.ones(len(order), bool)
-    new[1:] = (block[1:] != block[:-1]) | (top[1:] != top[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    new[1:] = (layout[1:] != layout[:-1]) | (top[1:] != top[:-1])
     start = np.flatnonzero(new)
     end = np.append(start[1:], len(order))
-    depth = (bits + cut)[start]
-    # a task of two children: its leaves are first those of lo, then those of hi
-    child = (turned >> (64 - bits - cut).astype(np.uint64)) & ((np.uint64(1) << cut.astype(np.uint64)) - np.uint64(1))
-    in_lo = np.concatenate(([0], np.cumsum(child == lo.astype(np.uint64))))
-    middle = start + in_lo[end] - in_lo[start]
-    two = lo[start] != hi[start]
-    nodes = (start, np.where(two, middle, end), np.where(two, middle, start), end, np.bitwise_count(lo[start] ^ hi[start]).astype(np.int64), depth)
-    ok = (nodes[0] < nodes[1]) & (nodes[2] < nodes[3])
-    root = walk_tries(turned, tuple(x[ok] for x in nodes), budget)
+    start, end = start[end - start > 1], end[end - start > 1]
+    nodes = (start, end, start, end, np.zeros(len(start), np.int64), bits[start].astype(np.int64))
+    root = walk_tries(turned, nodes, budget)
     led = np.flatnonzero(root != np.arange(len(root)))
-    a, b = fp[led].view(np.int64), fp[root[led]].view(np.int64)
+    a, b = fp[led], fp[root[led]]
     return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
 
 
+def laid_out(distinct: DataFrame, n: int, budget: int = BUDGET, max_node: int = MAX_NODE) -> tuple[DataFrame, int]:
+    """Rows layout, bits, turned, top and fp of the n fingerprints, and their number. Fingerprints that share layout and
+    top make up a sub-trie, of at most max_node; any two within the budget share one at least."""
+    top = F.expr("shiftrightunsigned(turned, 64 - bits)").alias("top")
+    first = [f"struct({k}L as layout, {bits} as bits, {_gathered(order)} as turned)" for k, (order, bits) in enumerate(layouts(n, budget, max_node), 1)]
+    laid = distinct.select("fp", F.inline(F.expr(f"array({', '.join(first)})"))).select("layout", "bits", "turned", top, "fp")
+    count, done, total = n * len(first), [], 0
+    while True:
+        crowded = stage(laid.where(f"bits <= {SPLIT_TO}").groupBy("layout", "top").agg(F.count("*").alias("size")).where(F.col("size") > max_node))
+        if crowded.isEmpty():
+            done.append(laid)
+            total += count
+            break
+        met = join_splitting_hot(laid, crowded.withColumn("crowd", F.col("size")), ["layout", "top"], "size", count, "left")
+        done.append(met.where("crowd is null").drop("crowd"))
+        again = met.where("crowd is not null").select("fp", F.col("bits").alias("bits"), "layout", "turned")
+        laid = stage(again.select("fp", F.inline(_laid_again(budget))).select("layout", "bits", "turned", top, "fp"))
+        total += count
+        count = laid.count()
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    return rows, total
+
+
 def link_forest(distinct: DataFrame, budget: int = BUDGET, max_node: int = MAX_NODE) -> DataFrame:
     """Edges (u > v) over distinct fingerprints (column fp) with the same components as all links within the budget."""
-    spark, n = distinct.sparkSession, distinct.count()
-    tops = F.array(*[F.struct(F.lit(k).alias("block"), F.expr(f"cast((shiftrightunsigned(fp, {64 - a - w})) & {(1 << w) - 1} as int)").alias("top")) for k, (a, w) in enumerate(blocks(budget))])
-    laid = distinct.select("fp", F.inline(tops))
-    # at most 2**13 tops for each block
-    large = laid.groupBy("block", "top").agg(F.count("*").alias("size")).where(F.col("size") > max_node)
-    laid = laid.join(F.broadcast(large), ["block", "top"], "left")
-    # cut: how many of the next bits tell the children of a large node
-    width = F.element_at(F.lit([w for _, w in blocks(budget)]), F.col("block") + 1)
-    laid = laid.withColumn("cut", F.when(F.col("size").isNull(), 0).otherwise(F.least(F.ceil(F.log2(F.col("size") / max_node)) + 2, F.lit(12)).cast("int")))
-    turned = F.col("fp")
-    for k, (a, _) in enumerate(blocks(budget)):
-        if a:
-            turned = F.when(F.col("block") == k, F.shiftleft("fp", a).bitwiseOR(F.shiftrightunsigned("fp", 64 - a))).otherwise(turned)
-    child = F.expr("cast(shiftrightunsigned(turned, 64 - width - cut) & (shiftleft(1L, cut) - 1) as int)")
-    laid = laid.withColumn("turned", turned).withColumn("width", width)
-    laid = laid.withColumn("child", F.when(F.col("cut") == 0, 0).otherwise(child))
-    near = F.expr(f"filter(sequence(0, cast(shiftleft(1L, cut) - 1 as int)), x -> bit_count(x) <= {budget})")
-    tasks = laid.withColumn("flip", F.explode(near)).withColumn("other", F.col("child").bitwiseXOR(F.col("flip")))
-    tasks = tasks.select("block", "top", F.least("child", "other").alias("lo"), F.greatest("child", "other").alias("hi"), "cut", "fp")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(budget + 1) * n // PER_TASK))
+    rows, total = laid_out(distinct, distinct.count(), budget, max_node)
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_TASK))
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(batches)
         if held:
             yield forest_of_partition(pd.concat(held, ignore_index=True), budget)
 
-    return tasks.repartition(parts, "block", "top", "lo", "hi").mapInPandas(joined, "u long, v long").distinct()
+    return rows.repartition(parts, "layout", "top").mapInPandas(joined, "u long, v long").distinct()
 
 
 # ----------------------------------------------------------------- components
@@ -271,8 +311,8 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     named = near_groups(docs, id_col, text_col, shingle, budget, digest=True).where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = named.groupBy("root").agg(F.min("id").alias("_kept_id"), F.min("digest").alias("_kept_digest")).drop("root")
-    with_digest = docs.withColumn("_digest", text_digest(text_col))
-    return match_rows(with_digest, kept, [(id_col, "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1").select(*docs.columns)
+    with_digest = plain(docs).withColumn("_digest", text_digest(place(docs, text_col)))
+    return restored(match_rows(with_digest, kept, [(place(docs, id_col), "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1"), docs)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

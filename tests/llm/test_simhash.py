@@ -37,28 +37,37 @@ def test_fingerprint_matches_definition():
         assert S.simhash(text) & (1 << 64) - 1 == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("cut", [0, 3])
-def test_trie_walk_matches_all_pairs(cut):
-    rng = np.random.default_rng(cut)
+def near_prints(seed, n=400):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**64, 60, dtype=np.uint64)
-    near = base[rng.integers(0, 60, 400)]
+    near = base[rng.integers(0, 60, n)]
     for _ in range(5):
-        flip = rng.random(400) < 0.7
-        near = np.where(flip, near ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)), near)
-    fps = np.unique(np.concatenate([base, near]))
-    rows = []
-    for b, (a, w) in enumerate(S.blocks()):
-        turned = (fps << np.uint64(a)) | (fps >> np.uint64((64 - a) % 64)) if a else fps
-        top, child = (turned >> np.uint64(64 - w)).astype(int), ((turned >> np.uint64(64 - w - cut)) & np.uint64((1 << cut) - 1)).astype(int)
-        for flip in range(1 << cut):
-            if flip.bit_count() <= 4:
-                rows.append(pd.DataFrame({"block": b, "top": top, "lo": np.minimum(child, child ^ flip), "hi": np.maximum(child, child ^ flip), "cut": cut, "fp": fps.view(np.int64)}))
-    forest = S.forest_of_partition(pd.concat(rows, ignore_index=True), 4)
+        flip = rng.random(n) < 0.7
+        near = np.where(flip, near ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)), near)
+    return np.unique(np.concatenate([base, near]))
+
+
+@pytest.mark.parametrize("max_node", [50_000, 40])
+def test_trie_walk_matches_all_pairs(spark, max_node):
+    fps = near_prints(max_node)
+    distinct = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    rows = S.laid_out(distinct, len(fps), 4, max_node)[0].toPandas()
+    assert rows.groupby(["layout", "top"]).size().max() <= max_node
+    forest = S.forest_of_partition(rows, 4)
     at = {int(v): k for k, v in enumerate(fps.view(np.int64))}
     got = S.merge_roots(np.arange(len(fps)), np.array([at[u] for u in forest.u], int), np.array([at[v] for v in forest.v], int))
     assert got.tolist() == brute_components([int(f) for f in fps])
 
 
+def test_rows_laid_out_grow_in_proportion(spark):
+    """Where every layout is crowded, copies are bounded by the layouts, not by the number of fingerprints."""
+    rng = np.random.default_rng(3)
+    made = [(int(x),) for x in np.unique(rng.integers(-(2**63), 2**63 - 1, 8000))]
+    few, many = (spark.createDataFrame(made[:n], "fp long") for n in (1000, 8000))
+    assert S.laid_out(few, 1000, 4, 50)[0].count() == 5 * 1000 and S.laid_out(many, 8000, 4, 50)[0].count() == 5 * 8000
+    assert [len(S.layouts(n, 4, 50_000)) for n in (10**7, 10**9, 10**11, 10**13)] == [5, 15, 35, 70]
+
+
 def make_rows(seed):
     rng = random.Random(seed)
     words = ["w%d" % k for k in range(300)]
