@@ -1,15 +1,19 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Documents are tokenised and end with id 0. Only those over `capacity` tokens are cut, into full pieces after a first
-piece that may be shorter. Full pieces are sequences of their own. All other pieces are packed in rounds: every
-partition packs its items best-fit, largest first, and emits the bins that are nearly full; the others go on as items
-for the next round, in fewer partitions. Bins that went on are opened again, so that their pieces can part.
+piece that may be shorter. Full pieces are sequences of their own. All other pieces are dealt by hash to leaves, and
+each leaf packs its pieces best-fit, largest first. Bins that are nearly full are sequences; the others are the items
+that go up the tree, whole: a node packs the bins of FAN_IN neighbours best-fit into bins, and so on up to one root,
+which emits all that it has.
 
-The tree ends in one partition, or as soon as fewer partitions would hold over twice PER_TASK pieces each: then what
-is left hardly combines, and no task ever holds more, whatever the sizes.
+What goes up is bounded. A bin with less room than the smallest item left anywhere can take nothing and is emitted.
+Best fit leaves at most one bin at most half full at a node, so all others wait for such a bin of another node; a node
+sends its roomiest bins up, of PER_TASK / FAN_IN pieces at most, since what fits any bin fits a roomier one, and emits
+the rest. So no node ever holds more than PER_TASK pieces, whatever the sizes.
 
 Defined results: a null or empty text is the single id 0; rows that repeat an id are documents of their own, with equal
-pieces; an empty table gives no rows; other columns are ignored. Sequence numbers name round, partition and bin.
+pieces; an empty table gives no rows; other columns are ignored, whatever they are called. Sequence numbers name round,
+node and bin.
 """
 
 from __future__ import annotations
@@ -22,16 +26,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import stage, table
+from emberline.llm.shared import place, plain, stage, table
 
 CAPACITY = 2048
 #: A bin with at most this part of its room free is nearly full.
 SLACK = 1 / 256
-#: Pieces that a partition packs at least, as far as there are so many, and partitions whose rests meet in one.
+#: Pieces that a leaf packs at least, as far as there are so many, and nodes whose rests meet in one.
 PER_TASK, FAN_IN = 50_000, 8
 
 PIECE_SHAPE = "id {id}, piece int, start long, length long, ids_crc32 long"
@@ -105,7 +108,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             numbers = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of, pa.int64())), *numbers], ["id", "piece", "start", "length", "ids_crc32"])
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = plain(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
     return texts.mapInArrow(pieces, PIECE_SHAPE.format(id=kind))
 
 
@@ -138,47 +141,62 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(room, np.int64)
 
 
+def packed_node(number: int, last: bool, least: int, capacity: int, hand_up: int, names: list[str], length: str) -> Callable[[pa.Table], pa.Table]:
+    """What a node of round `number` does with the rows of its items: pieces (round 0) or bins of the round before."""
+
+    def packed(rows: pa.Table) -> pa.Table:
+        col = lambda name: rows.column(name).to_numpy()
+        order = np.lexsort((col("offset"), col("bin"), col("h")))
+        rows = rows.take(pa.array(order))
+        if number:
+            _, first, item = np.unique(col("bin"), return_index=True, return_inverse=True)
+            sizes = col("filled")[first]
+        else:
+            item, sizes = np.arange(len(order)), col(length)
+        bins, offsets, room = best_fit(sizes, capacity)
+        own = bins[item]
+        done = np.ones(len(room), bool) if last else (room <= int(capacity * SLACK)) | (room < least)
+        waiting = np.flatnonzero(~done)
+        waiting = waiting[np.argsort(-room[waiting], kind="stable")]
+        done[waiting[np.cumsum(np.bincount(own, minlength=len(room))[waiting]) > hand_up]] = True
+        node = int(rows.column("node")[0].as_py())
+        new = [col("h"), col("node") // FAN_IN, (number << 56) + (node << 32) + own, offsets[item] + col("offset"), (capacity - room)[own]]
+        return pa.Table.from_arrays([*(rows.column(n) for n in names), *(pa.array(x, pa.int64()) for x in new), pa.array(done[own])], [*names, *NODE_COLUMNS, "done"])
+
+    return packed
+
+
+#: Of each piece beside its own columns: hash, node, its bin, its place there, and what the bin holds.
+NODE_COLUMNS = ["h", "node", "bin", "offset", "filled"]
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK) -> DataFrame:
     """pieces (with a column length of at most capacity, and any others) with sequence_id and offset."""
-    names = pieces.columns
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    items = stage(pieces)
-
-    def round_of(number: int, last: bool) -> Callable:
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
-            rows = pa.Table.from_batches(held).combine_chunks()
-            bins, offsets, room = best_fit(rows.column("length").to_numpy(), capacity)
-            done = np.ones(len(bins), bool) if last else room[bins] <= int(capacity * SLACK)
-            seq = (np.int64(number) << 56) + (np.int64(TaskContext.get().partitionId()) << 32) + bins
-            out = [*rows.columns, pa.array(seq, pa.int64(), mask=~done), pa.array(np.where(done, offsets, 0), pa.int64())]
-            yield from pa.Table.from_arrays(out, [*names, "sequence_id", "offset"]).to_batches(max_chunksize=10_000)
-
-        return packed
-
-    full = F.col("length") >= capacity
-    whole = items.where(full).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(127 << 56)).withColumn("offset", F.lit(0).cast("long"))
-    done, rest, number, last = [whole], items.where(~full), 0, False
-    n = rest.count()
-    parts = max(1, min(n // per_task, 1 << 20))
+    own, length = plain(pieces), place(pieces, "length")
+    names, none = own.columns, F.lit(0).cast("long")
+    items = stage(own.withColumn("h", F.xxhash64(*names)))
+    full = F.col(length) >= capacity
+    done = [items.where(full).select(*names, (F.monotonically_increasing_id() + F.lit(127 << 56)).alias("bin"), none.alias("offset"))]
+    short = items.where(~full)
+    n, least = short.agg(F.count("*"), F.coalesce(F.min(length), F.lit(0))).first()
+    nodes = max(1, min(n // per_task, 1 << 20))
+    # dealt out by what a piece is, so that a task that runs again packs the same rows in the same order
+    rest = short.select(*names, "h", F.pmod("h", F.lit(nodes)).alias("node"), none.alias("bin"), none.alias("offset"), none.alias("filled"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + "".join(f", {c} long" for c in NODE_COLUMNS) + ", done boolean"
+    number = 0
     while n:
-        last = last or parts == 1
-        # dealt out by what an item is, so that a task that runs again packs the same rows in the same order
-        dealt = rest.repartition(parts, F.xxhash64(*names), F.lit(number)).sortWithinPartitions(*names)
-        out = stage(dealt.mapInArrow(round_of(number, last), shape))
-        done.append(out.where("sequence_id is not null"))
-        if last:
+        node = packed_node(number, nodes == 1, least, capacity, per_task // FAN_IN, names, length)
+        out = stage(rest.groupBy("node").applyInArrow(node, shape))
+        done.append(out.where("done").select(*names, "bin", "offset"))
+        if nodes == 1:
             break
-        rest = out.where("sequence_id is null").select(*names)
-        n = rest.count()
-        merged = max(1, parts // FAN_IN, -(-n // (2 * per_task)))
-        last, parts, number = merged >= parts, min(parts, merged), number + 1
+        rest = out.where("not done").drop("done")
+        n, least = rest.agg(F.count("*"), F.coalesce(F.min("filled"), F.lit(0))).first()
+        nodes, number = -(-nodes // FAN_IN), number + 1
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
-    return result
+    return result.toDF(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
