@@ -7,9 +7,11 @@ makes languages with more or less training text comparable; the language with th
 place in the training text or one of 256 bytes, so that a language of a few words doesn't win by cheap phrases.
 
 The automata are dense transition tables over the byte classes that the language's own training text has, in which a
-missing transition already holds the start of the next phrase and what it adds to the count. Blocks of BLOCK bytes of all texts of a batch are parsed in lockstep
-against a group of languages at once; a block's end ends a phrase. Every byte of every text is parsed against every
-language that has a labelled row. Where the tables of all languages are more than a worker should hold, those of each
+missing transition already holds the start of the next phrase and what it adds to the count. Blocks of BLOCK bytes of all
+texts of a batch are parsed in lockstep against a group of languages at once, each from an automaton's start. A block is
+then parsed anew from the state in which the block before it ended, until both parses are in one state, from which on
+they are the same; so phrases run on over the ends of blocks, and the counts are those of the whole text parsed in one
+go. Every byte of every text is parsed against every language that has a labelled row. Where the tables of all languages are more than a worker should hold, those of each
 group are laid out anew for every batch.
 
 The classifier is fitted on a bounded sample of labelled rows: for each language the whole texts with the smallest id
@@ -18,7 +20,7 @@ longer rows only is fitted on the beginning of one of them.
 
 Defined results: a null text, or one without letters, is `und` with score 0, as are all texts without training rows;
 ties go to the language first in code point order; a null id counts as empty and so as held out; repeated rows stay; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import table
+from emberline.llm.shared import place, plain, table
 
 UNKNOWN = "und"
 TRAIN_BYTES, TRAIN_ROWS, ROW_BYTES = 24_000, 64, 96_000
@@ -152,20 +154,53 @@ class CrossParser:
         of, begin, length = of[order], begin[order], length[order]
         active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
         total = np.zeros((len(self.languages), len(texts)), np.int64)
+        # place, after sorting, of the block that follows each block in its text; -1 behind the last
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        follows = np.full(len(order), -1, np.int64)
+        inner = np.flatnonzero(nth[1:] > 0)
+        follows[at[inner]] = at[inner + 1]
         for group in self.groups:
             table, roots = self.tables(group)
             columns, roots = self.columns[slice(*group)], roots[:, None]
             state = np.repeat(roots, len(of), axis=1)
-            count = np.zeros(state.shape, np.uint32)
+            count = np.zeros(state.shape, np.int64)
             for t, a in enumerate(active.tolist()):
                 step = table[state[:, :a] + columns[:, codes[begin[:a] + t]]]
                 count[:, :a] += step >> np.uint32(30)
                 state[:, :a] = step & STATE
-            count += state != roots
+            self._run_on(table, columns, roots[:, 0], codes, begin, length, follows, state, count)
+            count += (state != roots) & (follows < 0)
             for k, own in enumerate(count, group[0]):
                 total[k] = np.bincount(of, weights=own, minlength=len(texts)).astype(np.int64)
         return total
 
+    @staticmethod
+    def _run_on(table, columns, roots, codes, begin, length, follows, state, count) -> None:  # noqa: ANN001
+        """Bring end state and phrases of each block (as parsed from the start) to those of a parse that runs on from
+        the block before. Both are changed in place."""
+        plain_state, plain_count = state.copy(), count.copy()
+        lang, before = np.nonzero((follows >= 0) & (state != roots[:, None]))
+        while len(lang):
+            block = follows[before]
+            new, old = state[lang, before], roots[lang]
+            more = np.zeros(len(lang), np.int64)
+            end, here, t = plain_state[lang, block], np.arange(len(lang)), 0
+            while len(here):
+                k, b = lang[here], block[here]
+                column = columns[k, codes[begin[b] + t]]
+                one, two = table[new + column], table[old + column]
+                more[here] += (one >> np.uint32(30)).astype(np.int64) - (two >> np.uint32(30))
+                new, old, t = one & STATE, two & STATE, t + 1
+                out = t == length[b]
+                end[here[out]] = new[out]
+                on = (new != old) & ~out
+                here, new, old = here[on], new[on], old[on]
+            count[lang, block] = plain_count[lang, block] + more
+            changed = (end != state[lang, block]) & (follows[block] >= 0)
+            state[lang, block] = end
+            lang, before = lang[changed], block[changed]
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score: 1 less the winner's bits over the next best's."""
         known = [k for k, t in enumerate(texts) if t is not None and LETTER.search(t)] if self.languages else []
@@ -196,15 +231,17 @@ def parser_for(training: dict[str, list[str]]) -> CrossParser:
 
 def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
     """Whole training texts of each language, bounded as told above; never of held-out rows."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 40))
-    short = F.octet_length(text_col) <= ROW_BYTES
-    counts = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count_if(short).alias("_n"), F.min(F.when(short, place)).alias("_least"), F.min(place).alias("_long"))
+    rows = plain(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"), F.col(place(docs, lang_col)).alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    spot = F.pmod(F.xxhash64(F.col("id"), F.lit("train")), F.lit(1 << 40))
+    short = F.octet_length("text") <= ROW_BYTES
+    counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count_if(short).alias("_n"), F.min(F.when(short, spot)).alias("_least"), F.min(spot).alias("_long"))
     near = F.greatest(F.least(F.lit(4.0 * TRAIN_ROWS) / F.col("_n"), F.lit(1.0)) * F.lit(float(1 << 40)), F.col("_least") + 1)
-    wanted = F.when(F.col("_n") > 0, short & (place < near)).otherwise(place == F.col("_long"))
-    few = rows.join(F.broadcast(counts), F.col(lang_col) == F.col("_lang")).where(wanted)
+    wanted = F.when(F.col("_n") > 0, short & (spot < near)).otherwise(spot == F.col("_long"))
+    # one row a language: the model that every worker holds has an automaton for each
+    few = rows.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).where(wanted)
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_place", "_text"))
-    few = few.select("_lang", place.alias("_place"), F.when(short, F.col(text_col)).otherwise(F.substring(text_col, 1, TRAIN_BYTES)).alias("_text")).withColumn("_nth", nth).where(F.col("_nth") <= TRAIN_ROWS)
+    few = few.select("_lang", spot.alias("_place"), F.when(short, F.col("text")).otherwise(F.substring("text", 1, TRAIN_BYTES)).alias("_text")).withColumn("_nth", nth).where(F.col("_nth") <= TRAIN_ROWS)
     so_far = F.sum(F.octet_length("_text")).over(Window.partitionBy("_lang").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1))
     chosen = few.withColumn("_before", F.coalesce(so_far, F.lit(0))).where(F.col("_before") < TRAIN_BYTES).orderBy("_lang", "_nth").collect()
     out: dict[str, list[str]] = {}
@@ -223,7 +260,7 @@ def identify(docs: DataFrame, training: dict[str, list[str]], id_col: str = "doc
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    rows = plain(docs).select(F.col(place(docs, id_col)).alias("id"), held_out(place(docs, id_col)).alias("held_out"), F.col(place(docs, text_col)).alias("text"))
     return rows.mapInArrow(of, f"id {kind}, held_out boolean, lang_pred string, score double")
 
 

@@ -8,16 +8,14 @@ from emberline.llm import language as L
 
 
 def brute_phrases(text, training):
-    """Greedy longest matches by substring search, in blocks."""
-    n = 0
-    for start in range(0, len(text), L.BLOCK):
-        block, at = text[start : start + L.BLOCK], 0
-        while at < len(block):
-            end = at + 1
-            while end < len(block) and block[at : end + 1] in training:
-                end += 1
-            at = end
-            n += 1
+    """Greedy longest matches by substring search over the whole text."""
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in training:
+            end += 1
+        at = end
+        n += 1
     return n
 
 
@@ -27,6 +25,9 @@ def test_parse_matches_brute_force():
     training = {"aa": [make("abc d", 300)], "bb": [make("abde.", 200), make("ab", 50)], "cc": [make("éè a", 150)]}
     parser = L.CrossParser(training)
     texts = [make("abcde é.", n) for n in (1, 7, 50, 400, 2047, 2048, 2049, 5000)] + ["zzz", "a"]
+    # matches far longer than a block, phrases over several ends of blocks
+    training["dd"] = ["ab" * 3000 + "c"]
+    texts += ["ab" * 5000, "b" + "ab" * 2500 + "é" + "ab" * 900, training["aa"][0] * 9]
     data = [t.encode() for t in texts]
     got = parser.phrases(data)
     for k, lang in enumerate(parser.languages):
