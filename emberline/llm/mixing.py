@@ -7,11 +7,15 @@ fractional one meets the next document. Every block leaves at most one fractiona
 level of the tree, where FAN_IN blocks meet. Words are kept exactly at each trade, so a source misses its target only
 by what its very last document is rounded by, at most half its words. That miss is then handed on, up to EXCHANGES
 times, to the one document of the source whose size comes nearest to it and which can give or take a copy, so that
-sources of a few documents come near their targets too.
+sources of a few documents come near their targets too. So of each source all documents but the last and EXCHANGES
+others are included as pivotal rounding leaves them, with just the probability that their source's rate gives.
+
+What is random comes from hashes of id, text and the number of a copy among equal rows; neither the layout of the table
+nor the number of tasks matters. Equal rows are counted and dealt out anew, so they spread over blocks like others.
 
 Defined results: a null text has size 0, is its source's like any other and takes nothing; null is a source of its
 own, ordered last; where all sizes are 0 all targets are 0; rows that repeat are documents of their own; equal rows
-may swap what they take; an empty table gives no rows; other columns are ignored.
+may swap what they take; an empty table gives no rows; other columns are ignored, whatever they are called, or kept.
 """
 
 from __future__ import annotations
@@ -19,13 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import join_splitting_hot, match_rows, stage, table
+from emberline.llm.shared import join_splitting_hot, match_rows, place, plain, restored, stage, table
+from emberline.operators.logs import with_sequence
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order, repeating; what they share, as a part of all sizes; the most copies of a source.
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 BLOCK, FAN_IN, EXCHANGES = 128, 64, 4
+#: Equal rows that are dealt out by one task.
+EQUAL = 1 << 16
 SEED = 20240229
 #: A mass this near to none or all of a document is integral.
 NEAR = 1e-9
@@ -36,25 +43,25 @@ def word_count(text: str) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, n, source_size and target for each source of sized (source, size); one row per source all along.
+    """source, n, source_size and target for each source of sized (source, size).
 
-    Where targets stop, the excess goes to the others by weight. With the sources in order of stop over weight, the
-    first ones stop: source k does if its stop is at most its part of what is left after the stops of those before.
+    A source's target is its weight times a level that all sources share, or its stop if that is less. The level that
+    shares out everything is found from below: at each level some sources stop, and what the stops leave gives the next
+    level to the others, until no more of them stop.
     """
     by_source = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    ordered = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.lit(list(weights)), ((F.row_number().over(ordered) - 1) % len(weights) + 1).cast("int")).cast("double")
-    every = Window.partitionBy()
-    s = by_source.withColumn("weight", weight).withColumn("stop", F.col("source_size") * F.lit(float(most)))
-    s = s.withColumn("shared", F.sum("source_size").over(every) * F.lit(float(share)))
-    by_stop = Window.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("stop").over(by_stop.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(by_stop.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("stops", F.col("stop") <= F.col("weight") * (F.col("shared") - before) / open_weight)
-    stopped = F.sum(F.when(F.col("stops"), F.col("stop")).otherwise(0.0)).over(every)
-    others = F.sum(F.when(F.col("stops"), 0.0).otherwise(F.col("weight"))).over(every)
-    target = F.when(F.col("stops"), F.col("stop")).otherwise(F.col("weight") * (F.col("shared") - stopped) / others)
-    return s.withColumn("target", target).select("source", "n", "source_size", "target")
+    ordered = with_sequence(by_source.withColumn("last", F.col("source").isNull()), ["last", "source"], out="rank")
+    weight = F.element_at(F.lit(list(weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+    s = stage(ordered.select("source", "n", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("stop")))
+    shared = share * (s.agg(F.sum("source_size")).first()[0] or 0)
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("stop") <= F.col("weight") * F.lit(level)
+        n, left, open_ = s.agg(F.count_if(stops), F.lit(shared) - F.coalesce(F.sum(F.when(stops, F.col("stop"))), F.lit(0.0)), F.sum(F.when(~stops, F.col("weight")))).first()
+        if n == stopped or not open_:
+            break
+        level, stopped = left / open_, n
+    return s.select("source", "n", "source_size", F.least("stop", F.col("weight") * F.lit(level)).alias("target"))
 
 
 def _let(value: Column, then) -> Column:  # noqa: ANN001
@@ -99,29 +106,44 @@ def pivot_block(items: Column, place: list[Column], last: bool) -> Column:
     return F.transform(done, lambda x: settled(x, x["mass"], F.coalesce(x["copies"], F.round(x["mass"] / x["cap"]).cast("int"))))
 
 
-def exchange_misses(taken: DataFrame, misses: DataFrame, total: int) -> DataFrame:
-    """taken (nth, source, size, h, extra and others) after the misses (source, rows, miss: words short) were handed on."""
+def hand_on_misses(taken: DataFrame, misses: DataFrame, total: int) -> DataFrame:
+    """nth and way (1 or -1) of the documents of taken (nth, source, size, h, extra and others) that take a copy more or
+    less, so that the misses (source, rows, miss: words short) get small."""
+    turned = None
     for _ in range(EXCHANGES):
-        met = join_splitting_hot(taken.where("size > 0"), misses, ["source"], "rows", total)
+        met = join_splitting_hot(taken.where("size > 0").select("nth", "source", "size", "h", "extra"), misses, ["source"], "rows", total)
         able = ((F.col("miss") > 0) & (F.col("extra") == 0)) | ((F.col("miss") < 0) & (F.col("extra") == 1))
         off = F.abs(F.col("size") - F.abs("miss"))
-        best = met.where(able & (off < F.abs("miss"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), "h", "nth", "size", F.signum("miss").alias("way"))).alias("best"))
-        best = stage(best.select("source", "best.nth", "best.size", "best.way"))
+        met = met.where(able & (off < F.abs("miss")))
+        met = met if turned is None else met.join(turned.select("nth"), "nth", "left_anti")
+        best = met.groupBy("source").agg(F.min(F.struct(off.alias("off"), "h", "nth", "size", F.signum("miss").alias("way"))).alias("best"))
+        best = stage(best.select("source", "best.nth", "best.size", F.col("best.way").cast("int").alias("way")))
         if best.isEmpty():
             break
-        turned = best.select(F.col("nth").alias("_nth"), F.col("way").cast("int").alias("_way"))
-        taken = stage(taken.join(turned, F.col("nth") == F.col("_nth"), "left").withColumn("extra", F.col("extra") + F.coalesce("_way", F.lit(0))).select(*taken.columns))
-        left = F.col("miss") - F.coalesce(F.col("_size") * F.col("_way"), F.lit(0.0))
-        met = misses.join(best.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("way").alias("_way")), F.col("source").eqNullSafe(F.col("_source")), "left")
-        misses = stage(met.select("source", "rows", left.alias("miss")))
-    return taken
+        turned = best if turned is None else turned.unionByName(best)
+        met = misses.join(best.select(F.col("source").alias("_source"), "size", "way"), F.col("source").eqNullSafe(F.col("_source")), "left")
+        misses = stage(met.select("source", "rows", (F.col("miss") - F.coalesce(F.col("size") * F.col("way"), F.lit(0.0))).alias("miss")))
+    return turned.select("nth", "way") if turned is not None else taken.select("nth", F.lit(0).alias("way")).limit(0)
+
+
+def counted_documents(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """id, source, size, h and nth of each row of docs; h tells rows apart that have all else in common, nth all rows."""
+    own = plain(docs)
+    row_id, text, source = (place(docs, c) for c in (id_col, text_col, source_col))
+    h = F.xxhash64(F.col(row_id), F.col(text), F.lit(SEED))
+    each = own.select(F.col(row_id).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), h.alias("of"))
+    each = each.groupBy("id", "source", "size", "of").agg(F.count("*").alias("times"))
+    few = each.where(F.col("times") <= EQUAL).withColumn("first", F.lit(0).cast("long"))
+    # very many equal rows are dealt out by many tasks
+    many = each.where(F.col("times") > EQUAL).withColumn("first", F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(EQUAL))))
+    both = few.unionByName(many.repartition("of", "first"))
+    rows = both.withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + EQUAL, "times") - 1)))
+    return stage(rows.select("id", "source", "size", F.xxhash64("of", "copy").alias("h")).withColumn("nth", F.monotonically_increasing_id()))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target and copies (0, 1 or 2)."""
-    h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(SEED))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h"))
-    sized = stage(sized.withColumn("nth", F.monotonically_increasing_id()))
+    sized = counted_documents(docs, id_col, text_col, source_col)
     sources = stage(source_targets(sized))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.when(rate >= MOST, F.lit(int(MOST))).otherwise(F.floor(rate + NEAR).cast("int"))
@@ -150,7 +172,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = parts[0]
     for more in parts[1:]:
         taken = taken.unionByName(more)
-    taken = exchange_misses(stage(taken), misses, total).unionByName(fixed)
+    turned = hand_on_misses(taken, misses, total).select(F.col("nth").alias("_nth"), "way")
+    taken = taken.join(turned, F.col("nth") == F.col("_nth"), "left").withColumn("extra", F.col("extra") + F.coalesce("way", F.lit(0))).select(*fixed.columns).unionByName(fixed)
     named = sources.select("source", F.col("n").alias("rows"), "source_size", "target")
     out = join_splitting_hot(taken, named, ["source"], "rows", total)
     return out.select("id", "source", "size", "source_size", "target", (F.col("base") + F.col("extra")).alias("copies"))
@@ -161,10 +184,10 @@ def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = ["_m_id", "_m_source", "_m_size"]
     mixed = mix(docs, id_col, text_col, source_col).select(F.col("id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size"), "copies")
     mixed = mixed.groupBy(*key).agg(F.sum("copies").alias("_m_copies"), F.count("*").alias("_m_rows"))
-    keyed = docs.withColumn("_d_size", word_count(text_col))
-    nth = match_rows(keyed, mixed.where("_m_copies > 0"), [(id_col, "_m_id"), (source_col, "_m_source"), ("_d_size", "_m_size")])
+    keyed = plain(docs).withColumn("_d_size", word_count(place(docs, text_col)))
+    nth = match_rows(keyed, mixed.where("_m_copies > 0"), [(place(docs, id_col), "_m_id"), (place(docs, source_col), "_m_source"), ("_d_size", "_m_size")])
     times = F.expr("cast(_m_copies div _m_rows as int) + if(_nth <= _m_copies % _m_rows, 1, 0)")
-    return nth.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return restored(nth.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))), docs)
 
 
 def op4_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

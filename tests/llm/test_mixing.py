@@ -48,22 +48,44 @@ def test_targets_sums_and_copies(spark, tmp_path):
     assert again == {(r.doc_id, r.taken) for r in got}
 
 
-def test_marginals_are_unbiased(spark, monkeypatch):
-    rows = [(k, " ".join(["w"] * (10 + k % 7)), "en", "ab"[k % 2]) for k in range(40)]
-    docs, counts, rounds = documents(spark, rows).coalesce(1).cache(), defaultdict(int), 5
-    for seed in range(rounds):
-        monkeypatch.setattr(M, "SEED", seed)
-        for r in M.mix(docs).collect():
-            counts[r.id] += r.copies
-    rate = {r.source: r.target / r.source_size for r in M.source_targets(docs.select("source", M.word_count("text").alias("size"))).collect()}
-    for s in "ab":
-        mean = sum(n for k, n in counts.items() if rows[k][3] == s) / (20 * rounds)
-        assert abs(mean - rate[s]) < 0.06
+def test_pivotal_rounding_is_unbiased_and_keeps_words(spark):
+    """4,000 blocks of the same documents: each is included as often as its mass says, to 4 standard errors."""
+    F, blocks = M.F, 4000
+    docs = [(k, 10.0 + 7 * (k % 5) * k, 0.2 + 0.05 * (k % 9)) for k in range(13)]
+    item = lambda k, cap, part: F.struct(F.lit(k).alias("h"), F.struct(F.lit(k).alias("id")).alias("row"), F.lit(cap).alias("cap"), F.lit(cap * part).alias("mass"))
+    items = F.array(*[item(*d) for d in docs])
+    out = spark.range(blocks).select("id", F.inline(M.pivot_block(items, [F.col("id")], False))).toPandas()
+    out["row"] = [r["id"] for r in out["row"]]
+    left = out[out.copies.isnull()]
+    assert left.groupby("id").size().max() == 1 and (abs(out.groupby("id").mass.sum() - sum(c * p for _, c, p in docs)) < 1e-6).all()
+    share = (out.mass / out.cap).groupby(out.row).mean()
+    assert all(abs(share[k] - p) < 4 * (p * (1 - p) / blocks) ** 0.5 for k, _, p in docs)
+
+
+def test_what_is_turned_is_little(spark, monkeypatch):
+    docs, by = documents(spark, rows_of(5, 500)), {}
+    for n in (0, 4):
+        monkeypatch.setattr(M, "EXCHANGES", n)
+        by[n] = {r.id: r for r in M.mix(docs).collect()}
+    turned = defaultdict(int)
+    for i, r in by[4].items():
+        turned[r.source] += r.copies != by[0][i].copies
+    assert max(turned.values()) <= 4
+
+
+def test_equal_rows_spread_over_blocks_whatever_the_layout(spark, monkeypatch):
+    rows = [(1, "w " * 10, "en", "hot")] * 700 + rows_of(6, 200)
+    monkeypatch.setattr(M, "EQUAL", 64)
+    key = lambda d: sorted(((r.id, r.size, r.copies) for r in M.mix(d).collect()), key=str)
+    got = key(documents(spark, rows))
+    assert len(got) == 900 and got == key(documents(spark, rows[::-1]).repartition(7))
+    hot = M.counted_documents(documents(spark, rows), "doc_id", "text", "source").where("id = 1 and source = 'hot'")
+    assert hot.select("h").distinct().count() >= 700 and hot.groupBy(M.F.pmod("h", M.F.lit(6))).count().where("count > 200").count() == 0
 
 
 def test_stage_repeats_rows_and_awkward_tables(spark, tmp_path):
     rows = [(r[0], r[1], "en", "a" if k % 2 else None) for k, r in enumerate(AWKWARD)]
-    docs = documents(spark, rows).withColumn("size", M.F.lit("clash"))
+    docs = documents(spark, rows).withColumns({c: M.F.lit("clash") for c in ("size", "_copy", "_nth", "_key", "h", "c0", "dotted.name")})
     mixed = M.mix(docs).collect()
     assert len(mixed) == len(rows)
     out = M.repeat_to_mix(docs)
