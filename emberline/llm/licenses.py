@@ -9,7 +9,7 @@ The base phrases are rules as well; their places are counted before suppression,
 
 Defined results: a null text counts as empty; without words n_words and n_base are 0 and the labels are empty strings;
 equal spans of one priority keep the rule that stands first; repeated rows stay; an empty table gives no rows; other
-columns are ignored.
+columns are kept, whatever they are called, but for one with the result's name.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm.license_rules import BASE_RULES, GATE, Rule, signature_rules
-from emberline.llm.shared import table
+from emberline.llm.shared import place, plain, restored, table
 
 #: Runs of what isn't part of a word, and of what is.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: More words than any rule matches; places that are summed up in one go.
-REACH, RUN = 128, 256
+#: More words than any rule matches; places that are summed up in one go; stretches of REACH words that are told apart in one go.
+REACH, RUN, WIDE = 128, 256, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -89,7 +89,9 @@ def surviving(spans: Column) -> Column:
 
     stretch = lambda s: (s["start"] / F.lit(REACH)).cast("int")
     last = F.coalesce(F.array_max(F.transform(spans, stretch)), F.lit(0))
-    by_stretch = F.array(F.transform(F.sequence(F.lit(0), last), lambda q: F.filter(spans, lambda s: stretch(s) == q)))
+    wide = F.transform(F.sequence(F.lit(0), (last / F.lit(WIDE)).cast("int")), lambda w: F.struct(w.alias("w"), F.filter(spans, lambda s: (stretch(s) / F.lit(WIDE)).cast("int") == w).alias("own")))
+    fine = lambda x: F.transform(F.sequence(x["w"] * WIDE, x["w"] * WIDE + WIDE - 1), lambda q: F.filter(x["own"], lambda s: stretch(s) == q))
+    by_stretch = F.array(F.flatten(F.transform(wide, fine)))
 
     def kept(x: Column) -> Column:
         near = lambda k: F.concat(F.when(k > 0, F.get(x, k - 1)).otherwise(F.slice(F.get(x, k), 1, 0)), F.get(x, k))
@@ -101,9 +103,9 @@ def surviving(spans: Column) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", rules: list[Rule] | None = None) -> DataFrame:
     """docs with a struct column: n_words, base (spans of the base phrases) and spans (of all rules, after suppression)."""
     every = [*BASE_RULES, *(signature_rules() if rules is None else rules)]
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(place(docs, text_col)), F.lit(""))
     keywords = sorted({r.keyword for r in every})
-    gated = docs.withColumn("_line", F.when(text.rlike(GATE), word_line(text)))
+    gated = plain(docs).withColumn("_line", F.when(text.rlike(GATE), word_line(text)))
     own = F.array_intersect(F.split(F.col("_line"), " "), F.lit(keywords))
     tried = F.filter(rules_literal(every), lambda r: F.array_contains(F.col("_own"), r["keyword"]))
     found = F.flatten(F.transform(F.col("_rules"), lambda r: rule_spans(F.col("_line"), r)))
@@ -112,7 +114,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", rul
     base = F.filter(F.col("_all"), lambda s: s["rank"] < len(BASE_RULES))
     n_words = F.when(F.col("_line").isNotNull(), F.greatest(spaces(F.col("_line")) - 1, F.lit(0))).otherwise(F.regexp_count(text, F.lit(WORD)))
     out = F.struct(n_words.cast("long").alias("n_words"), F.coalesce(base, none).alias("base"), F.coalesce(surviving(F.col("_all")), none).alias("spans"))
-    return spanned.withColumn(out_col, out).drop("_line", "_own", "_rules", "_all")
+    return restored(spanned, docs, **{out_col: out})
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ and names that can't clash with those of a user's table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,10 @@ def place(df: DataFrame, column: str) -> str:
     return f"c{df.columns.index(column)}"
 
 
-def restored(rows: DataFrame, df: DataFrame) -> DataFrame:
-    """The columns of plain(df) in rows, under df's own names."""
-    return rows.select(*[f"c{k}" for k in range(len(df.columns))]).toDF(*df.columns)
+def restored(rows: DataFrame, df: DataFrame, **added: Column) -> DataFrame:
+    """The columns of plain(df) in rows, under df's own names, and added ones, which take the place of any so called."""
+    kept = [k for k, c in enumerate(df.columns) if c not in added]
+    return rows.select(*[f"c{k}" for k in kept], *added.values()).toDF(*[df.columns[k] for k in kept], *added)
 
 
 def join_splitting_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:

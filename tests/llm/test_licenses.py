@@ -23,12 +23,10 @@ def brute(text):
     out |= {"n_base": len(places), "first": min((k for k, _ in places), default=None), "last": max((k for k, _ in places), default=None), "base": ",".join(sorted({b for _, b in places}))}
     spans = []
     line = " " + " ".join([*words, ""]) if words else " "
-    if re.search(GATE, text or ""):
-        for rank, rule in enumerate([*BASE_RULES, *signature_rules()]):
-            if rule.keyword in words:
-                for m in re.finditer(rule.pattern, line):
-                    start = line[: m.start()].count(" ")
-                    spans.append((start, start + m[0].count(" ") - 1, rule.priority, rank, rule.label, rule.score))
+    for rank, rule in enumerate([*BASE_RULES, *signature_rules()]):  # with neither gate nor keywords
+        for m in re.finditer(rule.pattern, line):
+            start = line[: m.start()].count(" ")
+            spans.append((start, start + m[0].count(" ") - 1, rule.priority, rank, rule.label, rule.score))
     beats = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and (e[:2] != d[:2] or e[3] < d[3]))
     kept = [d for d in spans if not any(beats(e, d) for e in spans)]
     out |= {"labels": ",".join(sorted({b for _, b in places} | {d[4] for d in kept})), "score": max((d[5] for d in kept), default=0.0)}
