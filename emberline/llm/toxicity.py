@@ -3,15 +3,20 @@
 Grades run from 0 (clean) to GRADES - 1. The model has one weight for each feature, shared by all thresholds, and
 rising thresholds t[1] < t[2] < ...: P(grade >= k) = sigmoid(x.w - t[k]). The expected severity is the sum of these.
 
-The labels at hand tell toxic from clean only. Grades of the toxic training rows come from how many of their words
-lean strongly to the toxic rows: at or above the median of the toxic rows is the top grade, under it the one below.
+The labels at hand tell toxic from clean only, so the one threshold that is measured is that between grade 0 and the
+others. Grades 1 and 2 of the toxic training rows come from how many of their words lean strongly to the toxic rows: at
+or above the median of the toxic rows is the top grade, under it the one below. What the model says between these two
+grades is therefore its own notion of severity, not a measured one. Where a table has grades, give them as the label
+column with graded=True: they are then taken as they are.
 
 The classifier is fitted on at most MAX_TRAIN labelled rows, those whose ids have the smallest hashes; its features
 are at most MAX_FEATURES words and beginnings of words that tell the two classes apart. It is applied to every row and whole text.
 
 Defined results: a null or empty text has no features and gets the severity of the thresholds alone, below the
-cut; rows repeat as they are; without labels of both classes every severity is 0 and nothing is toxic; labels that
-disagree for an id count as toxic; an empty table gives no rows.
+cut; rows repeat as they are; rows that share an id share its label, and labels that disagree for an id count as the
+highest; of ids whose hashes tie the smaller one is taken first; a probability of just the cut isn't toxic; without
+labels of both classes every severity is 0 and nothing is toxic; an empty table gives no rows; other columns are kept,
+whatever they are called, but for one with the result's name.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import stage, table
+from emberline.llm.shared import place, plain, restored, stage, table
 
 GRADES = 3
 MAX_TRAIN = 8_000
@@ -122,27 +127,32 @@ def fit_cumulative_link(rows: list[dict[int, float]], grades: np.ndarray, n_feat
     return w, np.cumsum(np.concatenate(([theta[0]], np.exp(theta[1:]))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> OrdinalModel:
-    """Model from the labelled rows of docs with the smallest id hashes, at most max_train of them."""
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, graded: bool = False) -> OrdinalModel:
+    """Model from the labelled rows of docs with the smallest id hashes, at most max_train of them.
+
+    The label tells toxic (not 0) from clean (0), or with graded is a grade from 0 to GRADES - 1.
+    """
+    own = plain(labels).select(F.col(place(labels, id_col)).alias("id"), F.col(place(labels, label_col)).alias("label"))
+    own = own.where(F.col("label").isNotNull() & F.col("id").isNotNull())
     n = own.count()
     if not n:
         return OrdinalModel()
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1 << 30))
-    near = own.where(place < int(min(1.0, 1.5 * max_train / n) * (1 << 30)))
-    few = near.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) != 0).cast("int")).alias("_toxic"))
+    spot = F.pmod(F.xxhash64(F.col("id"), F.lit("train")), F.lit(1 << 30))
+    near = own.where(spot < int(min(1.0, 1.5 * max_train / n) * (1 << 30)))
+    grade = F.col("label").cast("int") if graded else (F.col("label") != 0).cast("int")
+    few = near.groupBy(F.col("id").alias("_id")).agg(F.max(grade).alias("_grade"))
     few = few.orderBy(F.pmod(F.xxhash64("_id", F.lit("train")), F.lit(1 << 30)), "_id").limit(max_train)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = [text_features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                ["toxic", "words", "counts"],
+                [batch.column("grade"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+                ["grade", "words", "counts"],
             )
 
-    text_of = docs.join(F.broadcast(few), F.col(id_col) == F.col("_id")).select(F.col("_toxic").alias("toxic"), F.col(text_col).alias("text"))
-    rows = stage(text_of.mapInArrow(words, "toxic int, words array<string>, counts array<int>").withColumn("row", F.monotonically_increasing_id()))
+    text_of = plain(docs).join(F.broadcast(few), F.col(place(docs, id_col)) == F.col("_id")).select(F.col("_grade").alias("grade"), F.col(place(docs, text_col)).alias("text"))
+    rows = stage(text_of.mapInArrow(words, "grade int, words array<string>, counts array<int>").withColumns({"row": F.monotonically_increasing_id(), "toxic": (F.col("grade") > 0).cast("int")}))
     by_class = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = by_class.get(1, 0), by_class.get(0, 0)
     if not n1 or not n0:
@@ -162,14 +172,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             both = zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist())
             pairs = [[(vocabulary[w], n) for w, n in zip(ws, ns) if w in vocabulary] for ws, ns in both]
             cols = [pa.array([[p[k] for p in row] for row in pairs], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("toxic"), *cols], ["row", "toxic", "features", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("grade"), *cols], ["row", "grade", "features", "counts"])
 
     # at most max_train rows of at most MAX_FEATURES features
-    trained = rows.mapInArrow(known, "row long, toxic int, features array<int>, counts array<int>").orderBy("row").collect()
+    trained = rows.mapInArrow(known, "row long, grade int, features array<int>, counts array<int>").orderBy("row").collect()
     x = [{c: math.log1p(n) for c, n in zip(r["features"], r["counts"])} for r in trained]
     leaning = np.array([sum(n for c, n in zip(r["features"], r["counts"]) if c in strong) for r in trained])
-    toxic = np.array([r["toxic"] for r in trained])
-    grades = np.where(toxic == 0, 0, np.where(leaning >= np.median(leaning[toxic == 1]), GRADES - 1, GRADES - 2))
+    grades = np.array([r["grade"] for r in trained])
+    if not graded:
+        grades = np.where(grades == 0, 0, np.where(leaning >= np.median(leaning[grades == 1]), GRADES - 1, GRADES - 2))
     w, t = fit_cumulative_link(x, grades, len(vocabulary))
     return OrdinalModel({word: float(w[i]) for word, i in vocabulary.items()}, [float(v) for v in t])
 
@@ -182,6 +193,7 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
         known = KnownFeatures(model.weights)
         return text.map(lambda t: model.at_least(t, known))
 
+    rows, text = plain(docs), F.col(place(docs, text_col))
     p = F.col("_at_least")
     parts = F.struct(
         p.alias("at_least"),
@@ -189,12 +201,13 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
         F.size(F.filter(p, lambda v: v > CUT)).alias("grade"),
         (p[0] > CUT).alias("toxic"),
     )
-    return docs.withColumn("_at_least", graded(F.coalesce(F.col(text_col), F.lit("")))).withColumn(out_col, parts).drop("_at_least")
+    return restored(rows.withColumn("_at_least", graded(F.coalesce(text, F.lit("")))), docs, **{out_col: parts})
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that the model doesn't call toxic."""
-    return with_severity(docs, model, text_col, "_severity").where(~F.col("_severity.toxic")).select(*docs.columns)
+    own = plain(docs)
+    return restored(with_severity(own, model, place(docs, text_col), "_severity").where(~F.col("_severity.toxic")), docs)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
