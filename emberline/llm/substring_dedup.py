@@ -1,16 +1,19 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences, and sentences over MAX_WORDS words into pieces counted from the sentence's start, so that
-a repeated passage is cut alike wherever it stands. In scripts without spaces between words, two characters count as a word. From each
-sentence on, the run of RUN sentences, or of as many more as make up MIN_WORDS words, is hashed to 128 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and there
-at its first place, stays; the sentences of every other run with that hash are removed, whatever other runs they are in.
+A text is cut into sentences, and these where commas, semicolons, colons or ends of lines divide them: a passage that is
+quoted from the middle of a sentence on still shares its inner cuts with its source. A part without such a mark that
+is over MAX_WORDS words is cut every MAX_WORDS words from its beginning. In scripts without spaces between words, two
+characters count as a word. From each part on, the run of RUN parts, or of as many more as make up MIN_WORDS words, is
+hashed to 128 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and there
+at its first place, stays; the parts of every other run with that hash are removed, whatever other runs they are in.
 
 Each document sends a run once, so a group's smallest id and size are sums that Spark combines before the shuffle; runs
 of very many documents are joined by broadcast. The text itself is moved once, to meet what is to be removed.
 
-Defined results: a null text stays null, without sentences; texts with under RUN sentences or MIN_WORDS words have no runs; rows that
-repeat an id are one document and don't remove each other; rows with a null id are one document that is never first
-where another has the run; an empty table gives no rows; all other columns are kept.
+Defined results: a null text stays null, without sentences; texts with under RUN parts or MIN_WORDS words have no runs;
+rows that share an id, or have none, don't remove each other, and rows without an id are never first where another has
+the run; an empty table gives no rows; all other columns are kept, whatever they are called, but for one with the
+result's name.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import join_splitting_hot, stage, table
+from emberline.llm.shared import join_splitting_hot, place, plain, restored, stage, table
 
-RUN = 3
-MAX_WORDS, MIN_WORDS = 12, 12
+RUN = 2
+MAX_WORDS, MIN_WORDS = 16, 25
 #: Bytes of text that one Arrow batch of results holds, about.
 BATCH_BYTES = 16 << 20
 
-ENDING = re.compile(r"[.!?…]+[\"')\]»”’]*\s+|[。！？]+\s*|\n\s*")
+ENDING = re.compile(r"[.!?…,;:]+[\"')\]»”’]*\s+|[。！？，；：、]+\s*|\n\s*")
 #: Letters and marks of scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese.
 SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u312f\u31a0-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
 WORDS = re.compile(rf"(?:[{SOLID}]{{1,2}}|[^\s{SOLID}]+)\s*")
@@ -64,48 +67,53 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def run_keys(parts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[bytes, int]]:
-    """128-bit hash and end of the run that starts at each sentence, as far as the text has the sentences and words for it."""
+def run_keys(parts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """128-bit hash, start and end of the run that starts at each part, as far as the text has the parts and words for
+    it; the last of them also goes to the end of the text."""
     each = [xxhash.xxh3_128_digest(" ".join(p.split()).lower().encode("utf-8", "surrogatepass")) for p in parts]
     sizes = [count_words(p) for p in parts]
     join, digest = b"".join, xxhash.xxh3_128_digest
-    keys: list[tuple[bytes, int]] = []
-    end, words = 0, 0  # words of the sentences from k to end
+    keys: list[tuple[bytes, int, int]] = []
+    end, words = 0, 0  # words of the parts from k to end
     for k in range(len(parts) - run + 1):
         while end < len(parts) and (end < k + run or words < min_words):
             words += sizes[end]
             end += 1
         if words < min_words:
             break
-        keys.append((digest(join(each[k:end])), end))
+        keys.append((digest(join(each[k:end])), k, end))
         words -= sizes[k]
+    if keys and keys[-1][2] < len(parts):
+        k = keys[-1][1]
+        keys.append((digest(join(each[k:])), k, len(parts)))
     return keys
 
 
 def document_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
-    """id, h1 and h2 of each run of each row of docs, once for each row."""
+    """id, h1 and h2 of each run of each row of docs, once for each row; part tells texts of one id apart."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, keys = [], []
             for k, text in enumerate(batch.column("text")):
-                own = dict(run_keys(sentences(text.as_py() or ""), run, min_words))
+                own = dict.fromkeys(key for key, _, _ in run_keys(sentences(text.as_py() or ""), run, min_words))
                 keys += own
                 rows += [k] * len(own)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], ["id", "h1", "h2"]
+                [*(batch.column(n).take(pa.array(rows, pa.int64())) for n in ("id", "part")), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], ["id", "part", "h1", "h2"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(of, f"id {kind}, h1 long, h2 long")
+    texts = plain(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
+    return texts.withColumn("part", F.hash("text")).mapInArrow(of, f"id {kind}, part int, h1 long, h2 long")
 
 
 def remove_runs(text: str, repeated: set[bytes], run: int, min_words: int) -> tuple[str, int, list[tuple[int, int]]]:
     """Text without the sentences of repeated runs and of runs that stood earlier in it; sentences; removed spans."""
     parts = sentences(text)
     gone, seen = [False] * len(parts), set()
-    for k, (key, end) in enumerate(run_keys(parts, run, min_words)):
+    for key, k, end in run_keys(parts, run, min_words):
         if key in repeated or key in seen:
             gone[k:end] = [True] * (end - k)
         seen.add(key)
@@ -127,11 +135,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = stage(document_runs(docs, id_col, text_col, run, min_words))
     first = stage(runs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     later = join_splitting_hot(runs, first, ["h1", "h2"], "n", runs.count()).where(~F.col("id").eqNullSafe(F.col("first_id")))
-    by_doc = later.groupBy(F.col("id").alias("_r_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("_r_runs"), F.sort_array(F.collect_set("first_id")).alias("_r_first"))
-    met = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col("_r_id")), "left").drop("_r_id")
+    by_doc = later.groupBy(F.col("id").alias("_r_id"), F.col("part").alias("_r_part")).agg(F.collect_set(F.struct("h1", "h2")).alias("_r_runs"), F.sort_array(F.collect_set("first_id")).alias("_r_first"))
+    own = plain(docs)
+    same = F.col(place(docs, id_col)).eqNullSafe(F.col("_r_id")) & (F.hash(place(docs, text_col)) == F.col("_r_part"))
+    met = own.join(by_doc, same, "left").drop("_r_id", "_r_part")
     shape = f"text string, sentences long, spans array<struct<start:long,end:long>>, first_ids array<{kind}>"
-    names = docs.columns
-    at_text, n = names.index(text_col), len(names)
+    names = own.columns
+    at_text, n = docs.columns.index(text_col), len(names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,15 +155,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 weight += len(text or "")
                 if weight >= BATCH_BYTES or k + 1 == batch.num_rows:
                     part = batch.slice(start, k + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(done, kinds)], [*names, out_col])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(done, kinds)], [*names, "_out"])
                     done, start, weight = [], k + 1, 0
 
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
-    out = T.StructField(out_col, docs.sparkSession.createDataFrame([], shape).schema)
+    out = T.StructField("_out", docs.sparkSession.createDataFrame([], shape).schema)
     kinds = to_arrow_type(out.dataType)
-    return met.mapInArrow(of, T.StructType([*docs.schema.fields, out]))
+    return restored(met.mapInArrow(of, T.StructType([*own.schema.fields, out])), docs, **{out_col: F.col("_out")})
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

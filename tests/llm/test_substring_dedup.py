@@ -5,19 +5,51 @@ from helpers import AWKWARD, LONG, documents, write_tables
 from emberline.llm import substring_dedup as D
 
 
+def parts_of(text):
+    """Parts by going through the text letter by letter, and by words where a part is long. For texts with spaces."""
+    parts, at, k = [], 0, 0
+    while k < len(text):
+        if text[k] in ".!?,;:":
+            end = k + 1
+            while end < len(text) and text[end] in ".!?,;:":
+                end += 1
+            if end < len(text) and text[end].isspace():
+                k = end
+        if text[k].isspace() and (text[k] == "\n" or k and text[k - 1] in ".!?,;:"):
+            while k < len(text) and text[k].isspace():
+                k += 1
+            parts.append(text[at:k])
+            at = k
+        else:
+            k += 1
+    out = []
+    for part in [*parts, text[at:]]:
+        words = part.split(" ")
+        if not part.strip():
+            out[-1:] = [(out or [""])[-1] + part]
+        elif len(part.split()) > D.MAX_WORDS:
+            out += [" ".join(words[k : k + D.MAX_WORDS]) + (" " if k + D.MAX_WORDS < len(words) else "") for k in range(0, len(words), D.MAX_WORDS)]
+        else:
+            out.append(part)
+    return [p for p in out if p]
+
+
 def brute(rows):
-    """Removed text by comparing runs as tuples of words, without hashes."""
-    parts = {i: D.sentences(t or "") for i, t in rows}
+    """What stays of each text, by comparing runs as tuples of words, without hashes."""
+    parts = {i: parts_of(t or "") for i, t in rows}
     runs, first = {}, {}
     for i in sorted(parts):
-        own = [tuple(tuple(p.lower().split()) for p in parts[i][k : k + D.RUN]) for k in range(len(parts[i]) - D.RUN + 1)]
-        runs[i] = [r if sum(map(len, r)) >= D.MIN_WORDS else None for r in own]
-        for k, r in enumerate(runs[i]):
-            if r is not None:
-                first.setdefault(r, (i, k))
+        runs[i] = []
+        for k in range(len(parts[i])):
+            long_enough = lambda a, e: e >= a + D.RUN and len(" ".join(parts[i][a:e]).split()) >= D.MIN_WORDS  # noqa: E731, B023
+            end = len(parts[i])
+            for e in sorted({next((e for e in range(k, end + 1) if long_enough(k, e)), 0), end if not long_enough(k + 1, end) and long_enough(k, end) else 0} - {0}):
+                run = tuple(tuple(p.lower().split()) for p in parts[i][k:e])
+                runs[i].append((k, e, run))
+                first.setdefault(run, (i, k))
     out = {}
     for i, own in runs.items():
-        gone = {k + j for k, r in enumerate(own) if r is not None and first[r] != (i, k) for j in range(D.RUN)}
+        gone = {j for k, e, run in own if first[run] != (i, k) for j in range(k, e)}
         out[i] = "".join(p for k, p in enumerate(parts[i]) if k not in gone)
     return out
 
@@ -60,9 +92,9 @@ def test_matches_brute_force_and_keeps_first(spark, tmp_path):
 
 def test_awkward_rows(spark):
     rows = [(r[0], r[1]) for r in AWKWARD] + [(6, LONG), (None, LONG)]
-    docs = documents(spark, rows).withColumnsRenamed({"lang": "h1", "source": "id"})
+    docs = documents(spark, rows).withColumnsRenamed({"lang": "h1", "source": "id"}).withColumns({c: D.F.lit(7) for c in ("_r_id", "c1", "_out", "a.b", "part", "dedup")})
     got = D.remove_repeats(docs)
-    assert got.columns == [*docs.columns, "dedup"]
+    assert got.columns == [*docs.columns[:-1], "dedup"]
     out = got.collect()
     assert len(out) == len(rows)
     six = [r.dedup.text for r in out if r.doc_id == 6]
@@ -85,3 +117,13 @@ def test_repeats_in_short_lines_and_in_scripts_without_spaces(spark):
     assert got[7] == got[8] == rows[6][1]  # under MIN_WORDS words
     for _, text in rows:
         assert "".join(D.sentences(text)) == text and all(D.count_words(p) <= D.MAX_WORDS for p in D.sentences(text))
+
+
+def test_rows_without_an_id_or_with_a_common_one_keep_their_own_sets(spark):
+    say = lambda k: ". ".join(f"sentence {j} of text {k} has just these words" for j in range(8)) + "."
+    rows = [(1, say(1)), (2, say(2)), (3, say(3))] + [(i, say(k)) for i in (None, 9) for k in (1, 2, 3, 4, 5)]
+    got = [(r.doc_id, r.text, r.dedup.text, r.dedup.first_ids) for r in D.remove_repeats(documents(spark, rows)).collect()]
+    for i, text, left, firsts in got:
+        k = int(text.split()[4])
+        gone = i in (None, 9) and k < 4 or i is None
+        assert (left, firsts) == (("", [k if k < 4 else 9]) if gone else (text, []))
