@@ -6,13 +6,14 @@ role has no transition, the order is invalid from that turn on (its number is re
 Every conversation is formatted, valid or not, into segments (text, loss flag, kind); their texts, joined, are the
 formatted conversation.
 
-Control strings inside texts can't be taken for the template's own: between "<" and "|" a backslash is put in, after
-any that stand there, and taken out again when read. Roles, which share a line with a marker, also have their line
-breaks and "%" written as %0A and %25.
+Control strings inside texts can't be taken for the template's own: wherever the first two characters of one of the
+template's control strings stand in a text, a backslash is put between them, after any that stand there, and taken out
+again when read. Templates for which that isn't enough, as their control strings could come about across the edge of a
+text, are refused. Roles, which share a line with a marker, also have their line breaks and "%" written as %0A and %25.
 
 Defined results: a null text or role is empty; rows of a conversation go by turn, null turns first, then by role and
 text; rows with null conv_id are one conversation; repeated rows are turns like others; an empty table gives no rows;
-other columns are ignored. A conversation is one value of a row, so it must fit a task's memory, as its digest demands.
+other columns are ignored, whatever they are called. A conversation is one value of a row, so it must fit a task's memory, as its digest demands.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.shared import table
+from emberline.llm.shared import place, plain, table
 
 
 @dataclass(frozen=True)
@@ -42,24 +43,50 @@ class ChatTemplate:
     )
     final: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self) -> None:
+        controls = (self.turn_start, self.turn_end)
+        if any(len(c) < 2 or len(set(c)) < 2 or set(c[:2]) & {"\\", "\n"} for c in controls):
+            raise ValueError("a control string must have two characters at least, not all alike, and not begin with a backslash or line break")
+        if any(c[0] in self.turn_start[1:] for c in controls) or "\n" in self.turn_start:
+            raise ValueError("what a control string begins with, or a line break, must not stand inside the start of a turn")
+        if self.turn_start.startswith(self.turn_end) or self.turn_end.startswith(self.turn_start):
+            raise ValueError("no control string may begin with the other")
+
+    def marks(self) -> list[tuple[str, str]]:
+        """Each first character of a control string, and all the second ones that follow it."""
+        return [(head, "".join(sorted({c[1] for c in (self.turn_start, self.turn_end) if c[0] == head}))) for head in sorted({self.turn_start[0], self.turn_end[0]})]
+
 
 CHATML = ChatTemplate()
 
 
-def escape(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")).otherwise(text)
+def _quoted(c: str) -> str:
+    return c if c.isalnum() or not c.isascii() else "\\" + c
+
+
+def _marks(template: ChatTemplate) -> list[tuple[str, str, str]]:
+    """For each mark its first character, that quoted, and a look at its second ones."""
+    return [(head, _quoted(head), "(?=[" + "".join(map(_quoted, tails)) + "])") for head, tails in template.marks()]
+
+
+def escape(text: Column, template: ChatTemplate) -> Column:
+    for head, own, ahead in _marks(template):
+        text = F.when(F.contains(text, F.lit(head)), F.regexp_replace(text, rf"{own}(\\*){ahead}", rf"{own}$1\\")).otherwise(text)
+    return text
 
 
-def unescape(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"<(\\*)\\\|", "<$1|")).otherwise(text)
+def unescape(text: Column, template: ChatTemplate) -> Column:
+    for head, own, ahead in reversed(_marks(template)):
+        text = F.when(F.contains(text, F.lit(head)), F.regexp_replace(text, rf"{own}(\\*)\\{ahead}", rf"{own}$1")).otherwise(text)
+    return text
 
 
-def escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
+def escape_role(role: Column, template: ChatTemplate) -> Column:
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), template)
 
 
-def unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+def unescape_role(role: Column, template: ChatTemplate) -> Column:
+    return F.replace(F.replace(unescape(role, template), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
 def walk_roles(roles: Column, template: ChatTemplate) -> Column:
@@ -84,8 +111,8 @@ def segments_of(turns: Column, template: ChatTemplate) -> Column:
 
         no = F.lit(False)
         return F.array(
-            segment(F.concat(F.lit(template.turn_start), escape_role(t["role"]), F.lit("\n")), no, "open"),
-            segment(escape(t["text"]), t["role"].isin(*template.loss_roles), "text"),
+            segment(F.concat(F.lit(template.turn_start), escape_role(t["role"], template), F.lit("\n")), no, "open"),
+            segment(escape(t["text"], template), t["role"].isin(*template.loss_roles), "text"),
             segment(F.lit(template.turn_end), no, "close"),
         )
 
@@ -94,8 +121,9 @@ def segments_of(turns: Column, template: ChatTemplate) -> Column:
 
 def format_chats(rows: DataFrame, template: ChatTemplate = CHATML, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, segments, formatted, valid, first_error (turn out of order, -1 if none)."""
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    turns = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    of = lambda c: F.col(place(rows, c))
+    turn = F.struct(of(turn_col).alias("turn"), F.coalesce(of(role_col), F.lit("")).alias("role"), F.coalesce(of(text_col), F.lit("")).alias("text"))
+    turns = plain(rows).groupBy(of(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     walked = turns.withColumn("fsm", walk_roles(F.transform("turns", lambda t: t["role"]), template)).withColumn("segments", segments_of(F.col("turns"), template))
     return walked.select(
         "conv_id",
@@ -114,14 +142,14 @@ def read_turns(formatted: Column, template: ChatTemplate = CHATML) -> Column:
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
         text = F.substring(piece, F.length(role) + 2, F.length(piece))
-        return F.struct(unescape_role(F.substring(role, F.lit(len(template.turn_start) + 1), F.length(role))).alias("role"), unescape(text).alias("text"))
+        return F.struct(unescape_role(F.substring(role, F.lit(len(template.turn_start) + 1), F.length(role)), template).alias("role"), unescape(text, template).alias("text"))
 
     return F.transform(pieces, turn)
 
 
-def loss_text(segments: Column) -> Column:
+def loss_text(segments: Column, template: ChatTemplate = CHATML) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
