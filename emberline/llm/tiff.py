@@ -1,11 +1,13 @@
 """TIFF media columns: image directories, strips and tiles, PackBits, LZW and deflate, predictors; one row per page.
 
-The reader takes either byte order, 8- and 16-bit samples, interleaved or separate planes. The writer makes what the
-reader's tests and the media query need. Neither knows JPEG or fax compression.
+The reader takes either byte order, samples of 1, 8, 16 and 32 bits (those of 1 bit come out as a byte each),
+interleaved or separate planes. The writer makes what the reader's tests and the media query need. Neither knows JPEG or
+fax compression.
 
 Defined results of the reader: a null file has no pages; a file without a TIFF head, or a page that can't be decoded,
-gives one page row with an error and no samples; directories that point back end the walk; repeated rows stay; an
-empty table gives no rows; all other columns of the table are kept.
+gives one page row with an error and no samples, as does a page that claims more than MAX_PIXELS samples; directories
+that point back end the walk; repeated rows stay; an empty table gives no rows; all other columns of the table are
+kept, whatever they are called, but for one with the result's name.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.llm.shared import table
+from emberline.llm.shared import place, plain, restored, table
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST = 256, 257, 258
+#: Samples of a page that the reader takes: what a task can hold, whatever a broken directory says.
+MAX_PIXELS = 1 << 28
 #: Bytes of media that one Arrow batch of results holds, about.
 BATCH_BYTES = 16 << 20
 
@@ -34,6 +38,7 @@ TAGS = {
 }
 NAMES = {v: k for k, v in TAGS.items()}
 FORMATS = {1: "B", 3: "H", 4: "I"}
+NUMBERS = {1: "u1", 3: "u2", 4: "u4"}
 
 PAGE = T.StructType(
     [
@@ -240,11 +245,12 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[str, list[int]]]]:
         for k in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
             if tag in NAMES and kind in FORMATS:
-                shape = order + FORMATS[kind] * count
-                where = at + 10 + 12 * k
-                if struct.calcsize(shape) > 4:
+                where, size = at + 10 + 12 * k, count * struct.calcsize(FORMATS[kind])
+                if size > 4:
                     (where,) = struct.unpack_from(order + "I", data, where)
-                entries[NAMES[tag]] = list(struct.unpack_from(shape, data, where))
+                if where + size > len(data):
+                    raise ValueError(f"{NAMES[tag]} goes beyond the file")
+                entries[NAMES[tag]] = np.frombuffer(data, order + NUMBERS[kind], count, where).tolist()
         yield order, entries
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
@@ -252,21 +258,30 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[str, list[int]]]]:
 def page_pixels(data: bytes, order: str, e: dict[str, list[int]]) -> np.ndarray:
     """Pixels (height, width, channels) of one directory."""
     width, height, channels = e["width"][0], e["height"][0], e.get("samples", [1])[0]
-    bits, predictor, compression = e.get("bits", [1])[0], e.get("predictor", [1])[0], e.get("compression", [NONE])[0]
-    if bits not in (8, 16) or predictor not in (1, 2) or compression not in DECODERS:
-        raise ValueError(f"{bits} bits, predictor {predictor} or compression {compression} isn't known")
+    depths, predictor, compression = set(e.get("bits", [1])), e.get("predictor", [1])[0], e.get("compression", [NONE])[0]
+    bits = min(depths, default=0)
+    if len(depths) != 1 or bits not in SAMPLES or predictor not in ((1, 2) if bits > 1 else (1,)) or compression not in DECODERS:
+        raise ValueError(f"bits {sorted(depths)}, predictor {predictor} or compression {compression} isn't known")
     tiled, separate = "tile_offsets" in e, e.get("planar", [1])[0] == 2
     bw, bh = (e["tile_width"][0], e["tile_height"][0]) if tiled else (width, min(e.get("rows_per_strip", [height])[0], height))
+    if not min(width, height, channels, bw, bh) or width * height * channels > MAX_PIXELS or bw * bh * channels > MAX_PIXELS:
+        raise ValueError(f"{width} x {height} pixels of {channels} samples in blocks of {bw} x {bh}")
     across, down, deep = -(-width // bw), -(-height // bh), 1 if separate else channels
-    kind = np.dtype(np.uint8 if bits == 8 else np.uint16).newbyteorder(order)
-    pixels = np.zeros((height, width, channels), kind.newbyteorder("="))
     offsets, counts = (e["tile_offsets"], e["tile_counts"]) if tiled else (e["strip_offsets"], e["strip_counts"])
-    for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
-        plane, place = divmod(k, across * down)
-        y, x = place // across * bh, place % across * bw
+    if len(offsets) != len(counts) or len(offsets) != across * down * (channels if separate else 1):
+        raise ValueError(f"{len(offsets)} offsets and {len(counts)} sizes of strips or tiles")
+    kind = np.dtype(SAMPLES[bits]).newbyteorder(order)
+    pixels = np.zeros((height, width, channels), kind.newbyteorder("="))
+    for k, (at, n) in enumerate(zip(offsets, counts)):
+        plane, where = divmod(k, across * down)
+        y, x = where // across * bh, where % across * bw
         rows = bh if tiled else min(bh, height - y)
         raw = DECODERS[compression](data[at : at + n])
-        block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep).astype(pixels.dtype)
+        if bits == 1:  # each row begins with a byte of its own
+            line = -(-bw * deep // 8)
+            block = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : bw * deep].reshape(rows, bw, deep)
+        else:
+            block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep).astype(pixels.dtype)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)
         part = block[: height - y, : width - x]
@@ -274,6 +289,10 @@ def page_pixels(data: bytes, order: str, e: dict[str, list[int]]) -> np.ndarray:
     return pixels
 
 
+#: Kinds of samples by their bits.
+SAMPLES = {1: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32}
+
+
 def look_of(pixels: np.ndarray) -> str:
     """Which of 8 x 8 cells are brighter than the mean of all cells, as 16 hex digits, and the mean of each channel."""
     grey = pixels.mean(axis=2)
@@ -297,9 +316,9 @@ def read_tiff(data: bytes | None) -> list[dict]:
             try:
                 pixels = page_pixels(data, order, e)
                 h, w, c = pixels.shape
-                page |= {"width": w, "height": h, "channels": c, "bits": 8 * pixels.itemsize, "compression": e.get("compression", [NONE])[0], "predictor": e.get("predictor", [1])[0]}
+                page |= {"width": w, "height": h, "channels": c, "bits": e.get("bits", [1])[0], "compression": e.get("compression", [NONE])[0], "predictor": e.get("predictor", [1])[0]}
                 page |= {"samples": pixels.tobytes(), "look": look_of(pixels) if pixels.size else ""}
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as why:
+            except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as why:
                 page["error"] = f"unreadable page: {why}"
     except (ValueError, struct.error) as why:
         pages.append({f.name: None for f in PAGE} | {"page": len(pages), "error": f"unreadable file: {why}"})
@@ -313,23 +332,24 @@ def _map_column(df: DataFrame, in_col: str, out: T.StructField, each) -> DataFra
     """df with a column of each(value of in_col), worked out in small Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = T.StructType([*df.schema.fields, out])
-    kind, place = to_arrow_type(out.dataType), df.columns.index(in_col)
+    own = plain(df)
+    schema = T.StructType([*own.schema.fields, T.StructField("_out", out.dataType)])
+    kind, at = to_arrow_type(out.dataType), df.columns.index(in_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, start, weight = [], 0, 0
-            values = batch.column(place)
+            values = batch.column(at)
             for k in range(batch.num_rows):
                 value = values[k].as_py()
                 done.append(each(value))
                 weight += len(value or b"")
                 if weight >= BATCH_BYTES or k + 1 == batch.num_rows:
                     part = batch.slice(start, k + 1 - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, kind)], [*batch.schema.names, out.name])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(done, kind)], [*batch.schema.names, "_out"])
                     done, start, weight = [], k + 1, 0
 
-    return df.mapInArrow(run, schema)
+    return restored(own.mapInArrow(run, schema), df, **{out.name: F.col("_out")})
 
 
 def with_pages(df: DataFrame, media_col: str, out_col: str = "pages") -> DataFrame:
@@ -339,8 +359,9 @@ def with_pages(df: DataFrame, media_col: str, out_col: str = "pages") -> DataFra
 
 def read_pages(df: DataFrame, media_col: str, out_col: str = "page") -> DataFrame:
     """One row per page of each file: the columns of df, but for media_col, and a struct of the page."""
-    pages = with_pages(df, media_col, "_pages").drop(media_col)
-    return pages.withColumn(out_col, F.explode("_pages")).drop("_pages")
+    own, kept = plain(df), [c for c in df.columns if c not in (media_col, out_col)]
+    pages = with_pages(own, place(df, media_col), "_pages")
+    return pages.select(*[place(df, c) for c in kept], F.explode("_pages")).toDF(*kept, out_col)
 
 
 # ---------------------------------------------------------------------- query
@@ -364,7 +385,7 @@ def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = _map_column(docs, "text", T.StructField("media", T.BinaryType()), text_to_tiff)
     sized = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    read = with_pages(sized, "media").withColumn("payload", F.aggregate("pages", F.lit(b""), lambda a, p: F.concat(a, p["samples"])))
+    read = with_pages(sized, "media").withColumn("payload", F.array_join(F.transform("pages", lambda p: p["samples"].cast("string")), "").cast("binary"))
     return read.select(
         "doc_id",
         "n_bytes",

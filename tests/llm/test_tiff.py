@@ -27,7 +27,7 @@ def test_known_streams():
 
 
 @pytest.mark.parametrize("order", ["<", ">"])
-@pytest.mark.parametrize("kind", [np.uint8, np.uint16])
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.uint32])
 def test_pages_round_trip(order, kind):
     pixels = rng.integers(0, 200, (37, 45, 3)).astype(kind)
     small = np.ascontiguousarray(pixels[:5, :7, :1])
@@ -66,3 +66,48 @@ def test_query_reads_back_every_payload(spark, tmp_path):
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r.media_sha256 == hashlib.sha256(M.text_to_tiff(texts[r.doc_id])).hexdigest() and r.media_bytes == len(M.text_to_tiff(texts[r.doc_id])) and r.feature
+
+
+def test_pages_of_single_bits():
+    pixels = rng.integers(0, 2, (11, 21, 1)).astype(np.uint8)
+    packed = np.packbits(pixels[:, :, 0], axis=1)
+    entries, _ = M.write_page(pixels, M.PACKBITS, rows_per_strip=4)
+    for codec in M.ENCODERS:
+        parts = [M.ENCODERS[codec](packed[k : k + 4].tobytes()) for k in range(0, 11, 4)]
+        changed = {"bits": [1], "compression": [codec], "strip_counts": [len(p) for p in parts]}
+        own = [(n, kind, changed.get(n, values)) for n, kind, values in entries]
+        (page,) = M.read_tiff(M.write_tiff([(own, parts)]))
+        assert (page["error"], page["bits"], page["samples"]) == (None, 1, pixels.tobytes())
+        (page,) = M.read_tiff(M.write_tiff([([x for x in own if x[0] != "bits"], parts)]))  # one bit where none is given
+        assert page["samples"] == pixels.tobytes()
+
+
+@pytest.mark.parametrize("changed", [
+    {"rows_per_strip": [0]}, {"width": [0]}, {"height": [0]}, {"samples": [0]}, {"bits": [8, 16, 8]}, {"bits": [7]}, {"width": [2**32 - 1], "height": [2**32 - 1]}, {"height": [2**31]},
+    {"strip_counts": [2**32 - 1, 2**32 - 1]}, {"predictor": [9]}, {"planar": [2]},
+])
+def test_odd_fields_give_an_error_row(changed):
+    entries, parts = M.write_page(rng.integers(0, 255, (40, 9, 3)).astype(np.uint8), M.LZW)
+    own = [(n, kind, changed.get(n, values)) for n, kind, values in entries]
+    pages = M.read_tiff(M.write_tiff([(own, parts), M.write_page(np.ones((2, 2, 1), np.uint8), M.NONE)]))
+    assert (pages[0]["error"] is not None or changed == {"strip_counts": [2**32 - 1] * 2}) and pages[1]["samples"] == b"\1" * 4
+
+
+def test_zero_tiles_and_damaged_files_never_raise():
+    entries, parts = M.write_page(rng.integers(0, 255, (40, 40, 3)).astype(np.uint8), M.DEFLATE, 2, (16, 16))
+    for n in ("tile_width", "tile_height"):
+        (page,) = M.read_tiff(M.write_tiff([([(m, kind, [0] if m == n else v) for m, kind, v in entries], parts)]))
+        assert page["error"]
+    files = [M.text_to_tiff("some text " * 300), M.write_tiff([(entries, parts)], "<"), M.write_tiff([M.write_page(np.arange(600, dtype=np.uint16).reshape(10, 20, 3), M.PACKBITS, 1, None, 3, ">")], ">")]
+    for k in range(1500):
+        data = bytearray(files[k % 3])
+        for _ in range(rng.integers(1, 6)):
+            data[rng.integers(0, len(data)) if k % 2 else -int(rng.integers(1, 190))] = rng.choice([0, 1, 255, rng.integers(0, 256)])
+        for page in M.read_tiff(bytes(data[: rng.integers(0, len(data) + 1)] if k % 5 == 0 else data)):
+            assert (page["error"] is None) == (page["samples"] is not None)
+
+
+def test_clashing_names(spark):
+    two = M.write_tiff([M.write_page(np.zeros((4, 4, 1), np.uint8), M.LZW)] * 2)
+    df = spark.createDataFrame([(two, 1, 2, 3)], "media binary, _pages int, c0 int, page int")
+    assert [r.asDict(True).keys() for r in M.read_pages(df, "media").collect()] == [dict.fromkeys(["_pages", "c0", "page"]).keys()] * 2
