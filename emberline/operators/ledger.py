@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.numbers import both_zeroed
+from emberline.sources.scratch import written
 
 #: Sums of weights are exact in this type, whatever order Spark adds in.
 EXACT = "decimal(28,6)"
@@ -42,47 +43,123 @@ def weight_history(operations: DataFrame, machines: DataFrame, block: int = BLOC
     return within.join(carried, ["machine", "_block"]).select("machine", "seq", "ts", level.cast("double").alias("weight"))
 
 
-def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: str = "at", out: str = "weight", block_days: int = BLOCK_DAYS) -> DataFrame:
-    """probes (machine, the column `at`, any others) with the weight at that time, else the machine's initial weight.
+def _last_entries(entries: DataFrame, asked: DataFrame, block_days: int) -> DataFrame:
+    """_probe of asked (machine, _ts, _probe) with _found, the greatest _entry of entries (machine, _ts, _entry; first
+    field seq) with _ts at most the probe's.
 
     Ledger and probes go through one window by machine and stretch of time; there is no inequality join. A table with
     one row for each machine and stretch carries the last entry of earlier stretches.
     """
-    names = probes.columns
-    entry = "struct<seq:bigint,weight:double>"
-    rows = history.select("machine", F.col("ts").alias("_ts"), F.struct("seq", "weight").alias("_entry"), F.lit(None).cast(probes.select(F.struct(*names)).schema[0].dataType).alias("_probe"))
-    asked = probes.select("machine", F.col(at).alias("_ts"), F.lit(None).cast(entry).alias("_entry"), F.struct(*names).alias("_probe"))
-    both = rows.unionByName(asked).withColumn("_block", F.floor(F.datediff("_ts", F.lit("1970-01-01")) / block_days))
+    kinds = {c: d.schema[c].dataType for c, d in (("_entry", entries), ("_probe", asked))}
+    both = entries.withColumn("_probe", F.lit(None).cast(kinds["_probe"])).unionByName(asked.withColumn("_entry", F.lit(None).cast(kinds["_entry"])))
+    both = both.withColumn("_block", F.floor(F.datediff("_ts", F.lit("1970-01-01")) / block_days))
     until = Window.partitionBy("machine", "_block").orderBy("_ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_own", F.max("_entry").over(until)).where("_probe is not null")
-    ends = both.groupBy("machine", "_block").agg(F.max("_entry.seq").alias("_seq"), F.max_by("_entry.weight", "_entry.seq").alias("_weight"))
+    ends = both.groupBy("machine", "_block").agg(F.max("_entry").alias("_end"))
     earlier = Window.partitionBy("machine").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.when(F.col("_seq").isNotNull(), F.struct(F.col("_seq").alias("seq"), F.col("_weight").alias("weight")))
-    carried = ends.where("_block is not null").select("machine", "_block", F.max(last).over(earlier).alias("_carried"))
+    carried = ends.where("_block is not null").select("machine", "_block", F.max("_end").over(earlier).alias("_carried"))
     met = found.join(carried, ["machine", "_block"], "left")
-    best = F.when(F.col("_ts").isNotNull(), F.greatest("_own", "_carried"))
+    return met.select("_probe", F.when(F.col("_ts").isNotNull(), F.greatest("_own", "_carried")).alias("_found"))
+
+
+def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: str = "at", out: str = "weight", block_days: int = BLOCK_DAYS) -> DataFrame:
+    """probes (machine, the column `at`, any others) with the weight at that time, else the machine's initial weight."""
+    entries = history.select("machine", F.col("ts").alias("_ts"), F.struct("seq", "weight").alias("_entry"))
+    asked = probes.select("machine", F.col(at).alias("_ts"), F.struct(*probes.columns).alias("_probe"))
     initial = machines.select(F.col("machine").alias("_m"), F.col("initial").alias("_initial"))
-    known = met.select("_probe.*", best["weight"].alias("_weight")).join(initial, F.col("machine") == F.col("_m"), "left")
-    return known.select(*names, F.coalesce("_weight", "_initial").alias(out))
+    known = _last_entries(entries, asked, block_days).select("_probe.*", F.col("_found.weight").alias("_weight")).join(initial, F.col("machine") == F.col("_m"), "left")
+    return known.select(*probes.columns, F.coalesce("_weight", "_initial").alias(out))
 
 
-def range_summary(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_ties: bool = False) -> DataFrame:
-    """probes (probe, machine, from, to) with loaded and dispensed over from <= ts < to.
+def _running_sums(history: DataFrame, block: int) -> DataFrame:
+    """history with up and down (what was gained and lost from the machine's first entry to this one, by seq), next (the
+    weight after this one), first (the machine's first weight) and late (whether any entry of the machine has a time
+    before that of the entry inserted before it). Blocks of a machine are summed apart, as its levels are."""
+    rows = Window.partitionBy("machine", "_block").orderBy("seq")
+    until = rows.rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast(EXACT)
+    step = lambda now, before: F.col(now).cast(EXACT) - F.col(before).cast(EXACT)
+    gain, loss = (lambda d: F.coalesce(F.greatest(d, zero), zero)), (lambda d: F.coalesce(F.greatest(-d, zero), zero))
+    h = history.select("machine", "seq", "ts", "weight", F.expr(f"seq div {block}").alias("_block"))
+    h = h.withColumns({"_before": F.lag("weight").over(rows), "next": F.lead("weight").over(rows), "_late": F.lag("ts").over(rows) > F.col("ts")})
+    h = h.withColumns({"up": F.sum(gain(step("weight", "_before"))).over(until), "down": F.sum(loss(step("weight", "_before"))).over(until)})
+    ends = h.groupBy("machine", "_block").agg(
+        F.min_by(F.struct("weight", "ts"), "seq").alias("_f"), F.max_by(F.struct("weight", "ts"), "seq").alias("_l"), F.max("up").alias("_up"), F.max("down").alias("_down"), F.max("_late").alias("_late")
+    )
+    blocks = Window.partitionBy("machine").orderBy("_block")
+    all_of_it = Window.partitionBy("machine")
+    ends = ends.withColumns({"_last": F.lag("_l.weight").over(blocks), "_first": F.col("_f.weight"), "_next": F.lead("_f.weight").over(blocks), "first": F.min_by("_f.weight", "_block").over(all_of_it)})
+    ends = ends.withColumn("_late", F.coalesce("_late", F.lit(False)) | F.coalesce(F.lag("_l.ts").over(blocks) > F.col("_f.ts"), F.lit(False)))
+    ends = ends.withColumns({"_in": gain(step("_first", "_last")), "_out": loss(step("_first", "_last")), "late": F.max("_late").over(all_of_it)})
+    run = blocks.rowsBetween(Window.unboundedPreceding, 0)
+    carry = lambda own, cross: F.sum(F.col(own) + F.col(cross)).over(run) - F.col(own)
+    ends = ends.select("machine", "_block", "first", "late", "_next", carry("_up", "_in").alias("_up0"), carry("_down", "_out").alias("_down0"))
+    met = h.drop("_late").join(ends, ["machine", "_block"])
+    return met.select("machine", "seq", "ts", "weight", F.coalesce("next", "_next").alias("next"), "first", "late", (F.col("up") + F.col("_up0")).cast(EXACT).alias("up"), (F.col("down") + F.col("_down0")).cast(EXACT).alias("down"))
+
+
+def states(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_ties: bool = False, block: int = BLOCK_ENTRIES, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """probes (probe, machine, from, to; no two alike) with initial (weight at `from`), weight (at `to`), and loaded and
+    dispensed over from <= ts < to.
 
     Entries are walked by seq from the weight at `from`, which already holds entries at `from`; so several of them
     count as dispensed and loaded again. collapse_ties keeps only the last entry of each time instead.
+
+    All four come from one pass over the ledger: with sums of gains and losses kept by entry, a range is the difference
+    of two entries, put right for its first one. Only where a machine's entries were inserted out of order of time is
+    a range walked.
     """
-    based = weight_at(history, probes, machines, "from", "_base")
-    p = based.select("probe", F.col("machine").alias("_m"), "from", "to", "_base")
-    walked = history.join(p, (F.col("machine") == F.col("_m")) & (F.col("ts") >= F.col("from")) & (F.col("ts") < F.col("to"))).drop("_m")
     if collapse_ties:
-        newest = Window.partitionBy("probe", "ts").orderBy(F.col("seq").desc())
-        walked = walked.withColumn("_n", F.row_number().over(newest)).where("_n = 1")
-    by_probe = Window.partitionBy("probe").orderBy("seq")
-    delta = F.col("weight").cast(EXACT) - F.coalesce(F.lag("weight").over(by_probe), F.col("_base")).cast(EXACT)
+        history = history.groupBy("machine", "ts").agg(F.max("seq").alias("seq"), F.max_by("weight", "seq").alias("weight"))
+    sums = written(_running_sums(history, block))
+    key = ["probe", "machine", "from", "to"]
+    spot = lambda name, when: F.struct(F.lit(name).alias("which"), when.alias("at"))
+    before = lambda c: F.col(c) - F.expr("interval '0.000001' second")
+    four = F.array(spot("before", before("from")), spot("base", F.col("from")), spot("last", before("to")), spot("end", F.col("to")))
+    asked = probes.select("machine", F.struct(*key).alias("_p"), F.explode(four).alias("_s")).select("machine", F.col("_s.at").alias("_ts"), F.struct("_p", F.col("_s.which").alias("which")).alias("_probe"))
+    entries = sums.select("machine", F.col("ts").alias("_ts"), F.struct("seq", "weight", "up", "down", "next").alias("_entry"))
+    found = _last_entries(entries, asked, block_days)
+    pick = lambda name: F.max(F.when(F.col("_probe.which") == name, F.col("_found"))).alias(f"_{name}")
+    wide = found.groupBy("_probe._p").agg(*map(pick, ("before", "base", "last", "end"))).select("_p.*", "_before", "_base", "_last", "_end")
+    about = sums.groupBy("machine").agg(F.max("late").alias("_late"), F.min_by("weight", "seq").alias("_first"))
+    about = machines.select("machine", F.col("initial").alias("_initial")).join(about, "machine", "full").select(F.col("machine").alias("_m"), "_late", "_first", "_initial")
+    met = wide.join(about, F.col("machine") == F.col("_m"), "left").drop("_m").withColumn("_weight", F.coalesce("_base.weight", "_initial"))
     zero = F.lit(0).cast(EXACT)
-    sums = walked.withColumn("_d", delta).groupBy("probe").agg(F.sum(F.greatest("_d", zero)).cast("double").alias("_in"), F.sum(F.greatest(-F.col("_d"), zero)).cast("double").alias("_out"))
-    return probes.join(sums, "probe", "left").select(*probes.columns, *both_zeroed(F.col("_in"), F.col("_out")))
+    some = F.col("from").isNotNull() & F.coalesce(F.col("_last.seq") > F.col("_before.seq"), F.col("_last").isNotNull() & F.col("_before").isNull())
+    first = F.when(F.col("_before").isNull(), F.col("_first")).otherwise(F.col("_before.next")).cast(EXACT)
+
+    def total(name: str, sign: int) -> Column:
+        rise = lambda start: F.coalesce(F.greatest(sign * (first - start.cast(EXACT)), zero), zero)
+        whole = F.col(f"_last.{name}") - F.coalesce(f"_before.{name}", zero)
+        return F.when(some, whole - F.when(F.col("_before").isNull(), zero).otherwise(rise(F.col("_before.weight"))) + rise(F.col("_weight"))).otherwise(zero).cast("double")
+
+    out = met.select(*key, F.col("_weight").alias("initial"), F.coalesce("_end.weight", "_initial").alias("weight"), total("up", 1).alias("_up"), total("down", -1).alias("_down"), F.coalesce("_late", F.lit(False)).alias("_late"))
+    # out of order: the entries of the range, one by one
+    p = out.where("_late").select("probe", F.col("machine").alias("_m"), "from", "to", F.col("initial").alias("_base"))
+    walked = sums.where("late").join(p, (F.col("machine") == F.col("_m")) & (F.col("ts") >= F.col("from")) & (F.col("ts") < F.col("to"))).drop("_m")
+    by_probe = Window.partitionBy(*key).orderBy("seq")
+    delta = F.col("weight").cast(EXACT) - F.coalesce(F.lag("weight").over(by_probe), F.col("_base")).cast(EXACT)
+    slow = walked.withColumn("_d", delta).groupBy(*key).agg(F.sum(F.greatest("_d", zero)).cast("double").alias("_in"), F.sum(F.greatest(-F.col("_d"), zero)).cast("double").alias("_out"))
+    late = out.where("_late").join(slow, key, "left").select(*key, "initial", "weight", *both_zeroed(F.col("_in"), F.col("_out")))
+    return out.where("not _late").select(*key, "initial", "weight", *both_zeroed(F.col("_up"), F.col("_down"))).unionByName(late)
+
+
+def range_summary(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_ties: bool = False) -> DataFrame:
+    """probes (probe, machine, from, to) with loaded and dispensed over from <= ts < to, as `states` tells."""
+    return states(history, probes, machines, collapse_ties).select(*probes.columns, "loaded", "dispensed")
+
+
+def current_weights(history: DataFrame, machines: DataFrame) -> DataFrame:
+    """machine and weight: that of the entry inserted last, else the machine's initial one."""
+    last = history.groupBy("machine").agg(F.max_by("weight", "seq").alias("_w"))
+    return machines.select("machine", "initial").join(last, "machine", "left").select("machine", F.coalesce("_w", "initial").alias("weight"))
+
+
+def snapshot_map(history: DataFrame, machines: DataFrame, readings: DataFrame) -> DataFrame:
+    """machine, weight and readings: a map from each sensor that the machine has to its timestamp, value and unit, for
+    machines whose sensors aren't known beforehand. F.map_keys and F.map_values list them."""
+    of = readings.groupBy("machine").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("sensor", F.struct("timestamp", "value", "unit"))))).alias("readings"))
+    return current_weights(history, machines).join(of, "machine", "left")
 
 
 def current_snapshot(history: DataFrame, machines: DataFrame, readings: DataFrame, sensor_names: list[str]) -> DataFrame:
@@ -92,8 +169,7 @@ def current_snapshot(history: DataFrame, machines: DataFrame, readings: DataFram
     """
     if "weight" in sensor_names:
         raise ValueError("a sensor can't be named weight")
-    last = history.groupBy("machine").agg(F.max_by("weight", "seq").alias("_w"))
-    weights = machines.select("machine", "initial").join(last, "machine", "left").select("machine", F.coalesce("_w", "initial").alias("weight"))
+    weights = current_weights(history, machines)
     wide = readings.groupBy("machine").pivot("sensor", sensor_names).agg(F.first(F.struct("timestamp", "value", "unit")))
     return weights.join(wide, "machine", "left")
 

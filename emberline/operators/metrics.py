@@ -31,8 +31,8 @@ def with_unit(measured: DataFrame, sensors: DataFrame | None = None, unit: str |
     return measured.join(sensors.select("topic", "unit"), "topic", "left") if sensors is not None else measured.withColumn("unit", F.lit(unit).cast("string"))
 
 
-def downsample(metrics: DataFrame, start: datetime, end: datetime, step_ms: float, clip_end: bool = False) -> DataFrame:
-    """topic, timestamp (bucket start) and mean value of each bucket with rows.
+def downsample(metrics: DataFrame, start: datetime, end: datetime, step_ms: float, clip_end: bool = False, ordered: bool = False) -> DataFrame:
+    """topic, timestamp (bucket start) and mean value of each bucket with rows; by topic and time if ordered.
 
     The first bucket is the one that holds `start`, whole. The last is the one that holds `end`: whole, or only up to
     `end` if clip_end. Both bounds are on the raw time, so that they reach the scan.
@@ -40,12 +40,14 @@ def downsample(metrics: DataFrame, start: datetime, end: datetime, step_ms: floa
     seconds = step_seconds(step_ms)
     first, after = bucket_start(start, seconds), bucket_start(end, seconds) + timedelta(seconds=seconds)
     within = (F.col("ts") >= F.lit(first).cast("timestamp_ntz")) & (F.col("ts") <= F.lit(end).cast("timestamp_ntz") if clip_end else F.col("ts") < F.lit(after).cast("timestamp_ntz"))
-    return metrics.where(within).groupBy("topic", F.window("ts", f"{seconds} seconds")["start"].alias("timestamp")).agg(F.avg("value").alias("value"))
+    means = metrics.where(within).groupBy("topic", F.window("ts", f"{seconds} seconds")["start"].alias("timestamp")).agg(F.avg("value").alias("value"))
+    return means.orderBy("topic", "timestamp") if ordered else means
 
 
-def measurements(metrics: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Raw rows from start to end, both included. Order by timestamp where an order is wanted."""
-    return metrics.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))).withColumnRenamed("ts", "timestamp")
+def measurements(metrics: DataFrame, start: datetime, end: datetime, ascending: bool | None = None) -> DataFrame:
+    """Raw rows from start to end, both included; by time, rising or falling, if ascending is given."""
+    rows = metrics.where(F.col("ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))).withColumnRenamed("ts", "timestamp")
+    return rows if ascending is None else rows.orderBy(F.col("timestamp").asc() if ascending else F.col("timestamp").desc(), "seq")
 
 
 def latest(metrics: DataFrame) -> DataFrame:

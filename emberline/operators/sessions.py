@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.operators.ledger import range_summary, weight_at
+from emberline.operators.ledger import states
 
 STARTED, UPDATED, COMPLETED = "started", "updated", "completed"
 CHANGE_SHAPE = "session bigint, seq bigint, machine bigint, start timestamp_ntz, end timestamp_ntz, change string"
@@ -25,10 +25,7 @@ class MachineSessions:
 
     def __init__(self, sessions: dict[int, tuple[datetime | None, datetime | None]] | None = None) -> None:
         self.sessions = dict(sessions or {})
-
-    @property
-    def active(self) -> int | None:
-        return next((k for k, (_, end) in self.sessions.items() if end is None), None)
+        self.active = next((k for k, (_, end) in self.sessions.items() if end is None), None)
 
     def apply(self, command: str, seq: int, ts: datetime, session: int | None = None, start: datetime | None = None, end: datetime | None = None) -> tuple[int, datetime | None, datetime | None, str] | None:
         """The change (session, start, end, kind) that a command makes, if any."""
@@ -51,6 +48,10 @@ class MachineSessions:
         else:
             raise ValueError(f"unknown command {command!r}")
         self.sessions[key] = row
+        if row[1] is None:
+            self.active = key
+        elif self.active == key:
+            self.active = None
         return key, *row, change
 
 
@@ -114,8 +115,6 @@ def session_states(sessions: DataFrame, history: DataFrame, machines: DataFrame,
     A given `at` isn't held within the session. Weight includes entries at that time, the sums don't.
     """
     asked = sessions.withColumn("_at", F.coalesce(*([at] if at is not None else []), "end", now))
-    begun = weight_at(history, asked, machines, "start", "initial")
-    weighed = weight_at(history, begun, machines, "_at", "weight")
     probes = asked.select(F.col("session").alias("probe"), "machine", F.col("start").alias("from"), F.col("_at").alias("to"))
-    sums = range_summary(history, probes, machines).select(F.col("probe").alias("session"), "loaded", "dispensed")
-    return weighed.join(sums, "session").drop("_at")
+    known = states(history, probes, machines).select(F.col("probe").alias("session"), "initial", "weight", "loaded", "dispensed")
+    return asked.join(known, "session").drop("_at")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators import ledger, logs, metrics, sessions
-from emberline.streaming.monitor import Monitor
+from emberline.streaming.feed import ChangeFeed
+from emberline.streaming.monitor import PERIOD_MS, Monitor
 
 
 @dataclass
@@ -30,6 +31,19 @@ class Plant:
         by_id = self.machines.groupBy(F.col("machine").cast("string").alias("key")).count().where("count > 1")
         return by_id.unionByName(self.machines.groupBy(F.col("name").alias("key")).count().where("count > 1"))
 
+    def monitor(self, alerts: ChangeFeed, period_ms: int = PERIOD_MS) -> Monitor:
+        """A monitor of all machines, which init() starts: each period the latest voltage and cosphi go through the
+        threshold rules and into the alert log."""
+
+        def snapshot() -> DataFrame:
+            now = F.current_timestamp().cast("timestamp_ntz")
+            known = self.readings(now).groupBy("machine").pivot("sensor", ["voltage", "cosphi"]).agg(F.first("value"))
+            return self.machines.select("machine", "name").join(known, "machine", "left")
+
+        made = Monitor(self.machines.sparkSession, snapshot, alerts, period_ms)
+        self.monitors.append(made)
+        return made
+
     def init(self) -> list[object]:
         """Start all monitors, each once."""
         return [m.init() for m in self.monitors]
@@ -47,7 +61,8 @@ class Plant:
     def snapshot(self, now: Column, sensor_names: list[str]) -> DataFrame:
         return ledger.current_snapshot(self.history(), self.machines, self.readings(now), sensor_names)
 
-    def chronology(self, query: str, probes: DataFrame, **options: object) -> DataFrame:
+    def chronology(self, query: str, probes: DataFrame | None = None, **options: object) -> DataFrame:
+        """"current" takes readings and sensor_names, "point" and "range" take probes."""
         return ledger.chronology(self.history(), self.machines, query, probes, **options)
 
     def meltings(self, **options: object) -> DataFrame:

@@ -8,12 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline import schemas
 from emberline.operators import ledger, logs, metrics, rules, sessions
 from emberline.plans.plant import Plant
 from emberline.sources import fixtures as fx
-from emberline.sources.scratch import scratch_folder
+from emberline.sources.scratch import scratch_folder, written
 from emberline.streaming import run, tail
 from emberline.streaming import sessions as stream_sessions
+from emberline.streaming.events import EventLog
+from emberline.streaming.feed import ChangeFeed
+from emberline.streaming.monitor import Monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str]] = {}
@@ -27,7 +31,14 @@ LEDGER = """
   g AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY machine ORDER BY seq) AS segment FROM o),
   h AS (SELECT machine, seq, ts, CAST(sum(CASE WHEN event_type IN ('click', 'error') THEN -amount ELSE amount END)
         OVER (PARTITION BY machine, segment ORDER BY seq) AS DOUBLE) AS weight FROM g)"""
-SESSIONS = "s AS (SELECT 3 * event_id + 1 AS session, user_id AS machine, ts::TIMESTAMP AS \"start\", lead(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY event_id) AS \"end\" FROM events WHERE event_type = 'signup')"
+#: A start counts if the machine's last command was a stop or none; it ends at the stop that comes next.
+SESSIONS = """
+  sc AS (SELECT user_id AS machine, ts::TIMESTAMP AS ts, 3 * event_id AS seq, 'stop' AS cmd FROM events WHERE event_type = 'signup'
+    UNION ALL SELECT user_id, ts::TIMESTAMP, 3 * event_id + 1, 'add' FROM events WHERE event_type = 'signup'
+    UNION ALL SELECT user_id, ts::TIMESTAMP, 3 * event_id + 2, 'add' FROM events WHERE event_type = 'click'),
+  sl AS (SELECT *, coalesce(lag(cmd) OVER (PARTITION BY machine ORDER BY seq), 'none') AS last FROM sc),
+  st AS (SELECT *, lead(ts) OVER (PARTITION BY machine ORDER BY seq) AS "end" FROM sl WHERE (cmd = 'add' AND last <> 'add') OR (cmd = 'stop' AND last = 'add')),
+  s AS (SELECT seq AS session, machine, ts AS "start", "end" FROM st WHERE cmd = 'add')"""
 
 
 def _fixed(x: str, digits: int) -> str:
@@ -153,12 +164,7 @@ def range_summary_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest voltage and cosphi of each machine, one topic for each."""
-    s = fx.snapshots(spark, sf_dir)
-    long = s.select("machine", "ts", "seq", F.expr("stack(2, 'voltage', voltage, 'cosphi', cosphi) AS (sensor, value)"))
-    m = long.select(F.concat_ws("/", "machine", "sensor").alias("topic"), "ts", "value", "seq")
-    units = F.array(*[F.struct(F.lit(sensor).alias("sensor"), F.lit(unit).alias("unit")) for sensor, unit in (("voltage", "V"), ("cosphi", ""))])
-    sensors = fx.machines(spark, sf_dir).select("machine", F.inline(units)).withColumn("topic", F.concat_ws("/", "machine", "sensor"))
-    return metrics.latest_or_default(m, sensors, F.lit(NOW).cast("timestamp_ntz"))
+    return metrics.latest_or_default(fx.machine_metrics(spark, sf_dir), fx.machine_sensors(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
 
 
 @registered(f"""WITH {LEDGER}, n AS ({SNAP}), w AS (SELECT machine, arg_max(weight, seq) AS weight FROM h GROUP BY machine),
@@ -170,18 +176,22 @@ def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap.select("machine", "weight", F.col("voltage.value").alias("voltage"), F.col("cosphi.value").alias("cosphi"), F.col("voltage.timestamp").alias("timestamp"))
 
 
-# ----------------------------------------------------------------- sessions
+@registered(f"""WITH {LEDGER}, n AS ({SNAP}), w AS (SELECT machine, arg_max(weight, seq) AS weight FROM h GROUP BY machine),
+  l AS (SELECT machine, arg_max(voltage, (ts, seq)) AS v, arg_max(cosphi, (ts, seq)) AS c FROM n GROUP BY machine),
+  r AS (SELECT machine, 'cosphi' AS sensor, c AS value FROM l UNION ALL SELECT machine, 'voltage', v FROM l), k(sensor, unit) AS (VALUES ('cosphi', ''), ('voltage', 'V'))
+  SELECT c_custkey AS machine, coalesce(weight, 0.0) AS weight, k.sensor, k.unit, coalesce(r.value, 0.0) AS value
+  FROM customer CROSS JOIN k LEFT JOIN w ON w.machine = c_custkey LEFT JOIN r ON r.machine = c_custkey AND r.sensor = k.sensor""")
+def snapshot_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and values of each machine's snapshot, whatever sensors it has."""
+    snap = ledger.snapshot_map(_history(spark, sf_dir), fx.machines(spark, sf_dir), _readings(spark, sf_dir))
+    return snap.select("machine", "weight", F.explode("readings").alias("sensor", "r")).select("machine", "weight", "sensor", "r.unit", "r.value")
 
 
-def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.latest_sessions(sessions.fold_commands(_commands(spark, sf_dir)))
+# ----------------------------------------------------------------- sessions
 
 
-def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the clicks that ask for a start while no session is active: those before a machine's first signup."""
-    c = fx.commands(spark, sf_dir)
-    first = c.where("command = 'stop'").groupBy("machine").agg(F.min("seq").alias("_first"))
-    return c.join(first, "machine").where("seq >= _first").drop("_first")
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.latest_sessions(sessions.fold_commands(fx.commands(spark, sf_dir)))
 
 
 @registered(f"WITH {SESSIONS} SELECT * FROM s")
@@ -207,12 +217,24 @@ def session_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {SESSIONS} SELECT * FROM s")
 def single_active_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.fold_starts_and_stops(_commands(spark, sf_dir))
+    return sessions.fold_starts_and_stops(fx.commands(spark, sf_dir))
+
+
+@registered(f"""WITH {SESSIONS} SELECT * FROM s UNION ALL SELECT 3 * event_id + 2, user_id, ts::TIMESTAMP - INTERVAL 1 HOUR, ts::TIMESTAMP FROM events WHERE event_type = 'purchase'""")
+def sessions_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A purchase adds a completed session of one hour, whether or not the machine has an active one."""
+    c = fx.commands(spark, sf_dir)
+    bought = fx.read(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    done = bought.select(
+        F.col("user_id").alias("machine"), "ts", (3 * F.col("event_id") + 2).alias("seq"), F.lit("add").alias("command"), F.lit(None).cast("bigint").alias("session"),
+        F.expr("ts - interval 1 hour").alias("start"), F.col("ts").alias("end"),
+    )
+    return sessions.latest_sessions(sessions.fold_commands(c.select(done.columns).unionByName(done)))
 
 
 def _updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commands, and after them an update of every session: those of even machines start an hour earlier, the others end at NOW."""
-    c = _commands(spark, sf_dir)
+    c = fx.commands(spark, sf_dir)
     made = sessions.fold_starts_and_stops(c)
     even = F.col("machine") % 2 == 0
     update = made.select(
@@ -332,6 +354,44 @@ def alert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("id", "event_id", F.col("event.ts").alias("event_ts"), F.get("event.labels", F.lit(0)).alias("label"))
 
 
+@registered(f"WITH {RULE_SQL} SELECT id, object, message FROM a WHERE NOT seq % 3 = 0 AND message = 'High value' AND ts >= TIMESTAMP '{SINCE}'")
+def alerts_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _alerts(spark, sf_dir)
+    log = written(log.unionByName(logs.acknowledge(log, log.where("seq % 3 = 0").select("id"))))
+    open_ = logs.every(logs.latest_version(log), ~F.col("acknowledged"), F.col("message") == "High value", F.col("ts") >= F.lit(SINCE).cast("timestamp_ntz"))
+    return open_.select("id", "object", "message")
+
+
+@registered(f"""WITH e AS ({E_LOG}), r AS (
+  SELECT seq, ts, machine, 0 AS place, 'Error on ' || machine AS message FROM e WHERE label = 'error' UNION ALL SELECT seq, ts, machine, 1, 'High value' FROM e WHERE value > 250
+  UNION ALL SELECT seq, ts, machine, 2, 'Edge' FROM e WHERE k = 99),
+  b AS (SELECT *, ts >= TIMESTAMP '{SINCE}' AS later, row_number() OVER (ORDER BY ts) - 1 AS nth FROM e),
+  a AS (SELECT r.*, 'ev-' || b.nth AS event_id, 'ev-' || b.nth AS eid, b.later FROM r JOIN b USING (seq))
+  SELECT 'alert-' || (row_number() OVER (ORDER BY later, ts, event_id, place) - 1) AS id, message, 'Customer#' || lpad(machine::VARCHAR, 9, '0') AS object, event_id FROM a""")
+def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events created in two calls, the second after a restart: ids go on, and rules alert on each call's events."""
+    folder = scratch_folder(spark)
+    raw = fx.event_log(spark, sf_dir).select("ts", "properties", "labels")
+    early = F.col("ts") < F.lit(SINCE).cast("timestamp_ntz")
+    for part in (raw.where(early), raw.where(~early)):
+        log = EventLog(ChangeFeed(spark, f"{folder}/events", schemas.EVENT), ChangeFeed(spark, f"{folder}/alerts", schemas.ALERT), _rules())
+        log.create(part)
+    return log.alerts.rows().select("id", "message", "object", "event_id")
+
+
+@registered(f"""WITH n AS (SELECT c_name AS name, arg_max(voltage, (ts, seq)) AS voltage, arg_max(cosphi, (ts, seq)) AS cosphi FROM ({SNAP}) JOIN customer ON c_custkey = machine GROUP BY 1),
+  i AS (SELECT name AS object, message FROM ({ISSUES}) WHERE message IS NOT NULL), t(tick) AS (VALUES (0), (1))
+  SELECT 'alert-' || (row_number() OVER (ORDER BY tick, object, message) - 1) AS id, message, object, TIMESTAMP '{NOW}' AS ts FROM i, t""")
+def monitor_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ticks of a monitor over the latest readings of machines that have any; the second one's is made anew."""
+    p, now = plant(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")
+    known = written(p.machines.join(p.snapshot(now, ["voltage", "cosphi"]).where(F.col("voltage.timestamp") < now), "machine").select("name", F.col("voltage.value").alias("voltage"), F.col("cosphi.value").alias("cosphi")))
+    feed = ChangeFeed(spark, scratch_folder(spark), schemas.ALERT)
+    for _ in range(2):
+        Monitor(spark, lambda: known, feed).tick(now)
+    return feed.rows().select("id", "message", "object", "ts")
+
+
 @registered("""WITH o AS (SELECT user_id AS machine, count(*) AS n, sum(CASE WHEN event_type IN ('purchase', 'view') THEN CAST(value AS DECIMAL(28, 6)) ELSE 0 END) AS l,
     sum(CASE WHEN event_type IN ('click', 'error') THEN CAST(value AS DECIMAL(28, 6)) ELSE 0 END) AS d FROM events GROUP BY 1)
   SELECT n_regionkey AS plant, n_nationkey AS shop, count(*) AS machines, CAST(coalesce(sum(n), 0) AS BIGINT) AS operations,
@@ -344,8 +404,8 @@ def plant_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plant(spark: SparkSession, sf_dir: str) -> Plant:
     """The test tables as a plant."""
     return Plant(
-        fx.plants(spark, sf_dir), fx.shops(spark, sf_dir), fx.machines(spark, sf_dir), fx.sensors(spark, sf_dir), fx.metrics(spark, sf_dir),
-        fx.operations(spark, sf_dir), _commands(spark, sf_dir), fx.event_log(spark, sf_dir), _alerts(spark, sf_dir),
+        fx.plants(spark, sf_dir), fx.shops(spark, sf_dir), fx.machines(spark, sf_dir), fx.machine_sensors(spark, sf_dir), fx.machine_metrics(spark, sf_dir),
+        fx.operations(spark, sf_dir), fx.commands(spark, sf_dir), fx.event_log(spark, sf_dir), _alerts(spark, sf_dir),
     )
 
 
@@ -360,7 +420,7 @@ def _metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH m AS ({M}) SELECT topic, time_bucket(INTERVAL '3600 seconds', ts, TIMESTAMP '1970-01-01') AS \"timestamp\", round(avg(value), 6) AS value FROM m GROUP BY 1, 2")
 def stream_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(run.drain_complete(tail.downsample_stream(_metrics_stream(spark, sf_dir), 3_600_000)))
+    return _rounded(run.drain_updates(tail.downsample_stream(_metrics_stream(spark, sf_dir), 3_600_000), ["topic", "timestamp"]))
 
 
 @registered(f"WITH m AS ({M}) SELECT * FROM m WHERE ts > TIMESTAMP '{SINCE}'")
@@ -371,7 +431,7 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"WITH {SESSIONS} SELECT * FROM s")
 def stream_sessions_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
-    commands = _commands(spark, sf_dir)
+    commands = fx.commands(spark, sf_dir)
     commands.write.parquet(folder)
     stream = stream_sessions.fold_stream(spark.readStream.schema(commands.schema).parquet(folder))
     with stream_sessions.stateful(spark):

@@ -24,6 +24,22 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "topic string, unit string")
 
 
+#: Sensors of each machine and their units.
+MACHINE_SENSORS = (("voltage", "V"), ("cosphi", ""))
+
+
+def machine_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voltage and cosphi of each machine, one topic for each."""
+    units = F.array(*[F.struct(F.lit(sensor).alias("sensor"), F.lit(unit).alias("unit")) for sensor, unit in MACHINE_SENSORS])
+    return machines(spark, sf_dir).select("machine", F.inline(units)).withColumn("topic", F.concat_ws("/", "machine", "sensor"))
+
+
+def machine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots as metrics of the machines' sensors."""
+    long = snapshots(spark, sf_dir).select("machine", "ts", "seq", F.expr("stack(2, 'voltage', voltage, 'cosphi', cosphi) AS (sensor, value)"))
+    return long.select(F.concat_ws("/", "machine", "sensor").alias("topic"), "ts", "value", "seq")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     return _events(spark, sf_dir).select(
@@ -37,7 +53,8 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A signup stops the machine's session and starts the next; a click asks for one more start, which is ignored."""
+    """A signup stops the machine's session and starts the next; a click asks for one more start, which is ignored while
+    a session is active."""
     e = _events(spark, sf_dir)
     none = F.lit(None)
     base = [F.col("user_id").alias("machine"), "ts"]

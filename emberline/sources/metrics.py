@@ -16,12 +16,17 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return metrics_from(spark.read.parquet(path))
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, partitions: int = 16, bounds: tuple[str, str] | None = None, **options: str) -> DataFrame:
-    """Metrics from a database; with bounds on ts the read is split into so many ranges."""
+def read_jdbc(spark: SparkSession, url: str, table: str, partitions: int = 16, bounds: tuple[str, str] | None = None, seq: str | None = None, **options: str) -> DataFrame:
+    """Metrics from a database; with bounds on ts the read is split into so many ranges.
+
+    seq names a column that tells rows of one time apart. Where the table has none, a hash of topic and value stands in,
+    so that pages of a cursor lose none of several rows of one time unless these are alike.
+    """
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     if bounds:
         reader = reader.option("partitionColumn", "ts").option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
-    return metrics_from(reader.load(), seq=None)
+    rows = reader.load()
+    return metrics_from(rows, seq=seq) if seq else metrics_from(rows.withColumn("_seq", F.xxhash64("topic", "value")), seq="_seq")
 
 
 def keep_last(metrics: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,29 +18,47 @@ log = logging.getLogger(__name__)
 
 
 class ChangeFeed:
-    """A table of change rows in a shared folder. Each subscriber has its own progress and sees each row once a start."""
+    """A table of change rows in a shared folder, in one part for each append, named by its time in microseconds.
+
+    Each subscriber has its own progress. One that gives a name goes on from there when it subscribes again, after a
+    restart too. Parts from before a subscription are passed by without being opened; the clocks of writers should agree.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self._stored = T.StructType([*schema.fields, T.StructField("appended", T.LongType())])
+        self._last = 0
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/rows/appended=0")
 
     def append(self, rows: DataFrame) -> None:
-        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+        self._last = max(self._last + 1, time.time_ns() // 1000)
+        rows.select(*self.schema.names).write.mode("append").parquet(f"{self.path}/rows/appended={self._last}")
+
+    def _parts(self) -> DataFrame:
+        return self.spark.read.schema(self._stored).parquet(f"{self.path}/rows")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self._parts().select(*self.schema.names)
+
+    def _begin(self, name: str | None) -> int:
+        """Time of the newest part when the subscriber of this name came first."""
+        newest = lambda: self._parts().agg(F.coalesce(F.max("appended"), F.lit(0)).alias("appended"))
+        if name is None:
+            return newest().first()[0]
+        try:
+            newest().write.parquet(f"{self.path}/begun/{name}")
+        except AnalysisException:  # it is there
+            pass
+        return self.spark.read.parquet(f"{self.path}/begun/{name}").first()[0]
 
-    def stream(self, only_new: bool = True) -> DataFrame:
-        """Rows appended from now on, or all."""
-        reader = self.spark.readStream.schema(self.schema)
-        if only_new:
-            known = {f.rpartition("/")[2] for f in self.rows().inputFiles()}
-            files = reader.parquet(self.path)
-            return files.where(~F.element_at(F.split(F.input_file_name(), "/"), -1).isin(*known)) if known else files
-        return reader.parquet(self.path)
+    def stream(self, only_new: bool = True, name: str | None = None) -> DataFrame:
+        """Rows appended from now on (with a name: from its first time on), or all."""
+        rows = self.spark.readStream.schema(self._stored).parquet(f"{self.path}/rows")
+        return (rows.where(F.col("appended") > self._begin(name)) if only_new else rows).select(*self.schema.names)
 
-    def subscribe(self, callback: Callable[[Row], None], only_new: bool = True, period_ms: int = 200) -> Subscription:
-        """Call back for each new row. An error in a callback is logged and doesn't keep others from theirs."""
+    def subscribe(self, callback: Callable[[Row], None], only_new: bool = True, period_ms: int = 200, name: str | None = None) -> Subscription:
+        """Call back for each new row, at least once: rows of a batch that was cut short come again to a named subscriber.
+        An error in a callback is logged and doesn't keep others from theirs."""
 
         def send(batch: DataFrame, _: int) -> None:
             for row in batch.toLocalIterator():
@@ -47,5 +67,6 @@ class ChangeFeed:
                 except Exception:  # noqa: BLE001  one subscriber's fault is its own
                     log.exception("a subscriber failed")
 
-        query = self.stream(only_new).writeStream.foreachBatch(send).option("checkpointLocation", f"{scratch_folder(self.spark)}/progress")
+        progress = f"{self.path}/progress/{name}" if name else f"{scratch_folder(self.spark)}/progress"
+        query = self.stream(only_new, name).writeStream.foreachBatch(send).option("checkpointLocation", progress)
         return Subscription(query.trigger(processingTime=f"{period_ms} milliseconds").start())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.operators.logs import trigger_alerts
+from emberline.operators.logs import next_seq, trigger_alerts
 from emberline.operators.rules import threshold_issues
 from emberline.streaming.feed import ChangeFeed
 from emberline.streaming.run import Subscription, every
@@ -37,7 +37,9 @@ class Monitor:
     """Each period: one snapshot of all machines, one evaluation, one append. Conditions that persist alert each time."""
 
     def __init__(self, spark: SparkSession, snapshot: Callable[[], DataFrame], alerts: ChangeFeed, period_ms: int = PERIOD_MS) -> None:
-        self.spark, self.snapshot, self.alerts, self.period_ms, self.count = spark, snapshot, alerts, period_ms, 0
+        self.spark, self.snapshot, self.alerts, self.period_ms = spark, snapshot, alerts, period_ms
+        # a monitor that starts again goes on behind the alerts that are in the log
+        self.count = next_seq(alerts.rows())
         self._once = RunOnce(lambda: every(spark, period_ms, lambda _: self.tick(F.current_timestamp().cast("timestamp_ntz"))))
 
     def tick(self, now: F.Column) -> int:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberline.sources.scratch import scratch_folder
@@ -33,16 +34,19 @@ def drain_appends(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drain_complete(stream: DataFrame) -> DataFrame:
-    """The last result of a complete-mode stream over all input there is: each batch's overwrites the one before."""
+def drain_updates(stream: DataFrame, key: list[str]) -> DataFrame:
+    """The last version of each row, by its key, of an update-mode stream over all input there is. Batches write only the
+    rows that changed, and the watermark lets go of what can't change any more."""
     spark, folder = stream.sparkSession, scratch_folder(stream.sparkSession)
+    rest = [c for c in stream.columns if c not in key]
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out")
+    def keep(batch: DataFrame, number: int) -> None:  # a batch that runs again takes its own place
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    kept = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{folder}/out")
+    return kept.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*[F.col(f"_v.{c}").alias(c) if c in rest else c for c in stream.columns])
 
 
 class Subscription:

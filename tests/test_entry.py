@@ -5,9 +5,13 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from emberline.plans.queries import REGISTRY, plant
+from emberline import schemas
+from emberline.plans.queries import NOW, REGISTRY, plant
+from emberline.sources.scratch import scratch_folder
+from emberline.streaming.feed import ChangeFeed
 
 ROOT = Path(__file__).parent.parent
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,8 +47,29 @@ def test_entry_and_plant(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     p = plant(spark, SF)
-    assert p.check_machines().count() == 0 and p.init() == [] and p.in_shop(3).count() >= 0
-    assert p.meltings(machine=7).count() <= p.meltings(stream=True).count()
+    assert p.check_machines().count() == 0 and p.init() == []
+    assert sorted(r.machine for r in p.in_shop(3).collect()) == sorted(r.c_custkey for r in spark.read.parquet(f"{SF}/customer.parquet").where("c_nationkey = 3").collect())
+    changes = p.meltings(stream=True).collect()
+    assert sorted(r.session for r in p.meltings(machine=7).collect()) == sorted({r.session for r in changes if r.machine == 7}) != []
+    now = F.lit(NOW).cast("timestamp_ntz")
+    snap = {r.machine: r for r in p.snapshot(now, ["voltage", "cosphi"]).collect()}
+    assert {k: (r.weight, r.voltage.value, r.cosphi.value) for k, r in snap.items()} == {r.machine: (r.weight, r.voltage, r.cosphi) for r in REGISTRY["current_snapshot"][0](spark, SF).collect()}
+    again = p.chronology("current", readings=p.readings(now), sensor_names=["voltage", "cosphi"])
+    assert {r.machine: r for r in again.collect()} == snap
+    first = p.history().where("machine = 7").orderBy("seq").first()
+    probe = spark.createDataFrame([(0, 7, first.ts, NOW)], "probe bigint, machine bigint, `from` timestamp_ntz, `to` timestamp_ntz")
+    assert p.chronology("point", probe.withColumnRenamed("from", "at")).first().weight == first.weight and p.chronology("range", probe).count() == 1
+    states = p.melting_states(now).collect()
+    assert len(states) == len({r.session for r in changes}) and {r.machine for r in p.machine_alerts(F.col("message") == "Edge").collect()} <= set(snap)
+
+
+def test_a_plant_starts_its_monitors_once(spark):
+    p, feed = plant(spark, SF), ChangeFeed(spark, scratch_folder(spark), schemas.ALERT)
+    monitor = p.monitor(feed)
+    assert monitor.tick(F.lit(NOW).cast("timestamp_ntz")) == feed.rows().count() > 0
+    (handle,) = p.init()
+    assert p.init() == [handle] and handle.active
+    handle.cancel()
 
 
 def test_rest_works_without_the_training_data_package():

@@ -51,6 +51,19 @@ def test_random_ledgers_match_a_walk(spark, stretch):
     assert got == {k: ranged(entries[m], initial[m], a, b) for k, m, a, b in probes}
 
 
+@pytest.mark.parametrize(("block", "ties"), [(1, False), (3, True), (L.BLOCK_ENTRIES, True)])
+def test_states_of_ledgers_in_order_match_a_walk(spark, block, ties):
+    rng = random.Random(block)
+    entries = {m: [(s // 3 if ties else s, float(rng.randrange(0, 500, 10))) for s in sorted(rng.sample(range(30), rng.randrange(14)))] for m in range(8)}
+    entries[8] = [(5, 10.0), (3, 70.0), (4, 20.0)]  # out of order, beside the others
+    initial = {m: float(m * 50) for m in range(9)}
+    history, machines = tables(spark, entries, initial)
+    probes = [(k % 300, k // 300, *(rng.choice([None, *range(-2, 31), 2.5, 7.5]) for _ in range(2))) for k in range(2700)]
+    p = spark.createDataFrame([(k, m, at(a), at(b)) for k, m, a, b in probes], RANGES)
+    got = {(r.probe, r.machine): (r.initial, r.weight, r.loaded, r.dispensed) for r in L.states(history, p, machines, block=block, block_days=4).collect()}
+    assert got == {(k, m): (point(entries[m], initial[m], a), point(entries[m], initial[m], b), *ranged(entries[m], initial[m], a, b)) for k, m, a, b in probes}
+
+
 @pytest.mark.parametrize(
     ("entries", "initial", "a", "b", "expected"),
     [

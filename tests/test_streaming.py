@@ -44,7 +44,7 @@ def test_streamed_downsample_equals_batch(spark):
     df, folder = metrics(spark), scratch_folder(spark)
     df.repartition(3).write.parquet(folder)
     stream = tail.tail_files(spark, folder, df.schema, files_per_batch=1)
-    got = run.drain_complete(tail.downsample_stream(stream, 2000)).orderBy("timestamp").collect()
+    got = run.drain_updates(tail.downsample_stream(stream, 2000), ["topic", "timestamp"]).orderBy("timestamp").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in M.downsample(df, T0, T0 + timedelta(seconds=9), 2000).orderBy("timestamp").collect()]
     late = run.drain_appends(tail.after(tail.tail_files(spark, folder, df.schema), T0 + timedelta(seconds=1)))
     assert late.count() == 70
@@ -87,3 +87,44 @@ def test_run_once():
     calls = []
     once = RunOnce(lambda: calls.append(1) or "started")
     assert once.init() == once.init() == "started" and calls == [1]
+
+
+def test_ids_go_on_after_a_restart(spark):
+    snapshot, folder = spark.createDataFrame([("m1", 340.0, 0.9)], "name string, voltage double, cosphi double"), scratch_folder(spark)
+    for _ in range(2):
+        Monitor(spark, lambda: snapshot, ChangeFeed(spark, folder, schemas.ALERT)).tick(F.lit(T0).cast("timestamp_ntz"))
+    assert sorted(r.id for r in ChangeFeed(spark, folder, schemas.ALERT).rows().collect()) == ["alert-0", "alert-1"]
+
+
+def test_named_subscriber_goes_on_after_a_restart(spark):
+    folder = scratch_folder(spark)
+    row = lambda k: spark.createDataFrame([(k, k, 1, T0, None, "started")], schemas.SESSION_CHANGE)
+    ChangeFeed(spark, folder, schemas.SESSION_CHANGE).append(row(1))
+    seen = []
+    handle = ChangeFeed(spark, folder, schemas.SESSION_CHANGE).subscribe(lambda r: seen.append(r.session), name="a")
+    feed = ChangeFeed(spark, folder, schemas.SESSION_CHANGE)
+    feed.append(row(2))
+    assert wait_for(lambda: seen == [2])
+    time.sleep(2)  # for the batch to be marked as done; else it would be sent again
+    handle.cancel()
+    feed.append(row(3))  # while it is away
+    handle = ChangeFeed(spark, folder, schemas.SESSION_CHANGE).subscribe(lambda r: seen.append(r.session), name="a")
+    feed.append(row(4))
+    assert wait_for(lambda: set(seen) == {2, 3, 4}) and 1 not in seen
+    handle.cancel()
+
+
+def test_created_events_are_sent_and_alert(spark):
+    from emberline.operators import logs, rules
+    from emberline.streaming.events import EventLog
+
+    folder, seen = scratch_folder(spark), []
+    feeds = lambda: (ChangeFeed(spark, f"{folder}/e", schemas.EVENT), ChangeFeed(spark, f"{folder}/a", schemas.ALERT))
+    rule = rules.Rule("hot", logs.property_of("t", "double") > 9, F.lit("Hot"), F.lit("m1"))
+    events, alerts = feeds()
+    handle = alerts.subscribe(lambda r: seen.append((r.id, r.event_id)))
+    made = lambda k: spark.createDataFrame([(T0 + timedelta(seconds=k), '{"t": %d}' % k, None)], "ts timestamp_ntz, properties string, labels array<string>")
+    assert EventLog(events, alerts, [rule]).create(made(8)).count() == 0 and EventLog(events, alerts).create(made(20)).count() == 0
+    assert [(r.id, r.event_id, r.message) for r in EventLog(*feeds(), [rule]).create(made(10)).collect()] == [("alert-0", "ev-2", "Hot")]
+    assert wait_for(lambda: seen == [("alert-0", "ev-2")]) and events.rows().count() == 3
+    handle.cancel()
