@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,8 +52,9 @@ MEMORY = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> list[str]:
-    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
+@lru_cache(MEMORY)
+def word_features(word: str) -> tuple[str, ...]:
+    return (word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k))
 
 
 def text_features(text: str | None) -> Counter:
@@ -167,18 +169,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     vocabulary = {r["word"]: i for i, r in enumerate(chosen)}
     strong = {i for i, r in enumerate(chosen) if r["z"] > 0}
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist())
-            pairs = [[(vocabulary[w], n) for w, n in zip(ws, ns) if w in vocabulary] for ws, ns in both]
-            cols = [pa.array([[p[k] for p in row] for row in pairs], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("grade"), *cols], ["row", "grade", "features", "counts"])
-
-    # at most max_train rows of at most MAX_FEATURES features
-    trained = rows.mapInArrow(known, "row long, grade int, features array<int>, counts array<int>").orderBy("row").collect()
-    x = [{c: math.log1p(n) for c, n in zip(r["features"], r["counts"])} for r in trained]
-    leaning = np.array([sum(n for c, n in zip(r["features"], r["counts"]) if c in strong) for r in trained])
-    grades = np.array([r["grade"] for r in trained])
+    # at most max_train rows of at most MAX_FEATURES features; all else stays where it is
+    places = F.broadcast(docs.sparkSession.createDataFrame(list(vocabulary.items()), "word string, place int"))
+    each = rows.select("row", F.explode(F.arrays_zip("words", "counts")).alias("f")).select("row", F.col("f.words").alias("word"), F.col("f.counts").alias("n"))
+    pairs = each.join(places, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("features"))
+    features = {r["row"]: r["features"] for r in pairs.collect()}
+    trained = sorted((r["row"], r["grade"]) for r in rows.select("row", "grade").collect())
+    x = [{f["place"]: math.log1p(f["n"]) for f in features.get(row, ())} for row, _ in trained]
+    leaning = np.array([sum(f["n"] for f in features.get(row, ()) if f["place"] in strong) for row, _ in trained])
+    grades = np.array([grade for _, grade in trained])
     if not graded:
         grades = np.where(grades == 0, 0, np.where(leaning >= np.median(leaning[grades == 1]), GRADES - 1, GRADES - 2))
     w, t = fit_cumulative_link(x, grades, len(vocabulary))
