@@ -133,7 +133,10 @@ def states(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_
         whole = F.col(f"_last.{name}") - F.coalesce(f"_before.{name}", zero)
         return F.when(some, whole - F.when(F.col("_before").isNull(), zero).otherwise(rise(F.col("_before.weight"))) + rise(F.col("_weight"))).otherwise(zero).cast("double")
 
-    out = met.select(*key, F.col("_weight").alias("initial"), F.coalesce("_end.weight", "_initial").alias("weight"), total("up", 1).alias("_up"), total("down", -1).alias("_down"), F.coalesce("_late", F.lit(False)).alias("_late"))
+    out = written(met.select(*key, F.col("_weight").alias("initial"), F.coalesce("_end.weight", "_initial").alias("weight"), total("up", 1).alias("_up"), total("down", -1).alias("_down"), F.coalesce("_late", F.lit(False)).alias("_late")))
+    fast = out.where("not _late").select(*key, "initial", "weight", *both_zeroed(F.col("_up"), F.col("_down")))
+    if out.where("_late").isEmpty():
+        return fast
     # out of order: the entries of the range, one by one
     p = out.where("_late").select("probe", F.col("machine").alias("_m"), "from", "to", F.col("initial").alias("_base"))
     walked = sums.where("late").join(p, (F.col("machine") == F.col("_m")) & (F.col("ts") >= F.col("from")) & (F.col("ts") < F.col("to"))).drop("_m")
@@ -141,7 +144,7 @@ def states(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_
     delta = F.col("weight").cast(EXACT) - F.coalesce(F.lag("weight").over(by_probe), F.col("_base")).cast(EXACT)
     slow = walked.withColumn("_d", delta).groupBy(*key).agg(F.sum(F.greatest("_d", zero)).cast("double").alias("_in"), F.sum(F.greatest(-F.col("_d"), zero)).cast("double").alias("_out"))
     late = out.where("_late").join(slow, key, "left").select(*key, "initial", "weight", *both_zeroed(F.col("_in"), F.col("_out")))
-    return out.where("not _late").select(*key, "initial", "weight", *both_zeroed(F.col("_up"), F.col("_down"))).unionByName(late)
+    return fast.unionByName(late)
 
 
 def range_summary(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_ties: bool = False) -> DataFrame:
