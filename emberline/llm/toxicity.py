@@ -26,7 +26,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,7 +51,6 @@ MEMORY = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(MEMORY)
 def word_features(word: str) -> tuple[str, ...]:
     return (word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k))
 
