@@ -90,9 +90,12 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs, with all their columns, that exact dedup keeps."""
-    kept = group_copies(docs, id_col, text_col, capacity).where("kept").select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    groups = stage(group_copies(docs, id_col, text_col, capacity).where("kept"))
+    kept = groups.select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), F.col("group_size").alias("_kept_n"))
+    total = kept.agg(F.coalesce(F.sum("_kept_n"), F.lit(0))).first()[0]
     with_digest = plain(docs).withColumn("_digest", text_digest(place(docs, text_col)))
-    return restored(match_rows(with_digest, kept, [(place(docs, id_col), "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1"), docs)
+    met = match_rows(with_digest, kept, [(place(docs, id_col), "_kept_id"), ("_digest", "_kept_digest")], "_kept_n", total)
+    return restored(met.where("_nth = 1"), docs)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

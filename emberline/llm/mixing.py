@@ -183,9 +183,10 @@ def repeat_to_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of docs, with all their columns, each as often as the mix takes it."""
     key = ["_m_id", "_m_source", "_m_size"]
     mixed = mix(docs, id_col, text_col, source_col).select(F.col("id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size"), "copies")
-    mixed = mixed.groupBy(*key).agg(F.sum("copies").alias("_m_copies"), F.count("*").alias("_m_rows"))
+    mixed = stage(mixed.groupBy(*key).agg(F.sum("copies").alias("_m_copies"), F.count("*").alias("_m_rows")).where("_m_copies > 0"))
+    total = mixed.agg(F.coalesce(F.sum("_m_rows"), F.lit(0))).first()[0]
     keyed = plain(docs).withColumn("_d_size", word_count(place(docs, text_col)))
-    nth = match_rows(keyed, mixed.where("_m_copies > 0"), [(place(docs, id_col), "_m_id"), (place(docs, source_col), "_m_source"), ("_d_size", "_m_size")])
+    nth = match_rows(keyed, mixed, [(place(docs, id_col), "_m_id"), (place(docs, source_col), "_m_source"), ("_d_size", "_m_size")], "_m_rows", total)
     times = F.expr("cast(_m_copies div _m_rows as int) + if(_nth <= _m_copies % _m_rows, 1, 0)")
     return restored(nth.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))), docs)
 

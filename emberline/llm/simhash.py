@@ -310,9 +310,11 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Ids may be null or repeat in several components; a text is in one only, so id and digest tell which row is meant.
     """
     named = near_groups(docs, id_col, text_col, shingle, budget, digest=True).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = named.groupBy("root").agg(F.min("id").alias("_kept_id"), F.min("digest").alias("_kept_digest")).drop("root")
+    kept = stage(named.groupBy("root").agg(F.min("id").alias("_kept_id"), F.min("digest").alias("_kept_digest"), F.count("*").alias("_kept_n")).drop("root"))
+    total = kept.agg(F.coalesce(F.sum("_kept_n"), F.lit(0))).first()[0]
     with_digest = plain(docs).withColumn("_digest", text_digest(place(docs, text_col)))
-    return restored(match_rows(with_digest, kept, [(place(docs, id_col), "_kept_id"), ("_digest", "_kept_digest")]).where("_nth = 1"), docs)
+    met = match_rows(with_digest, kept, [(place(docs, id_col), "_kept_id"), ("_digest", "_kept_digest")], "_kept_n", total)
+    return restored(met.where("_nth = 1"), docs)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
