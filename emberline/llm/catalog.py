@@ -17,6 +17,7 @@ from emberline.llm.simhash import op2_simhash_near_dedup
 from emberline.llm.substring_dedup import op10_substring_dedup
 from emberline.llm.tiff import op1_tiff_media
 from emberline.llm.toxicity import op8_toxicity
+from emberline.llm.treap_search import OP11_SQL, op11_treap_search
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,9 +32,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_treap_search": op11_treap_search,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op3_chat_format": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op11_treap_search": OP11_SQL}
