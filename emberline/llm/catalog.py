@@ -13,6 +13,7 @@ from emberline.llm.language import op6_language_id
 from emberline.llm.licenses import op9_license_scan
 from emberline.llm.mixing import op4_pivotal_mixing
 from emberline.llm.packing import op5_best_fit_packing
+from emberline.llm.repair import op12_dial_repair
 from emberline.llm.resharding import op13_flow_resharding
 from emberline.llm.simhash import op2_simhash_near_dedup
 from emberline.llm.substring_dedup import op10_substring_dedup
@@ -34,6 +35,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_treap_search": op11_treap_search,
+        "op12_dial_repair": op12_dial_repair,
         "op13_flow_resharding": op13_flow_resharding,
         "pipeline": corpus_pipeline.run,
     }
