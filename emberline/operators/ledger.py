@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from emberline.sources.scratch import written
 EXACT = "decimal(28,6)"
 #: Sequence numbers of a machine that one block of the ledger spans, and days of one stretch of as-of lookups.
 BLOCK_ENTRIES, BLOCK_DAYS = 1 << 20, 7
+#: Children of a node of the tree over the sequence numbers of ledgers that are out of order.
+FAN_OUT = 64
 CURRENT, POINT, RANGE = "current", "point", "range"
 
 
@@ -44,8 +49,8 @@ def weight_history(operations: DataFrame, machines: DataFrame, block: int = BLOC
 
 
 def _last_entries(entries: DataFrame, asked: DataFrame, block_days: int) -> DataFrame:
-    """_probe of asked (machine, _ts, _probe) with _found, the greatest _entry of entries (machine, _ts, _entry; first
-    field seq) with _ts at most the probe's.
+    """_probe of asked (machine, _ts, _probe) with _found and _earlier: the greatest _entry of entries (machine, _ts,
+    _entry; first field seq) with _ts at most the probe's, and with _ts before it.
 
     Ledger and probes go through one window by machine and stretch of time; there is no inequality join. A table with
     one row for each machine and stretch carries the last entry of earlier stretches.
@@ -53,13 +58,14 @@ def _last_entries(entries: DataFrame, asked: DataFrame, block_days: int) -> Data
     kinds = {c: d.schema[c].dataType for c, d in (("_entry", entries), ("_probe", asked))}
     both = entries.withColumn("_probe", F.lit(None).cast(kinds["_probe"])).unionByName(asked.withColumn("_entry", F.lit(None).cast(kinds["_entry"])))
     both = both.withColumn("_block", F.floor(F.datediff("_ts", F.lit("1970-01-01")) / block_days))
-    until = Window.partitionBy("machine", "_block").orderBy("_ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_own", F.max("_entry").over(until)).where("_probe is not null")
+    own = lambda upto: F.expr(f"max(_entry) over (partition by machine, _block order by _ts range between unbounded preceding and {upto})")
+    found = both.withColumns({"_own": own("current row"), "_own_before": own("interval '0.000001' second preceding")}).where("_probe is not null")
     ends = both.groupBy("machine", "_block").agg(F.max("_entry").alias("_end"))
     earlier = Window.partitionBy("machine").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.where("_block is not null").select("machine", "_block", F.max("_end").over(earlier).alias("_carried"))
     met = found.join(carried, ["machine", "_block"], "left")
-    return met.select("_probe", F.when(F.col("_ts").isNotNull(), F.greatest("_own", "_carried")).alias("_found"))
+    timed = lambda own: F.when(F.col("_ts").isNotNull(), F.greatest(own, "_carried"))
+    return met.select("_probe", timed("_own").alias("_found"), timed("_own_before").alias("_earlier"))
 
 
 def weight_at(history: DataFrame, probes: DataFrame, machines: DataFrame, at: str = "at", out: str = "weight", block_days: int = BLOCK_DAYS) -> DataFrame:
@@ -98,53 +104,94 @@ def _running_sums(history: DataFrame, block: int) -> DataFrame:
     return met.select("machine", "seq", "ts", "weight", F.coalesce("next", "_next").alias("next"), "first", "late", (F.col("up") + F.col("_up0")).cast(EXACT).alias("up"), (F.col("down") + F.col("_down0")).cast(EXACT).alias("down"))
 
 
+def _gain(now: Column, before: Column) -> Column:
+    return F.coalesce(F.greatest(now.cast(EXACT) - before.cast(EXACT), F.lit(0).cast(EXACT)), F.lit(0).cast(EXACT))
+
+
+def _combined(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """Pieces (by, at, first and last weight, up and down within) put together in the order of `at`, those of each group."""
+    last = F.lag("last").over(Window.partitionBy(*by).orderBy("at"))
+    joined = pieces.withColumns({"up": F.col("up") + _gain(F.col("first"), last), "down": F.col("down") + _gain(last, F.col("first"))})
+    return joined.groupBy(*by).agg(F.min("at").alias("at"), F.min_by("first", "at").alias("first"), F.max_by("last", "at").alias("last"), F.sum("up").cast(EXACT).alias("up"), F.sum("down").cast(EXACT).alias("down"))
+
+
+def _walked(sums: DataFrame, ranges: DataFrame, most: int) -> DataFrame:
+    """first (weight), up and down of ranges (probe, machine, from, to) over the entries of from <= ts < to, by seq,
+    whatever order their times have; sums are those of _running_sums, most is their greatest seq.
+
+    A tree over a machine's sequence numbers has FAN_OUT children a node, and of each the first and last time. A range
+    goes down from the root: a node whose times are all in the range is taken as a whole, by its running sums; one that
+    has none is left; only a node with some sends the range on to its children. So what a range walks are the ends of
+    the range and the nodes that late entries stretch over an end, not its entries.
+    """
+    key = ["probe", "machine", "from", "to"]
+    level = 1
+    while FAN_OUT**level <= most:
+        level += 1
+    ranges = ranges.withColumn("_parent", F.lit(0).cast("bigint"))
+    pieces = None
+    for k in range(level - 1, -1, -1):
+        number = F.expr(f"seq div {FAN_OUT**k}")
+        nodes = sums.groupBy("machine", number.alias("_node")).agg(
+            F.min("ts").alias("_since"), F.max("ts").alias("_until"), (F.count("*") > F.count("ts")).alias("_untimed"), F.min("seq").alias("at"), F.min_by("weight", "seq").alias("first"), F.max_by("weight", "seq").alias("last"),
+            (F.max("up") - F.min("up")).cast(EXACT).alias("up"), (F.max("down") - F.min("down")).cast(EXACT).alias("down"),
+        )
+        nodes = nodes.withColumn("_parent", F.expr(f"_node div {FAN_OUT}"))
+        met = ranges.join(nodes, ["machine", "_parent"]).where((F.col("_until") >= F.col("from")) & (F.col("_since") < F.col("to")))
+        whole = (F.col("_since") >= F.col("from")) & (F.col("_until") < F.col("to")) & ~F.col("_untimed")
+        met = written(met.withColumn("_whole", whole).select(*key, "_node", "_whole", "at", "first", "last", "up", "down"))
+        taken = met.where("_whole").drop("_whole", "_node")
+        pieces = taken if pieces is None else pieces.unionByName(taken)
+        ranges = met.where("not _whole").select(*key, F.col("_node").alias("_parent"))
+    # a range over very many pieces is put together in stretches first
+    stretches = _combined(pieces.withColumn("_stretch", F.expr(f"at div {FAN_OUT**3}")), [*key, "_stretch"]).drop("_stretch")
+    return _combined(stretches, key)
+
+
 def states(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_ties: bool = False, block: int = BLOCK_ENTRIES, block_days: int = BLOCK_DAYS) -> DataFrame:
     """probes (probe, machine, from, to; no two alike) with initial (weight at `from`), weight (at `to`), and loaded and
-    dispensed over from <= ts < to.
+    dispensed over from <= ts < to. Starts jobs: the running sums are written first.
 
     Entries are walked by seq from the weight at `from`, which already holds entries at `from`; so several of them
     count as dispensed and loaded again. collapse_ties keeps only the last entry of each time instead.
 
     All four come from one pass over the ledger: with sums of gains and losses kept by entry, a range is the difference
-    of two entries, put right for its first one. Only where a machine's entries were inserted out of order of time is
-    a range walked.
+    of two entries, put right for its first one. Ranges of machines whose entries were inserted out of order of time go
+    through a tree of those sums instead.
     """
     if collapse_ties:
         history = history.groupBy("machine", "ts").agg(F.max("seq").alias("seq"), F.max_by("weight", "seq").alias("weight"))
     sums = written(_running_sums(history, block))
     key = ["probe", "machine", "from", "to"]
-    spot = lambda name, when: F.struct(F.lit(name).alias("which"), when.alias("at"))
-    before = lambda c: F.col(c) - F.expr("interval '0.000001' second")
-    four = F.array(spot("before", before("from")), spot("base", F.col("from")), spot("last", before("to")), spot("end", F.col("to")))
-    asked = probes.select("machine", F.struct(*key).alias("_p"), F.explode(four).alias("_s")).select("machine", F.col("_s.at").alias("_ts"), F.struct("_p", F.col("_s.which").alias("which")).alias("_probe"))
-    entries = sums.select("machine", F.col("ts").alias("_ts"), F.struct("seq", "weight", "up", "down", "next").alias("_entry"))
+    two = F.array(*[F.struct(F.lit(name).alias("which"), F.col(name).alias("at")) for name in ("from", "to")])
+    asked = probes.select("machine", F.struct(*key).alias("_p"), F.explode(two).alias("_s")).select("machine", F.col("_s.at").alias("_ts"), F.struct("_p", F.col("_s.which").alias("which")).alias("_probe"))
+    entries = sums.select("machine", F.col("ts").alias("_ts"), F.struct("seq", "weight", "up", "down", "next", "first", "late").alias("_entry"))
     found = _last_entries(entries, asked, block_days)
-    pick = lambda name: F.max(F.when(F.col("_probe.which") == name, F.col("_found"))).alias(f"_{name}")
-    wide = found.groupBy("_probe._p").agg(*map(pick, ("before", "base", "last", "end"))).select("_p.*", "_before", "_base", "_last", "_end")
-    about = sums.groupBy("machine").agg(F.max("late").alias("_late"), F.min_by("weight", "seq").alias("_first"))
-    about = machines.select("machine", F.col("initial").alias("_initial")).join(about, "machine", "full").select(F.col("machine").alias("_m"), "_late", "_first", "_initial")
-    met = wide.join(about, F.col("machine") == F.col("_m"), "left").drop("_m").withColumn("_weight", F.coalesce("_base.weight", "_initial"))
+    pick = lambda which, column, name: F.max(F.when(F.col("_probe.which") == which, F.col(column))).alias(name)
+    wide = found.groupBy("_probe._p").agg(pick("from", "_earlier", "_before"), pick("from", "_found", "_base"), pick("to", "_earlier", "_last"), pick("to", "_found", "_end"))
+    known = machines.select(F.col("machine").alias("_m"), F.col("initial").alias("_initial"))
+    met = wide.select("_p.*", "_before", "_base", "_last", "_end").join(known, F.col("machine") == F.col("_m"), "left").drop("_m")
+    met = met.withColumns({"_weight": F.coalesce("_base.weight", "_initial"), "_late": F.coalesce("_last.late", F.lit(False))})
     zero = F.lit(0).cast(EXACT)
     some = F.col("from").isNotNull() & F.coalesce(F.col("_last.seq") > F.col("_before.seq"), F.col("_last").isNotNull() & F.col("_before").isNull())
-    first = F.when(F.col("_before").isNull(), F.col("_first")).otherwise(F.col("_before.next")).cast(EXACT)
+    first = F.when(F.col("_before").isNull(), F.col("_last.first")).otherwise(F.col("_before.next"))
 
-    def total(name: str, sign: int) -> Column:
-        rise = lambda start: F.coalesce(F.greatest(sign * (first - start.cast(EXACT)), zero), zero)
+    def total(name: str, rise: Callable[[Column], Column]) -> Column:
         whole = F.col(f"_last.{name}") - F.coalesce(f"_before.{name}", zero)
         return F.when(some, whole - F.when(F.col("_before").isNull(), zero).otherwise(rise(F.col("_before.weight"))) + rise(F.col("_weight"))).otherwise(zero).cast("double")
 
-    out = written(met.select(*key, F.col("_weight").alias("initial"), F.coalesce("_end.weight", "_initial").alias("weight"), total("up", 1).alias("_up"), total("down", -1).alias("_down"), F.coalesce("_late", F.lit(False)).alias("_late")))
-    fast = out.where("not _late").select(*key, "initial", "weight", *both_zeroed(F.col("_up"), F.col("_down")))
-    if out.where("_late").isEmpty():
-        return fast
-    # out of order: the entries of the range, one by one
-    p = out.where("_late").select("probe", F.col("machine").alias("_m"), "from", "to", F.col("initial").alias("_base"))
-    walked = sums.where("late").join(p, (F.col("machine") == F.col("_m")) & (F.col("ts") >= F.col("from")) & (F.col("ts") < F.col("to"))).drop("_m")
-    by_probe = Window.partitionBy(*key).orderBy("seq")
-    delta = F.col("weight").cast(EXACT) - F.coalesce(F.lag("weight").over(by_probe), F.col("_base")).cast(EXACT)
-    slow = walked.withColumn("_d", delta).groupBy(*key).agg(F.sum(F.greatest("_d", zero)).cast("double").alias("_in"), F.sum(F.greatest(-F.col("_d"), zero)).cast("double").alias("_out"))
-    late = out.where("_late").join(slow, key, "left").select(*key, "initial", "weight", *both_zeroed(F.col("_in"), F.col("_out")))
-    return fast.unionByName(late)
+    told = met.select(*key, F.col("_weight").alias("initial"), F.coalesce("_end.weight", "_initial").alias("weight"), total("up", lambda w: _gain(first, w)).alias("_in"), total("down", lambda w: _gain(w, first)).alias("_out"), "_late")
+    out = told.select(*key, "initial", "weight", "_late", "_in", "_out")
+    most = sums.where("late").agg(F.max("seq")).first()[0]
+    if most is not None:
+        machines_late = sums.where("late").select("machine").distinct()
+        walked = _walked(sums.where("late"), probes.select(*key).join(machines_late, "machine", "left_semi"), most)
+        walked = walked.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("first").alias("_first"), F.col("up").alias("_up"), F.col("down").alias("_down"))
+        out = out.join(walked, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]), "left")
+        base = F.col("initial")
+        slow_in, slow_out = (F.coalesce(F.col(c) + g, zero).cast("double") for c, g in (("_up", _gain(F.col("_first"), base)), ("_down", _gain(base, F.col("_first")))))
+        out = out.withColumns({"_in": F.when(F.col("_late"), slow_in).otherwise(F.col("_in")), "_out": F.when(F.col("_late"), slow_out).otherwise(F.col("_out"))})
+    return out.select(*key, "initial", "weight", *both_zeroed(F.col("_in"), F.col("_out")))
 
 
 def range_summary(history: DataFrame, probes: DataFrame, machines: DataFrame, collapse_ties: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from emberline.operators import ledger, logs, metrics, rules, sessions
 from emberline.plans.plant import Plant
 from emberline.sources import fixtures as fx
 from emberline.sources.scratch import scratch_folder, written
-from emberline.streaming import run, tail
+from emberline.streaming import pages, run, tail
 from emberline.streaming import sessions as stream_sessions
 from emberline.streaming.events import EventLog
 from emberline.streaming.feed import ChangeFeed
@@ -162,6 +162,27 @@ def range_summary_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.range_summary(_history(spark, sf_dir), _ranges(spark, sf_dir, END, START), fx.machines(spark, sf_dir))
 
 
+#: Operations of which every third was entered up to 12 days late: its time lies before that of entries before it.
+LATE_LEDGER = LEDGER.replace("ts::TIMESTAMP AS ts", "CASE WHEN event_id % 3 = 0 THEN ts::TIMESTAMP - INTERVAL 1 DAY * (event_id * 7919 % 13) ELSE ts::TIMESTAMP END AS ts")
+
+
+def _late_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = F.when(F.col("seq") % 3 == 0, -(F.col("seq") * 7919 % 13)).otherwise(0).cast("int")
+    return ledger.weight_history(fx.operations(spark, sf_dir).withColumn("ts", F.timestamp_add("DAY", days, "ts").cast("timestamp_ntz")), fx.machines(spark, sf_dir))
+
+
+@registered(_range_sql(START, END).replace(LEDGER, LATE_LEDGER))
+def range_summary_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over ranges of ledgers whose order of insertion isn't that of time."""
+    return ledger.range_summary(_late_history(spark, sf_dir), _ranges(spark, sf_dir, START, END), fx.machines(spark, sf_dir))
+
+
+@registered(f"""WITH {LATE_LEDGER}, t(n, "at") AS (VALUES (0, TIMESTAMP '2024-01-12 06:00:00'), (1, TIMESTAMP '2023-12-01')), p AS (SELECT c_custkey AS machine, n, "at" FROM customer, t)
+  SELECT p.machine, p.n, p."at", coalesce(arg_max(h.weight, h.seq), 0.0) AS weight FROM p LEFT JOIN h ON h.machine = p.machine AND h.ts <= p."at" GROUP BY ALL""")
+def weight_at_points_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.weight_at(_late_history(spark, sf_dir), _probes(spark, sf_dir), fx.machines(spark, sf_dir))
+
+
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest voltage and cosphi of each machine, one topic for each."""
     return metrics.latest_or_default(fx.machine_metrics(spark, sf_dir), fx.machine_sensors(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
@@ -412,6 +433,16 @@ def plant(spark: SparkSession, sf_dir: str) -> Plant:
 # ---------------------------------------------------------------- streaming
 
 
+#: Rows of a page of the paged stream.
+PAGE_ROWS = 1000
+
+
+@registered(M)
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics through a stream of pages, each behind the (ts, seq) of the one before."""
+    return pages.all_pages(spark, f"{sf_dir}/events.parquet", limit=PAGE_ROWS, topic="event_type", seq="event_id")
+
+
 def _metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.read(spark, sf_dir, "events").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

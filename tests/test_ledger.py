@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberline.operators import ledger as L
 
@@ -64,6 +65,35 @@ def test_states_of_ledgers_in_order_match_a_walk(spark, block, ties):
     assert got == {(k, m): (point(entries[m], initial[m], a), point(entries[m], initial[m], b), *ranged(entries[m], initial[m], a, b)) for k, m, a, b in probes}
 
 
+@pytest.mark.parametrize("fan_out", [2, 5, 64])
+def test_late_entries_match_a_walk(spark, monkeypatch, fan_out):
+    """Ledgers with one late entry, with some, and in no order at all, under trees of several levels."""
+    monkeypatch.setattr(L, "FAN_OUT", fan_out)
+    rng = random.Random(fan_out)
+    entries = {m: [(float(s), float(rng.randrange(0, 500, 10))) for s in range(60)] for m in range(4)}
+    entries[0][40] = (3.5, 70.0)
+    for k in rng.sample(range(60), 12):
+        entries[1][k] = (entries[1][k][0] - rng.randrange(9), entries[1][k][1])
+    rng.shuffle(entries[2])
+    initial = {m: float(m * 50) for m in range(4)}
+    history, machines = tables(spark, entries, initial)
+    probes = [(k, k % 4, *(rng.choice([None, -1, *range(61), 2.5, 3.5]) for _ in range(2))) for k in range(400)]
+    p = spark.createDataFrame([(k, m, at(a), at(b)) for k, m, a, b in probes], RANGES)
+    got = {r.probe: (r.initial, r.weight, r.loaded, r.dispensed) for r in L.states(history, p, machines, block=16).collect()}
+    assert got == {k: (point(entries[m], initial[m], a), point(entries[m], initial[m], b), *ranged(entries[m], initial[m], a, b)) for k, m, a, b in probes}
+
+
+def test_one_late_entry_walks_little(spark, monkeypatch):
+    """Of 20,000 entries one is late: a range sends on only the nodes at its ends and those that the late entry stretches."""
+    rows = spark.range(20_000).select(F.lit(1).cast("bigint").alias("machine"), F.col("id").alias("seq"), F.timestamp_add("SECOND", F.when(F.col("id") == 15_000, 10).otherwise(F.col("id")).cast("int"), F.lit(T0).cast("timestamp_ntz")).alias("ts"), (F.col("id") % 7).cast("double").alias("weight"))
+    sums = L.written(L._running_sums(rows, L.BLOCK_ENTRIES))
+    sizes, keep = [], L.written
+    monkeypatch.setattr(L, "written", lambda df: sizes.append(df.count()) or keep(df))
+    ranges = spark.createDataFrame([(k, 1, T0 + timedelta(seconds=5_000 + k), T0 + timedelta(seconds=16_000 + k)) for k in range(10)], RANGES)
+    got = L._walked(sums, ranges, 19_999).collect()
+    assert len(got) == 10 and sum(sizes) < 10 * 10 * L.FAN_OUT
+
+
 @pytest.mark.parametrize(
     ("entries", "initial", "a", "b", "expected"),
     [
