@@ -80,7 +80,3 @@ def with_source_event(alerts: DataFrame, events: DataFrame) -> DataFrame:
     """Alerts with the event that they came from, where there is one."""
     return alerts.join(events.select(F.col("id").alias("event_id"), F.struct("ts", "properties", "labels").alias("event")), "event_id", "left")
 
-
-def next_seq(log: DataFrame) -> int:
-    """The number behind the largest of a log; 0 for an empty one."""
-    return log.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] + 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import ledger, logs, metrics, sessions
 from emberline.streaming.feed import ChangeFeed
-from emberline.streaming.monitor import PERIOD_MS, Monitor
+from emberline.streaming.monitor import PERIOD_MS, LatestValues, Monitor
 
 
 @dataclass
@@ -23,7 +23,8 @@ class Plant:
     operations: DataFrame
     commands: DataFrame
     events: DataFrame
-    alerts: DataFrame
+    #: The alert log, or what makes it when it is first asked for.
+    alerts: DataFrame | Callable[[], DataFrame]
     monitors: list[Monitor] = field(default_factory=list)
 
     def check_machines(self) -> DataFrame:
@@ -31,13 +32,16 @@ class Plant:
         by_id = self.machines.groupBy(F.col("machine").cast("string").alias("key")).count().where("count > 1")
         return by_id.unionByName(self.machines.groupBy(F.col("name").alias("key")).count().where("count > 1"))
 
-    def monitor(self, alerts: ChangeFeed, period_ms: int = PERIOD_MS) -> Monitor:
-        """A monitor of all machines, which init() starts: each period the latest voltage and cosphi go through the
-        threshold rules and into the alert log."""
+    def monitor(self, alerts: ChangeFeed, period_ms: int = PERIOD_MS, latest: LatestValues | None = None) -> Monitor:
+        """A monitor of all machines, which init() starts: each period the newest voltage and cosphi go through the
+        threshold rules and into the alert log. A sensor without readings reads 0.
+
+        latest: newest values that follow a stream of metrics; without them each period scans the metrics.
+        """
 
         def snapshot() -> DataFrame:
             now = F.current_timestamp().cast("timestamp_ntz")
-            known = self.readings(now).groupBy("machine").pivot("sensor", ["voltage", "cosphi"]).agg(F.first("value"))
+            known = self.readings(now, latest.rows() if latest is not None else None).groupBy("machine").pivot("sensor", ["voltage", "cosphi"]).agg(F.first("value"))
             return self.machines.select("machine", "name").join(known, "machine", "left")
 
         made = Monitor(self.machines.sparkSession, snapshot, alerts, period_ms)
@@ -54,9 +58,9 @@ class Plant:
     def history(self) -> DataFrame:
         return ledger.weight_history(self.operations, self.machines)
 
-    def readings(self, now: Column) -> DataFrame:
-        """machine, sensor, timestamp, value, unit for each sensor."""
-        return metrics.latest_or_default(self.metrics, self.sensors, now).select("machine", "sensor", "timestamp", "value", "unit")
+    def readings(self, now: Column, rows: DataFrame | None = None) -> DataFrame:
+        """machine, sensor, timestamp, value, unit for each sensor, over all metrics or other rows of that kind."""
+        return metrics.latest_or_default(self.metrics if rows is None else rows, self.sensors, now).select("machine", "sensor", "timestamp", "value", "unit")
 
     def snapshot(self, now: Column, sensor_names: list[str]) -> DataFrame:
         return ledger.current_snapshot(self.history(), self.machines, self.readings(now), sensor_names)
@@ -73,7 +77,8 @@ class Plant:
         return sessions.session_states(sessions.latest_sessions(sessions.fold_commands(self.commands)), self.history(), self.machines, now, at)
 
     def machine_alerts(self, *filters: Column) -> DataFrame:
-        return logs.alerts_of_machines(logs.every(logs.latest_version(self.alerts), *filters), self.machines)
+        log = self.alerts() if callable(self.alerts) else self.alerts
+        return logs.alerts_of_machines(logs.every(logs.latest_version(log), *filters), self.machines)
 
     def rollup(self) -> DataFrame:
         """For each plant and shop: machines, operations, and what was loaded and dispensed."""

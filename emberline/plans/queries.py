@@ -17,7 +17,7 @@ from emberline.streaming import pages, run, tail
 from emberline.streaming import sessions as stream_sessions
 from emberline.streaming.events import EventLog
 from emberline.streaming.feed import ChangeFeed
-from emberline.streaming.monitor import Monitor
+from emberline.streaming.monitor import LatestValues
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str]] = {}
@@ -400,17 +400,19 @@ def event_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.alerts.rows().select("id", "message", "object", "event_id")
 
 
-@registered(f"""WITH n AS (SELECT c_name AS name, arg_max(voltage, (ts, seq)) AS voltage, arg_max(cosphi, (ts, seq)) AS cosphi FROM ({SNAP}) JOIN customer ON c_custkey = machine GROUP BY 1),
+@registered(f"""WITH l AS (SELECT machine, arg_max(voltage, (ts, seq)) AS v, arg_max(cosphi, (ts, seq)) AS c FROM ({SNAP}) GROUP BY 1),
+  n AS (SELECT c_name AS name, coalesce(v, 0) AS voltage, coalesce(c, 0) AS cosphi FROM customer LEFT JOIN l ON c_custkey = machine),
   i AS (SELECT name AS object, message FROM ({ISSUES}) WHERE message IS NOT NULL), t(tick) AS (VALUES (0), (1))
   SELECT 'alert-' || (row_number() OVER (ORDER BY tick, object, message) - 1) AS id, message, object, TIMESTAMP '{NOW}' AS ts FROM i, t""")
 def monitor_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ticks of a monitor over the latest readings of machines that have any; the second one's is made anew."""
-    p, now = plant(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")
-    known = written(p.machines.join(p.snapshot(now, ["voltage", "cosphi"]).where(F.col("voltage.timestamp") < now), "machine").select("name", F.col("voltage.value").alias("voltage"), F.col("cosphi.value").alias("cosphi")))
-    feed = ChangeFeed(spark, scratch_folder(spark), schemas.ALERT)
+    """Two ticks of monitors over all machines, whose newest values follow the metrics as a stream; those of machines
+    without readings are 0. The second monitor is another program's."""
+    p, now, folder = plant(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), scratch_folder(spark)
     for _ in range(2):
-        Monitor(spark, lambda: known, feed).tick(now)
-    return feed.rows().select("id", "message", "object", "ts")
+        latest = LatestValues(spark, f"{folder}/latest")
+        latest.follow(fx.machine_metrics_of(_events_stream(spark, sf_dir)), drain=True)
+        p.monitor(ChangeFeed(spark, f"{folder}/alerts", schemas.ALERT), latest=latest).tick(now)
+    return ChangeFeed(spark, f"{folder}/alerts", schemas.ALERT).rows().select("id", "message", "object", "ts")
 
 
 @registered("""WITH o AS (SELECT user_id AS machine, count(*) AS n, sum(CASE WHEN event_type IN ('purchase', 'view') THEN CAST(value AS DECIMAL(28, 6)) ELSE 0 END) AS l,
@@ -426,7 +428,7 @@ def plant(spark: SparkSession, sf_dir: str) -> Plant:
     """The test tables as a plant."""
     return Plant(
         fx.plants(spark, sf_dir), fx.shops(spark, sf_dir), fx.machines(spark, sf_dir), fx.machine_sensors(spark, sf_dir), fx.machine_metrics(spark, sf_dir),
-        fx.operations(spark, sf_dir), fx.commands(spark, sf_dir), fx.event_log(spark, sf_dir), _alerts(spark, sf_dir),
+        fx.operations(spark, sf_dir), fx.commands(spark, sf_dir), fx.event_log(spark, sf_dir), lambda: _alerts(spark, sf_dir),
     )
 
 
@@ -443,10 +445,13 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.all_pages(spark, f"{sf_dir}/events.parquet", limit=PAGE_ROWS, topic="event_type", seq="event_id")
 
 
-def _metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = fx.read(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return files.select(F.col("event_type").alias("topic"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.col("event_id").alias("seq"))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events_stream(spark, sf_dir).select(F.col("event_type").alias("topic"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.col("event_id").alias("seq"))
 
 
 @registered(f"WITH m AS ({M}) SELECT topic, time_bucket(INTERVAL '3600 seconds', ts, TIMESTAMP '1970-01-01') AS \"timestamp\", round(avg(value), 6) AS value FROM m GROUP BY 1, 2")

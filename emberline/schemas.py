@@ -24,3 +24,6 @@ COMMAND = _schema("machine bigint, seq bigint, ts timestamp_ntz, command string,
 SESSION_CHANGE = _schema("session bigint, seq bigint, machine bigint, start timestamp_ntz, end timestamp_ntz, change string")
 EVENT = _schema("id string, seq bigint, ts timestamp_ntz, properties string, labels array<string>")
 ALERT = _schema("id string, seq bigint, message string, ts timestamp_ntz, object string, event_id string, acknowledged boolean, change string")
+
+#: What ids of a log begin with, by the log's columns.
+ID_PREFIXES = {tuple(EVENT.names): "ev-", tuple(ALERT.names): "alert-"}

@@ -36,14 +36,23 @@ def machine_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def machine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots as metrics of the machines' sensors."""
-    long = snapshots(spark, sf_dir).select("machine", "ts", "seq", F.expr("stack(2, 'voltage', voltage, 'cosphi', cosphi) AS (sensor, value)"))
+    return machine_metrics_of(read(spark, sf_dir, "events"))
+
+
+def machine_metrics_of(events: DataFrame) -> DataFrame:
+    """The same of a table or stream of events."""
+    long = snapshots_of(events).select("machine", "ts", "seq", F.expr("stack(2, 'voltage', voltage, 'cosphi', cosphi) AS (sensor, value)"))
     return long.select(F.concat_ws("/", "machine", "sensor").alias("topic"), "ts", "value", "seq")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots_of(read(spark, sf_dir, "events"))
+
+
+def snapshots_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
-    return _events(spark, sf_dir).select(
-        F.col("user_id").alias("machine"), "ts", F.col("event_id").alias("seq"), (330 + F.col("value") % 100).alias("voltage"), (k / 100).alias("cosphi")
+    return events.select(
+        F.col("user_id").alias("machine"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_id").alias("seq"), (330 + F.col("value") % 100).alias("voltage"), (k / 100).alias("cosphi")
     )
 
 
