@@ -5,8 +5,9 @@ interleaved or separate planes. The writer makes what the reader's tests and the
 fax compression.
 
 Defined results of the reader: a null file has no pages; a file without a TIFF head, or a page that can't be decoded,
-gives one page row with an error and no samples, as does a page that claims more than MAX_PIXELS samples; directories
-that point back end the walk; repeated rows stay; an empty table gives no rows; all other columns of the table are
+gives one page row with an error and no samples, and the pages behind it are read all the same; so does a page of more
+than MAX_PIXELS samples, which read_blocks reads; directories that point back end the walk; very long texts become many
+pages; repeated rows stay; an empty table gives no rows; all other columns of the table are
 kept, whatever they are called, but for one with the result's name.
 """
 
@@ -27,8 +28,10 @@ from emberline.llm.shared import place, plain, restored, table
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST = 256, 257, 258
-#: Samples of a page that the reader takes: what a task can hold, whatever a broken directory says.
+#: Samples of a page that come in one cell of a row; read_blocks gives those of larger pages by strips or tiles.
 MAX_PIXELS = 1 << 28
+#: Bytes of a strip or tile, without a bound.
+UNBOUND = (1 << 31) - 1
 #: Bytes of media that one Arrow batch of results holds, about.
 BATCH_BYTES = 16 << 20
 
@@ -57,6 +60,10 @@ PAGE = T.StructType(
 )
 
 
+#: A strip or tile: where it lies on its page, and its samples, row by row.
+BLOCK = T.StructType([T.StructField(n, T.IntegerType()) for n in ("page", "plane", "y", "x", "height", "width")] + [T.StructField("samples", T.BinaryType()), T.StructField("error", T.StringType())])
+
+
 # --------------------------------------------------------------------- codecs
 
 
@@ -76,16 +83,19 @@ def packbits_encode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, at, n = [], 0, len(data)
-    while at < n:
+def packbits_decode(data: bytes, most: int = UNBOUND) -> bytes:
+    """The bytes that data stands for, no more than `most` and what the last run adds."""
+    out, at, n, size = [], 0, len(data), 0
+    while at < n and size < most:
         head = data[at]
         if head < 128:
             out.append(data[at + 1 : at + 2 + head])
             at += 2 + head
+            size += head + 1
         else:
             if head > 128:
                 out.append(data[at + 1 : at + 2] * (257 - head))
+                size += 257 - head
             at += 2 if head > 128 else 1
     return b"".join(out)
 
@@ -132,7 +142,9 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(16)[None, :] >= 16 - np.array(widths)[:, None]]).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = UNBOUND) -> bytes:
+    """The bytes that data stands for, no more than `most` and what the last code adds."""
+    size = 0
     singles = [bytes([k]) for k in range(256)] + [b"", b""]
     known, out = singles.copy(), []
     push = out.append
@@ -153,6 +165,7 @@ def lzw_decode(data: bytes) -> bytes:
         if not last:
             last = known[code]
             push(last)
+            size += len(last)
             continue
         if code < len(known):
             now = known[code]
@@ -164,14 +177,30 @@ def lzw_decode(data: bytes) -> bytes:
             raise ValueError("LZW code ahead of its table")
         push(now)
         last = now
+        size += len(now)
+        if size >= most:
+            break
         if len(known) == grow and width < 12:
             width += 1
             grow = grow * 2 + 1
     return b"".join(out)
 
 
+def inflate(data: bytes, most: int = UNBOUND) -> bytes:
+    """The first `most` bytes that data stands for; an error if it ends before its own end and these."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, most)
+    if not stream.eof and len(out) < most:
+        raise ValueError("a deflate stream is cut off")
+    return out
+
+
+def stored(data: bytes, most: int = UNBOUND) -> bytes:
+    return data[:most]
+
+
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: zlib.compress, PACKBITS: packbits_encode}
-DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+DECODERS = {NONE: stored, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: packbits_decode}
 
 
 # --------------------------------------------------------------------- writer
@@ -233,7 +262,7 @@ def write_tiff(pages: list[tuple[list[tuple[str, int, list[int]]], list[bytes]]]
 
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[str, list[int]]]]:
-    """Byte order and entries of each image directory in turn."""
+    """Byte order and entries of each image directory in turn. An entry whose values can't be read leaves a `fault`."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -247,45 +276,62 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[str, list[int]]]]:
             if tag in NAMES and kind in FORMATS:
                 where, size = at + 10 + 12 * k, count * struct.calcsize(FORMATS[kind])
                 if size > 4:
-                    (where,) = struct.unpack_from(order + "I", data, where)
+                    (where,) = struct.unpack_from(order + "I", data, where)  # within the directory
                 if where + size > len(data):
-                    raise ValueError(f"{NAMES[tag]} goes beyond the file")
+                    entries["fault"] = [f"{NAMES[tag]} goes beyond the file"]
+                    continue
                 entries[NAMES[tag]] = np.frombuffer(data, order + NUMBERS[kind], count, where).tolist()
         yield order, entries
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def page_pixels(data: bytes, order: str, e: dict[str, list[int]]) -> np.ndarray:
-    """Pixels (height, width, channels) of one directory."""
-    width, height, channels = e["width"][0], e["height"][0], e.get("samples", [1])[0]
-    depths, predictor, compression = set(e.get("bits", [1])), e.get("predictor", [1])[0], e.get("compression", [NONE])[0]
-    bits = min(depths, default=0)
-    if len(depths) != 1 or bits not in SAMPLES or predictor not in ((1, 2) if bits > 1 else (1,)) or compression not in DECODERS:
-        raise ValueError(f"bits {sorted(depths)}, predictor {predictor} or compression {compression} isn't known")
-    tiled, separate = "tile_offsets" in e, e.get("planar", [1])[0] == 2
-    bw, bh = (e["tile_width"][0], e["tile_height"][0]) if tiled else (width, min(e.get("rows_per_strip", [height])[0], height))
-    if not min(width, height, channels, bw, bh) or width * height * channels > MAX_PIXELS or bw * bh * channels > MAX_PIXELS:
-        raise ValueError(f"{width} x {height} pixels of {channels} samples in blocks of {bw} x {bh}")
-    across, down, deep = -(-width // bw), -(-height // bh), 1 if separate else channels
-    offsets, counts = (e["tile_offsets"], e["tile_counts"]) if tiled else (e["strip_offsets"], e["strip_counts"])
-    if len(offsets) != len(counts) or len(offsets) != across * down * (channels if separate else 1):
-        raise ValueError(f"{len(offsets)} offsets and {len(counts)} sizes of strips or tiles")
-    kind = np.dtype(SAMPLES[bits]).newbyteorder(order)
-    pixels = np.zeros((height, width, channels), kind.newbyteorder("="))
-    for k, (at, n) in enumerate(zip(offsets, counts)):
-        plane, where = divmod(k, across * down)
-        y, x = where // across * bh, where % across * bw
-        rows = bh if tiled else min(bh, height - y)
-        raw = DECODERS[compression](data[at : at + n])
-        if bits == 1:  # each row begins with a byte of its own
-            line = -(-bw * deep // 8)
-            block = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : bw * deep].reshape(rows, bw, deep)
-        else:
-            block = np.frombuffer(raw, kind, rows * bw * deep).reshape(rows, bw, deep).astype(pixels.dtype)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype)
-        part = block[: height - y, : width - x]
-        pixels[y : y + bh, x : x + bw, plane if separate else slice(None)] = part[:, :, 0] if separate else part
+class Layout:
+    """Size, samples and strips or tiles of the page of a directory."""
+
+    def __init__(self, order: str, e: dict[str, list[int]]) -> None:
+        if "fault" in e:
+            raise ValueError(e["fault"][0])
+        self.width, self.height, self.channels = e["width"][0], e["height"][0], e.get("samples", [1])[0]
+        depths, self.predictor, self.compression = set(e.get("bits", [1])), e.get("predictor", [1])[0], e.get("compression", [NONE])[0]
+        self.bits = min(depths, default=0)
+        if len(depths) != 1 or self.bits not in SAMPLES or self.predictor not in ((1, 2) if self.bits > 1 else (1,)) or self.compression not in DECODERS:
+            raise ValueError(f"bits {sorted(depths)}, predictor {self.predictor} or compression {self.compression} isn't known")
+        self.tiled, self.separate = "tile_offsets" in e, e.get("planar", [1])[0] == 2
+        self.bw, self.bh = (e["tile_width"][0], e["tile_height"][0]) if self.tiled else (self.width, min(e.get("rows_per_strip", [self.height])[0], self.height))
+        self.deep = 1 if self.separate else self.channels
+        if not min(self.width, self.height, self.channels, self.bw, self.bh) or self.bw * self.bh * self.deep > MAX_PIXELS:
+            raise ValueError(f"{self.width} x {self.height} pixels of {self.channels} samples in blocks of {self.bw} x {self.bh}")
+        self.across, self.down = -(-self.width // self.bw), -(-self.height // self.bh)
+        self.offsets, self.counts = (e["tile_offsets"], e["tile_counts"]) if self.tiled else (e["strip_offsets"], e["strip_counts"])
+        if len(self.offsets) != len(self.counts) or len(self.offsets) != self.across * self.down * (self.channels if self.separate else 1):
+            raise ValueError(f"{len(self.offsets)} offsets and {len(self.counts)} sizes of strips or tiles")
+        self.kind = np.dtype(SAMPLES[self.bits]).newbyteorder(order)
+
+    def blocks(self, data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Plane, row, column and pixels of each strip or tile, cut to the page. A block's bytes are decoded no further
+        than its size goes."""
+        for k, (at, n) in enumerate(zip(self.offsets, self.counts)):
+            plane, where = divmod(k, self.across * self.down)
+            y, x = where // self.across * self.bh, where % self.across * self.bw
+            rows = self.bh if self.tiled else min(self.bh, self.height - y)
+            line = -(-self.bw * self.deep // 8) if self.bits == 1 else self.bw * self.deep * self.kind.itemsize
+            raw = DECODERS[self.compression](data[at : at + n], rows * line)
+            if self.bits == 1:  # each row begins with a byte of its own
+                block = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : self.bw * self.deep].reshape(rows, self.bw, self.deep)
+            else:
+                block = np.frombuffer(raw, self.kind, rows * self.bw * self.deep).reshape(rows, self.bw, self.deep).astype(self.kind.newbyteorder("="))
+            if self.predictor == 2:
+                block = np.cumsum(block, axis=1, dtype=block.dtype)
+            yield plane, y, x, block[: self.height - y, : self.width - x]
+
+
+def page_pixels(data: bytes, page: Layout) -> np.ndarray:
+    """Pixels (height, width, channels) of one page."""
+    if page.width * page.height * page.channels > MAX_PIXELS:
+        raise ValueError(f"{page.width} x {page.height} pixels of {page.channels} samples are too many for one cell")
+    pixels = np.zeros((page.height, page.width, page.channels), page.kind.newbyteorder("="))
+    for plane, y, x, part in page.blocks(data):
+        pixels[y : y + part.shape[0], x : x + part.shape[1], plane if page.separate else slice(None)] = part[:, :, 0] if page.separate else part
     return pixels
 
 
@@ -295,13 +341,15 @@ SAMPLES = {1: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32}
 
 def look_of(pixels: np.ndarray) -> str:
     """Which of 8 x 8 cells are brighter than the mean of all cells, as 16 hex digits, and the mean of each channel."""
-    grey = pixels.mean(axis=2)
-    rows, cols = (np.linspace(0, n, 9).astype(int) for n in grey.shape)
-    sums = np.pad(grey, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
-    lo, hi, left, right = rows[:-1], np.maximum(rows[1:], rows[:-1] + 1).clip(max=grey.shape[0]), cols[:-1], np.maximum(cols[1:], cols[:-1] + 1).clip(max=grey.shape[1])
-    total = sums[np.ix_(hi, right)] - sums[np.ix_(lo, right)] - sums[np.ix_(hi, left)] + sums[np.ix_(lo, left)]
-    cells = total / np.maximum(np.outer(hi - lo, right - left), 1)
-    return np.packbits(cells > cells.mean()).tobytes().hex() + "".join(f":{m:.2f}" for m in pixels.mean(axis=(0, 1)))
+    height, width, channels = pixels.shape
+    rows, cols = (np.linspace(0, n, 9).astype(int) for n in (height, width))
+    lo, hi, left, right = rows[:-1], np.maximum(rows[1:], rows[:-1] + 1).clip(max=height), cols[:-1], np.maximum(cols[1:], cols[:-1] + 1).clip(max=width)
+    # sums of bands of rows by column and channel: whole numbers, and small beside the page
+    bands = np.stack([pixels[a:b].sum(axis=0, dtype=np.int64) for a, b in zip(lo, hi)])
+    across = np.pad(bands.sum(axis=2), ((0, 0), (1, 0))).cumsum(1)
+    cells = (across[:, right] - across[:, left]) / np.maximum(np.outer(hi - lo, right - left) * channels, 1)
+    total = bands.sum(axis=(0, 1)) if height >= 8 else pixels.sum(axis=(0, 1), dtype=np.int64)
+    return np.packbits(cells > cells.mean()).tobytes().hex() + "".join(f":{m:.2f}" for m in total / (height * width))
 
 
 def read_tiff(data: bytes | None) -> list[dict]:
@@ -314,9 +362,9 @@ def read_tiff(data: bytes | None) -> list[dict]:
             page = {f.name: None for f in PAGE} | {"page": len(pages), "tiled": "tile_offsets" in e}
             pages.append(page)
             try:
-                pixels = page_pixels(data, order, e)
-                h, w, c = pixels.shape
-                page |= {"width": w, "height": h, "channels": c, "bits": e.get("bits", [1])[0], "compression": e.get("compression", [NONE])[0], "predictor": e.get("predictor", [1])[0]}
+                own = Layout(order, e)
+                page |= {"width": own.width, "height": own.height, "channels": own.channels, "bits": own.bits, "compression": own.compression, "predictor": own.predictor}
+                pixels = page_pixels(data, own)
                 page |= {"samples": pixels.tobytes(), "look": look_of(pixels) if pixels.size else ""}
             except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as why:
                 page["error"] = f"unreadable page: {why}"
@@ -325,6 +373,22 @@ def read_tiff(data: bytes | None) -> list[dict]:
     return pages
 
 
+def read_blocks_of(data: bytes | None) -> Iterator[dict]:
+    """The strips or tiles of a file, as rows of BLOCK, one by one: pages of any size."""
+    if data is None:
+        return
+    page = -1
+    try:
+        for page, (order, e) in enumerate(directories(data)):
+            try:
+                for plane, y, x, part in Layout(order, e).blocks(data):
+                    yield {"page": page, "plane": plane, "y": y, "x": x, "height": part.shape[0], "width": part.shape[1], "samples": part.tobytes(), "error": None}
+            except (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error) as why:
+                yield {f.name: None for f in BLOCK} | {"page": page, "error": f"unreadable page: {why}"}
+    except (ValueError, struct.error) as why:
+        yield {f.name: None for f in BLOCK} | {"page": page + 1, "error": f"unreadable file: {why}"}
+
+
 # ------------------------------------------------------------------ operators
 
 
@@ -364,6 +428,25 @@ def read_pages(df: DataFrame, media_col: str, out_col: str = "page") -> DataFram
     return pages.select(*[place(df, c) for c in kept], F.explode("_pages")).toDF(*kept, out_col)
 
 
+def read_blocks(df: DataFrame, media_col: str, out_col: str = "block") -> DataFrame:
+    """One row per strip or tile of each file: the columns of df, but for media_col, and a struct of the block. Nothing
+    larger than a block is held, so that pages over MAX_PIXELS can be read as well."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    own, kept = plain(df), [c for c in df.columns if c not in (media_col, out_col)]
+    names, media, kind = [place(df, c) for c in kept], place(df, media_col), to_arrow_type(BLOCK)
+    schema = T.StructType([*(own.schema[n] for n in names), T.StructField("_out", BLOCK)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, value in enumerate(batch.column(media)):
+                for block in read_blocks_of(value.as_py()):
+                    row = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([*(row.column(n) for n in names), pa.array([block], kind)], [*names, "_out"])
+
+    return own.mapInArrow(run, schema).toDF(*kept, out_col)
+
+
 # ---------------------------------------------------------------------- query
 
 #: Geometry of a text as an image: 64 pixels of 3 samples a row, so many rows a page.
@@ -385,7 +468,9 @@ def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = _map_column(docs, "text", T.StructField("media", T.BinaryType()), text_to_tiff)
     sized = stored.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    read = with_pages(sized, "media").withColumn("payload", F.array_join(F.transform("pages", lambda p: p["samples"].cast("string")), "").cast("binary"))
+    faulty = F.raise_error(F.concat(F.lit("a page can't be read back: "), F.get(F.filter("pages", lambda p: p["samples"].isNull()), F.lit(0))["error"]))
+    joined = F.array_join(F.transform("pages", lambda p: p["samples"].cast("string")), "")
+    read = with_pages(sized, "media").withColumn("payload", F.when(F.exists("pages", lambda p: p["samples"].isNull()), faulty).otherwise(joined).cast("binary"))
     return read.select(
         "doc_id",
         "n_bytes",

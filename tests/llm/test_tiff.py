@@ -111,3 +111,44 @@ def test_clashing_names(spark):
     two = M.write_tiff([M.write_page(np.zeros((4, 4, 1), np.uint8), M.LZW)] * 2)
     df = spark.createDataFrame([(two, 1, 2, 3)], "media binary, _pages int, c0 int, page int")
     assert [r.asDict(True).keys() for r in M.read_pages(df, "media").collect()] == [dict.fromkeys(["_pages", "c0", "page"]).keys()] * 2
+
+
+def test_bombs_are_read_no_further_than_the_page_goes():
+    import tracemalloc
+
+    entries, _ = M.write_page(np.zeros((1, 1, 1), np.uint8), M.DEFLATE)
+    zeros = b"\0" * 50_000_000
+    for codec, part in ((M.DEFLATE, zlib.compress(zeros, 9)), (M.PACKBITS, b"\x81\0" * 400_000), (M.LZW, M.lzw_encode(zeros[:3_000_000]))):
+        own = [(n, kind, {"strip_counts": [len(part)], "compression": [codec]}.get(n, v)) for n, kind, v in entries]
+        file = M.write_tiff([(own, [part])])
+        tracemalloc.start()
+        (page,) = M.read_tiff(file)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert page["samples"] == b"\0" and most < 3 * len(file) + 500_000
+
+
+def test_pages_behind_a_bad_entry_are_read():
+    good = M.write_page(rng.integers(0, 255, (9, 5, 3)).astype(np.uint8), M.LZW)
+    file = bytearray(M.write_tiff([good, good, good]))
+    at = int.from_bytes(file[4:8], "little")
+    tags = [int.from_bytes(file[at + 2 + 12 * k : at + 4 + 12 * k], "little") for k in range(int.from_bytes(file[at : at + 2], "little"))]
+    where = at + 2 + 12 * tags.index(M.TAGS["bits"]) + 8
+    file[where : where + 4] = (2**31).to_bytes(4, "little")
+    pages = M.read_tiff(bytes(file))
+    assert [p["error"] is None for p in pages] == [False, True, True] and "bits goes beyond" in pages[0]["error"]
+
+
+def test_large_pages_are_read_by_blocks(spark, monkeypatch):
+    pixels = rng.integers(0, 255, (70, 45, 3)).astype(np.uint8)
+    files = [M.write_tiff([M.write_page(pixels, M.DEFLATE, 2, tile, 16)]) for tile in (None, (32, 16))]
+    df = spark.createDataFrame([(k, f, k) for k, f in enumerate(files)] + [(2, None, 0), (3, b"junk", 0)], "page long, media binary, block long")
+    found = M.read_blocks(df, "media").collect()
+    for k in (0, 1):
+        made = np.zeros_like(pixels)
+        for b in (r.block for r in found if r.page == k):
+            made[b.y : b.y + b.height, b.x : b.x + b.width] = np.frombuffer(b.samples, np.uint8).reshape(b.height, b.width, 3)
+        assert (made == pixels).all()
+    assert [r.block.error is not None for r in found if r.page == 3] == [True] and not [r for r in found if r.page == 2]
+    monkeypatch.setattr(M, "MAX_PIXELS", 64 * 45 * 3)
+    assert "too many for one cell" in M.read_tiff(files[0])[0]["error"] and sum(b["height"] for b in M.read_blocks_of(files[0])) == 70
