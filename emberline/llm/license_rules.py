@@ -12,6 +12,7 @@ which no one word is always there is split over several entries.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 
@@ -260,5 +261,7 @@ def signature_rules() -> list[Rule]:
     return rules
 
 
-#: Texts without any of these words have no span: the keywords of all rules, as whole words.
-GATE = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(sorted({r.keyword for r in [*BASE_RULES, *signature_rules()]})) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
+def gate(rules: list[Rule]) -> str:
+    """A regular expression that a text without any of the rules' keywords, as whole words, doesn't match."""
+    words = "|".join(sorted({re.escape(r.keyword) for r in rules}))
+    return rf"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:{words})(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"

@@ -19,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.license_rules import BASE_RULES, GATE, Rule, signature_rules
+from emberline.llm.license_rules import BASE_RULES, Rule, gate, signature_rules
 from emberline.llm.shared import place, plain, restored, table
 
 #: Runs of what isn't part of a word, and of what is.
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "licenses", rul
     every = [*BASE_RULES, *(signature_rules() if rules is None else rules)]
     text = F.coalesce(F.col(place(docs, text_col)), F.lit(""))
     keywords = sorted({r.keyword for r in every})
-    gated = plain(docs).withColumn("_line", F.when(text.rlike(GATE), word_line(text)))
+    gated = plain(docs).withColumn("_line", F.when(text.rlike(gate(every)), word_line(text)))
     own = F.array_intersect(F.split(F.col("_line"), " "), F.lit(keywords))
     tried = F.filter(rules_literal(every), lambda r: F.array_contains(F.col("_own"), r["keyword"]))
     found = F.flatten(F.transform(F.col("_rules"), lambda r: rule_spans(F.col("_line"), r)))

@@ -6,7 +6,7 @@ from re import _parser as P
 from helpers import AWKWARD, documents, write_tables
 
 from emberline.llm import licenses as N
-from emberline.llm.license_rules import BASE_RULES, GATE, signature_rules
+from emberline.llm.license_rules import BASE_RULES, Rule, gate, signature_rules
 
 TEXTS = [
     "Released under the MIT License.", "MIT\nLICENSE mit license, The MIT-License!", "Licensed under the Apache License, Version 2.0 and the GNU General Public License v3 or later.",
@@ -70,7 +70,7 @@ def test_the_gate_loses_no_text_that_a_rule_matches(spark, monkeypatch):
     docs = documents(spark, rows)
     found = lambda: {r.doc_id: r.licenses for r in N.scan(docs).collect()}
     gated = found()
-    monkeypatch.setattr(N, "GATE", "")
+    monkeypatch.setattr(N, "gate", lambda rules: "")
     assert gated == found()
     for k, (_, label) in enumerate(UNGATED, len(TEXTS)):
         assert label in {s.label for s in gated[k].spans}, rows[k]
@@ -99,10 +99,18 @@ def least_texts(tree):
 
 def test_each_rule_matches_its_least_texts(spark):
     rules = [*BASE_RULES, *signature_rules()]
+    own = gate(rules)
     least = [(k, t) for k, r in enumerate(rules) for t in least_texts(P.parse(r.pattern))]
     for k, t in least:
         assert re.search(rules[k].pattern, t + " "), t
-        assert rules[k].keyword in t.split() and re.search(GATE, t), (rules[k].keyword, t)
+        assert rules[k].keyword in t.split() and re.search(own, t), (rules[k].keyword, t)
     dead = {"asl 2 0": "Apache-2.0", "alv2": "Apache-2.0", "freebsd license": "BSD-2-Clause", "psf license": "PSF-2.0", "Beerware license": "Beerware", "end user license agreement": "Proprietary", "dual licensed": "License-Reference", "for noncommercial use only": "Non-Commercial", "free for personal use": "Non-Commercial", "x consortium license": "X11", "software is provided as is without express or implied warranties": "AS-IS"}
     got = {r.text: {s.label for s in r.licenses.spans} for r in N.scan(documents(spark, list(enumerate(dead)))).collect()}
     assert {t: label in got[t] for t, label in dead.items()} == dict.fromkeys(dead, True)
+
+
+def test_a_callers_rules_have_a_gate_of_their_own(spark):
+    rules = [Rule("foobarium", " under the foobarium terms(?= )", 3, "Foobarium", 0.9), Rule("c++", " c++(?= )", 3, "never", 0.9)]
+    texts = ["This work is under the Foobarium terms.", "This work and a license are under the foobarium terms", "all rights reserved", "the foobariums", "MIT license"]
+    got = N.scan(documents(spark, list(enumerate(texts))), rules=rules).orderBy("doc_id").collect()
+    assert [[s.label for s in r.licenses.spans] for r in got] == [["Foobarium"], ["Foobarium"], [], [], ["mit"]]
