@@ -35,7 +35,7 @@ CAPACITY = 2048
 #: A bin with at most this part of its room free is nearly full.
 SLACK = 1 / 256
 #: Pieces that a leaf packs at least, as far as there are so many, and nodes whose rests meet in one.
-PER_TASK, FAN_IN = 50_000, 8
+PER_TASK, FAN_IN = 5_000, 8
 
 PIECE_SHAPE = "id {id}, piece int, start long, length long, ids_crc32 long"
 
