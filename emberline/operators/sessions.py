@@ -7,7 +7,7 @@ completed sessions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 from datetime import datetime
 
 import pyarrow as pa
@@ -21,11 +21,15 @@ CHANGE_SHAPE = "session bigint, seq bigint, machine bigint, start timestamp_ntz,
 
 
 class MachineSessions:
-    """Sessions of one machine: applies commands in order. Batch and streaming fold share it."""
+    """Sessions of one machine: applies commands in order. Batch and streaming fold share it.
 
-    def __init__(self, sessions: dict[int, tuple[datetime | None, datetime | None]] | None = None) -> None:
-        self.sessions = dict(sessions or {})
-        self.active = next((k for k, (_, end) in self.sessions.items() if end is None), None)
+    sessions holds start and end by session: a dict, or what looks them up in a state store one by one. active: the session
+    that has no end, if there is one.
+    """
+
+    def __init__(self, sessions: MutableMapping[int, tuple[datetime | None, datetime | None]] | None = None, active: int | None = None) -> None:
+        self.sessions = {} if sessions is None else sessions
+        self.active = active
 
     def apply(self, command: str, seq: int, ts: datetime, session: int | None = None, start: datetime | None = None, end: datetime | None = None) -> tuple[int, datetime | None, datetime | None, str] | None:
         """The change (session, start, end, kind) that a command makes, if any."""

@@ -472,3 +472,23 @@ def stream_sessions_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = stream_sessions.fold_stream(spark.readStream.schema(commands.schema).parquet(folder))
     with stream_sessions.stateful(spark):
         return sessions.latest_sessions(run.drain_appends(stream))
+
+
+#: Days of commands that one part of the late stream holds, days by which they come late, and the time to wait for them.
+PART_DAYS, LATE_DAYS, LATENESS = 5, 3, "9 days"
+
+
+@registered(f"WITH {SESSIONS} SELECT * FROM s")
+def stream_sessions_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands that come up to LATE_DAYS days late, in parts that overlap in time, folded in their own order. The last
+    part moves the watermark over all that is held back."""
+    folder, first = scratch_folder(spark), F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
+    commands = fx.commands(spark, sf_dir)
+    part = F.floor((F.datediff("ts", first) + F.pmod(F.xxhash64("machine", "seq"), F.lit(LATE_DAYS + 1))) / PART_DAYS)
+    dealt = written(commands.withColumn("_part", part))
+    end = commands.limit(1).withColumn("ts", F.lit(datetime(2100, 1, 1)).cast("timestamp_ntz")).withColumn("machine", F.lit(-1).cast("bigint"))
+    for (k,) in [*dealt.select("_part").distinct().orderBy("_part").collect(), (None,)]:
+        (end if k is None else dealt.where(F.col("_part") == k).drop("_part")).coalesce(1).write.mode("append").parquet(folder)
+    files = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with stream_sessions.stateful(spark):
+        return sessions.latest_sessions(run.drain_appends(stream_sessions.fold_stream(files, LATENESS)))

@@ -25,5 +25,5 @@ SESSION_CHANGE = _schema("session bigint, seq bigint, machine bigint, start time
 EVENT = _schema("id string, seq bigint, ts timestamp_ntz, properties string, labels array<string>")
 ALERT = _schema("id string, seq bigint, message string, ts timestamp_ntz, object string, event_id string, acknowledged boolean, change string")
 
-#: What ids of a log begin with, by the log's columns.
-ID_PREFIXES = {tuple(EVENT.names): "ev-", tuple(ALERT.names): "alert-"}
+#: Logs whose rows are numbered as they are appended, by their columns: what ids begin with, where rows have any.
+ID_PREFIXES = {tuple(EVENT.names): "ev-", tuple(ALERT.names): "alert-", tuple(OPERATION.names): "", tuple(COMMAND.names): ""}

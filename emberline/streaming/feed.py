@@ -40,11 +40,11 @@ KEEP = 1000
 
 class ChangeFeed:
     """A table of change rows in a shared folder. With a prefix (that of the schema's ids, by default) rows whose seq is
-    null get the next numbers as they are committed, and ids made of prefix and number."""
+    null get the next numbers as they are committed, and ids, if the schema has any, made of prefix and number."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, prefix: str | None = None) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        self.prefix = prefix or schemas.ID_PREFIXES.get(tuple(schema.names))
+        self.prefix = prefix if prefix is not None else schemas.ID_PREFIXES.get(tuple(schema.names))
         self.log = CommitLog(spark, f"{self.path}/commits")
 
     # ------------------------------------------------------------- writing
@@ -56,7 +56,7 @@ class ChangeFeed:
         if known is None:
             part, none = uuid.uuid4().hex, F.lit(None).cast("bigint")
             given = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in self.schema if f.name not in rows.columns})
-            if self.prefix:
+            if self.prefix is not None:
                 old = given.where("seq is not null").withColumn("_nth", none)
                 unnumbered = given.where("seq is null")
                 if "seq" in rows.columns and unnumbered.isEmpty():
@@ -90,12 +90,14 @@ class ChangeFeed:
     def _placed(self, commits: list[dict]) -> DataFrame:
         """Rows of commits, with the numbers that these give them."""
         rows = self._read(*[c["part"] for c in commits])
-        if self.prefix:
+        if self.prefix is not None:
             # at most one row an append since the last compaction
             first = self.spark.createDataFrame([(c["part"], c["first"]) for c in commits], "_p string, _first bigint")
             number = F.col("_first") + F.col("_nth")
             rows = rows.join(F.broadcast(first), F.col("part") == F.col("_p"))
-            rows = rows.withColumns({"id": F.coalesce("id", F.concat(F.lit(self.prefix), number)), "seq": F.coalesce("seq", number)})
+            rows = rows.withColumn("seq", F.coalesce("seq", number))
+            if "id" in self.schema.names:
+                rows = rows.withColumn("id", F.coalesce("id", F.concat(F.lit(self.prefix), number)))
         return rows.select(*self.schema.names)
 
     def rows(self) -> DataFrame:
@@ -140,7 +142,7 @@ class ChangeFeed:
         """Rows committed from now on (with a name: from its first time on), or all that are there as well."""
         self.spark.dataSource.register(FeedSource)
         reader = self.spark.readStream.format("change_feed").schema(self.schema).option("path", self.path)
-        return reader.option("begin", self._begin(name) if only_new else -1).option("prefix", self.prefix or "").load()
+        return reader.option("begin", self._begin(name) if only_new else -1).option("numbered", str(self.prefix is not None)).option("prefix", self.prefix or "").load()
 
     def subscribe(self, callback: Callable[[Row], None], only_new: bool = True, period_ms: int = 200, name: str | None = None) -> Subscription:
         """Call back for each new row, at least once: rows of a batch that was cut short come again to a named subscriber,
@@ -173,6 +175,7 @@ class FeedReader(DataSourceStreamReader):
 
     def __init__(self, options: dict[str, str], schema: T.StructType) -> None:
         self.path, self.begin, self.prefix, self.schema = options["path"], int(options["begin"]), options.get("prefix", ""), schema
+        self.numbered = options["numbered"] == "True"
 
     def _commits(self, after: int = -1) -> dict[int, str]:
         files, path = store(self.path)
@@ -205,9 +208,10 @@ class FeedReader(DataSourceStreamReader):
         with files.open_input_file(partition.file) as f:
             for batch in pq.ParquetFile(f).iter_batches():
                 columns = {n: batch.column(n) for n in batch.schema.names}
-                if self.prefix:
+                if self.numbered:
                     number = pc.add(columns["_nth"], partition.first)
                     columns["seq"] = pc.coalesce(columns["seq"], number)
+                if self.numbered and "id" in columns:
                     columns["id"] = pc.coalesce(columns["id"], pc.binary_join_element_wise(self.prefix, number.cast(pa.string()), ""))
                 yield pa.RecordBatch.from_arrays([columns[n].cast(kind.field(n).type) for n in self.schema.names], schema=pa.schema([pa.field(n, kind.field(n).type) for n in self.schema.names]))
 

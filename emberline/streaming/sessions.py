@@ -1,56 +1,134 @@
-"""The session fold over a stream of commands: the same state machine as in batch, kept by machine in the state store."""
+"""The session fold over a stream of commands: the same state machine as in batch, kept by machine in the state store.
+
+The store has an entry for each session and one for the machine's active one, so that a batch reads and writes the sessions
+that its commands touch, whatever the machine's history.
+"""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from contextlib import AbstractContextManager
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.operators.sessions import CHANGE_SHAPE, MachineSessions
 from emberline.streaming.run import settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EPOCH = datetime(1970, 1, 1)
 
 
 def _moment(value: object) -> datetime | None:
     return None if value is None or pd.isna(value) else pd.Timestamp(value).to_pydatetime()
 
 
+def _micros(at: datetime | None) -> int | None:
+    return None if at is None else (at - EPOCH) // timedelta(microseconds=1)
+
+
+def _at(micros: int | None) -> datetime | None:
+    return None if micros is None else EPOCH + timedelta(microseconds=micros)
+
+
+class StoredSessions:
+    """Sessions of the machine whose turn it is, looked up in the state store by their numbers."""
+
+    def __init__(self, state: object) -> None:
+        self.state = state
+
+    def __contains__(self, key: int | None) -> bool:
+        return key is not None and self.state.containsKey((key,))
+
+    def __getitem__(self, key: int) -> tuple[datetime | None, datetime | None]:
+        return tuple(map(_at, self.state.getValue((key,))))
+
+    def __setitem__(self, key: int, row: tuple[datetime | None, datetime | None]) -> None:
+        self.state.updateValue((key,), tuple(map(_micros, row)))
+
+
 class SessionProcessor(StatefulProcessor):
-    """State of a machine: its sessions as JSON. Commands of a batch are applied by seq."""
+    """Applies the commands of each batch, by seq."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sessions", "value string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        kept = json.loads(self.state.get()[0]) if self.state.exists() else {}
-        read = lambda v: None if v is None else datetime.fromisoformat(v)
-        machine = MachineSessions({int(k): (read(a), read(b)) for k, (a, b) in kept.items()})
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            session = None if pd.isna(r.session) else int(r.session)
-            change = machine.apply(r.command, int(r.seq), _moment(r.ts), session, _moment(r.start), _moment(r.end))
+        self.handle = handle
+        self.sessions = handle.getMapState("sessions", "session bigint", "start bigint, end bigint")
+        self.active = handle.getValueState("active", "session bigint")
+
+    def changes(self, machine: int, commands: list[tuple]) -> pd.DataFrame:
+        """What commands (seq, command, ts, session, start, end), in order, change."""
+        before = self.active.get()[0] if self.active.exists() else None
+        fold, out = MachineSessions(StoredSessions(self.sessions), before), []
+        for seq, command, ts, session, start, end in commands:
+            change = fold.apply(command, seq, ts, session, start, end)
             if change:
-                out.append((change[0], int(r.seq), key[0], *change[1:]))
-        write = lambda v: None if v is None else v.isoformat()
-        self.state.update((json.dumps({k: (write(a), write(b)) for k, (a, b) in machine.sessions.items()}),))
+                out.append((change[0], seq, machine, *change[1:]))
+        if fold.active != before:
+            self.active.update((fold.active,)) if fold.active is not None else self.active.clear()
         frame = pd.DataFrame(out, columns=["session", "seq", "machine", "start", "end", "change"])
-        yield frame.astype({"session": "int64", "seq": "int64", "machine": "int64", "start": "datetime64[us]", "end": "datetime64[us]"})
+        return frame.astype({"session": "int64", "seq": "int64", "machine": "int64", "start": "datetime64[us]", "end": "datetime64[us]"})
+
+    @staticmethod
+    def rows_of(rows: Iterator[pd.DataFrame]) -> list[tuple]:
+        commands = pd.concat(list(rows)).sort_values("seq")
+        return [(int(r.seq), r.command, _moment(r.ts), None if pd.isna(r.session) else int(r.session), _moment(r.start), _moment(r.end), int(r.ms)) for r in commands.itertuples(index=False)]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self.changes(key[0], [r[:-1] for r in self.rows_of(rows)])
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(commands: DataFrame) -> DataFrame:
-    """Change rows of a stream of commands. Start the query under `stateful` settings."""
-    return commands.groupBy("machine").transformWithStateInPandas(SessionProcessor(), CHANGE_SHAPE, "Append", "none")
+class LateSessionProcessor(SessionProcessor):
+    """Holds commands back until the watermark has passed their time, and applies by seq those that it has passed.
+
+    A machine has one timer, for the first command that it holds back.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getMapState("waiting", "seq bigint", "command string, ts bigint, session bigint, start bigint, end bigint, ms bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        commands = self.rows_of(rows)
+        for seq, command, ts, session, start, end, ms in commands:
+            self.waiting.updateValue((seq,), (command, _micros(ts), session, _micros(start), _micros(end), ms))
+        self.handle.registerTimer(min(c[-1] for c in commands))
+        yield self.changes(key[0], [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto, due, rest = timerValues.getCurrentWatermarkInMs(), [], []
+        for (seq,), (command, ts, session, start, end, ms) in self.waiting.iterator():
+            if ms <= upto:
+                due.append((seq, command, _at(ts), session, _at(start), _at(end)))
+            else:
+                rest.append(ms)
+        due.sort()
+        for seq, *_ in due:
+            self.waiting.removeKey((seq,))
+        if rest:
+            self.handle.registerTimer(min(rest))
+        yield self.changes(key[0], due)
+
+
+def fold_stream(commands: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Change rows of a stream of commands. Start the query under `stateful` settings.
+
+    Commands are applied as they come, those of a batch by seq. With a lateness ("2 hours") they may come in any order
+    within it: a command is held back until nothing before its time is waited for; one that is later still is dropped.
+    """
+    timed = commands.withColumn("_at", F.col("ts").cast("timestamp"))
+    timed = timed.withColumn("ms", F.unix_millis("_at"))
+    if lateness is None:
+        return timed.drop("_at").groupBy("machine").transformWithStateInPandas(SessionProcessor(), CHANGE_SHAPE, "Append", "none")
+    return timed.withWatermark("_at", lateness).groupBy("machine").transformWithStateInPandas(LateSessionProcessor(), CHANGE_SHAPE, "Append", "eventTime")
 
 
 def stateful(spark: SparkSession) -> AbstractContextManager:
-    """Settings under which a query with fold_stream starts: its state needs the RocksDB store."""
-    return settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB)
+    """Settings under which a query with fold_stream starts: its state needs the RocksDB store, whose changes alone are
+    written with each batch."""
+    return settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true")

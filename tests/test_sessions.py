@@ -81,3 +81,53 @@ def test_states_at_end_now_and_any_time(spark):
     get = lambda df: {r.session: (r.initial, r.weight, r.loaded, r.dispensed) for r in df.collect()}
     assert get(S.session_states(s, history, machines, now)) == {7: (10.0, 25.0, 20.0, 0.0), 8: (5.0, 40.0, 40.0, 5.0)}
     assert get(S.session_states(s, history, machines, now, F.lit(at(3)).cast("timestamp_ntz"))) == {7: (10.0, 40.0, 20.0, 5.0), 8: (5.0, 40.0, 25.0, 5.0)}
+
+
+def test_late_commands_are_folded_in_their_own_order(spark):
+    c = commands(spark, random_commands(4))
+    folder, rng = scratch_folder(spark), random.Random(2)
+    rows = c.collect()
+    parts = [[r for r in rows if (r.seq + late[r.seq]) // 40 == k] for late in [{r.seq: rng.randrange(20) for r in rows}] for k in range(5)]
+    for part in [*parts, [(-1, 10**6, T0 + timedelta(days=99), "add", None, None, None)]]:
+        spark.createDataFrame(part, COMMAND).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    with stream_sessions.stateful(spark):
+        got = run.drain_appends(stream_sessions.fold_stream(stream, "60 seconds"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, S.fold_commands(c).collect()), key=str)
+
+
+def test_a_batch_writes_the_sessions_that_it_changes(spark):
+    """After 300 sessions of one machine, a batch with one command updates a few entries of the state."""
+    folder = scratch_folder(spark)
+    many = [(1, k, "add", None, k, k + 1) for k in range(300)]
+    for part in (many, [(1, 300, "add", None, 300, None)], [(1, 301, "update", 7, 3, None)]):
+        commands(spark, part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(COMMAND).option("maxFilesPerTrigger", 1).parquet(folder)
+    with stream_sessions.stateful(spark):
+        query = stream_sessions.fold_stream(stream).writeStream.format("noop").option("checkpointLocation", scratch_folder(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    updated = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.numInputRows]
+    assert len(updated) == 3 and updated[0] >= 300 and max(updated[1:]) <= 3
+
+
+def test_a_logbook_is_written_by_calls_and_read_as_ledger_and_sessions(spark):
+    from emberline.streaming.logbook import Logbook
+
+    book = Logbook(spark, scratch_folder(spark))
+    machines = spark.createDataFrame([(1, 100.0)], "machine bigint, initial double")
+    book.load(1, 50.5, at(0))
+    book.dispense(1, 10.0, at(1))
+    book.reset(1, ts=at(2))
+    session = book.start(1, ts=at(0)).first().seq
+    book.start(1, ts=at(1))
+    book.stop(1, end=at(5))
+    book.update(1, session, start=at(-1))
+    assert [(r.seq, r.weight) for r in book.history(machines).orderBy("seq").collect()] == [(0, 150.5), (1, 140.5), (2, 0.0)]
+    assert [tuple(r) for r in book.sessions().collect()] == [(session, 1, at(-1), at(5))]
+    with stream_sessions.stateful(spark):
+        query = book.session_changes().writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", scratch_folder(spark)).start()
+    query.processAllAvailable()
+    book.start(1, ts=at(9))
+    query.processAllAvailable()
+    query.stop()
+    assert [r.change for r in spark.table("changes").orderBy("seq").collect()] == ["started", "completed", "updated", "started"]
