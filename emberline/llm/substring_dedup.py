@@ -1,24 +1,31 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences, and these where commas, semicolons, colons or ends of lines divide them: a passage that is
-quoted from the middle of a sentence on still shares its inner cuts with its source. A part without such a mark that
-is over MAX_WORDS words is cut every MAX_WORDS words from its beginning. In scripts without spaces between words, two
-characters count as a word. From each part on, the run of RUN parts, or of as many more as make up MIN_WORDS words, is
-hashed to 128 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and there
-at its first place, stays; the parts of every other run with that hash are removed, whatever other runs they are in.
+A text is cut into sentences. From each sentence on, the run of RUN sentences, or of as many more as make up MIN_WORDS
+words, is hashed to 128 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and
+there at its first place, stays; the sentences of every other run with that hash are removed, whatever other runs they
+are in.
+
+A passage that is quoted from the middle of one sentence to the middle of another may hold no two whole sentences. So
+runs of words join the same search, unless `passage` is None: a word is an anchor if the hash of it and the next word is the
+least of some `window` such hashes in a row, and a run goes from an anchor to the first one that is MIN_WORDS words on. Where
+anchors lie depends on nothing but the words around them, and no stretch of `window` words is without. With the window
+that `passage` words leave room for, each passage that long holds such a run, wherever it begins in either text; of
+these runs just their words are removed.
 
 Each document sends a run once, so a group's smallest id and size are sums that Spark combines before the shuffle; runs
 of very many documents are joined by broadcast. The text itself is moved once, to meet what is to be removed.
 
-Defined results: a null text stays null, without sentences; texts with under RUN parts or MIN_WORDS words have no runs;
-rows that share an id, or have none, don't remove each other, and rows without an id are never first where another has
-the run; an empty table gives no rows; all other columns are kept, whatever they are called, but for one with the
-result's name.
+Defined results: a null text stays null, without sentences; texts with under RUN sentences or MIN_WORDS words have no runs of
+sentences; in scripts without spaces between words, two characters count as a word; rows that share an id, or have none,
+don't remove each other, and rows without an id are never first where another has the run; very long texts are read whole; an
+empty table gives no rows; all other columns are kept, whatever they are called, but for one with the result's name.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,115 +36,141 @@ from pyspark.sql import functions as F
 
 from emberline.llm.shared import join_splitting_hot, place, plain, restored, stage, table
 
-RUN = 2
-MAX_WORDS, MIN_WORDS = 16, 25
+RUN, MIN_WORDS = 2, 20
+#: Words of a passage that is found wherever it begins.
+PASSAGE = 50
 #: Bytes of text that one Arrow batch of results holds, about.
 BATCH_BYTES = 16 << 20
 
-ENDING = re.compile(r"[.!?…,;:]+[\"')\]»”’]*\s+|[。！？，；：、]+\s*|\n\s*")
+ENDING = re.compile(r"[.!?…]+[\"')\]»”’]*\s+|[。！？]+\s*|\n\s*")
 #: Letters and marks of scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese.
 SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u312f\u31a0-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
-WORDS = re.compile(rf"(?:[{SOLID}]{{1,2}}|[^\s{SOLID}]+)\s*")
+WORDS, SOLIDS = re.compile(rf"[{SOLID}]|[^\s{SOLID}]+"), re.compile(rf"[{SOLID}]")
 
 
-def count_words(text: str) -> int:
-    return len(text.split()) if text.isascii() else len(WORDS.findall(text))
+def words_of(text: str) -> list[str]:
+    """Words, each character of scripts without spaces on its own."""
+    return text.split() if text.isascii() or not SOLIDS.search(text) else WORDS.findall(text)
 
 
 def sentences(text: str) -> list[str]:
-    """Slices of text that make up all of it; each ends with the white space behind it and has 1 to MAX_WORDS words."""
+    """Slices of text that make up all of it; each ends with the white space behind it."""
     cuts = [0, *(m.end() for m in ENDING.finditer(text)), len(text)]
     out: list[str] = []
     for a, b in zip(cuts, cuts[1:]):
         part = text[a:b]
-        n = count_words(part)
-        if n > MAX_WORDS:
-            words = WORDS.findall(part)
-            words[0] = part[: len(part) - sum(map(len, words))] + words[0]
-            out += ["".join(words[k : k + MAX_WORDS]) for k in range(0, n, MAX_WORDS)]
-        elif n:
+        if not part.strip() and out:  # white space only
+            out[-1] += part
+        elif part:
             out.append(part)
-        elif part:  # white space only
-            if out:
-                out[-1] += part
-            else:
-                out.append(part)
     if len(out) > 1 and not out[0].strip():
         out[:2] = [out[0] + out[1]]
     return out
 
 
-def run_keys(parts: list[str], run: int = RUN, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """128-bit hash, start and end of the run that starts at each part, as far as the text has the parts and words for
-    it; the last of them also goes to the end of the text."""
-    each = [xxhash.xxh3_128_digest(" ".join(p.split()).lower().encode("utf-8", "surrogatepass")) for p in parts]
-    sizes = [count_words(p) for p in parts]
-    join, digest = b"".join, xxhash.xxh3_128_digest
-    keys: list[tuple[bytes, int, int]] = []
-    end, words = 0, 0  # words of the parts from k to end
-    for k in range(len(parts) - run + 1):
-        while end < len(parts) and (end < k + run or words < min_words):
-            words += sizes[end]
-            end += 1
-        if words < min_words:
-            break
-        keys.append((digest(join(each[k:end])), k, end))
-        words -= sizes[k]
-    if keys and keys[-1][2] < len(parts):
-        k = keys[-1][1]
-        keys.append((digest(join(each[k:])), k, len(parts)))
-    return keys
-
-
-def document_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int) -> DataFrame:
-    """id, h1 and h2 of each run of each row of docs, once for each row; part tells texts of one id apart."""
+def anchors(words: list[str], window: int) -> np.ndarray:
+    """Places of the words that, with the next one, have the least hash of some `window` places in a row."""
+    hashes = np.fromiter((zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:])), np.uint32, max(0, len(words) - 1))
+    if len(hashes) < window:
+        return np.empty(0, np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + np.arange(len(hashes) - window + 1))
+
+
+class Runs:
+    """Sentences and words of a text, and its runs: key (128 bits), first and last sentence or word, and of which."""
+
+    def __init__(self, text: str, run: int, min_words: int, passage: int | None) -> None:
+        self.text, self.parts = text, sentences(text)
+        self.words: list[str] = []
+        self.ends = [0]  # words up to each sentence
+        for part in self.parts:
+            self.words += words_of(part.lower())
+            self.ends.append(len(self.words))
+        solid = not text.isascii() and SOLIDS.search(text) is not None
+        # words so far, of characters of scripts without spaces half of them
+        self.upto = np.cumsum([0, *(0.5 if solid and SOLIDS.match(w) else 1 for w in self.words)]) if solid else np.arange(len(self.words) + 1)
+        self.of_sentences = self._of_sentences(run, min_words)
+        self.of_words = [] if passage is None else self._of_words(min_words, max(1, (passage - 1 - min_words) // 2))
+
+    def _key(self, a: int, b: int) -> bytes:
+        return xxhash.xxh3_128_digest(" ".join(self.words[a:b]).encode("utf-8", "surrogatepass"))
+
+    def _of_sentences(self, run: int, min_words: int) -> list[tuple[bytes, int, int]]:
+        """From each sentence on, as far as the text goes; the last run also goes to the end of the text."""
+        out, sums = [], self.upto[self.ends].tolist()
+        for k in range(len(self.parts) - run + 1):
+            end = max(k + run, bisect_left(sums, sums[k] + min_words))
+            if end > len(self.parts):
+                break
+            out.append((self._key(self.ends[k], self.ends[end]), k, end))
+        if out and out[-1][2] < len(self.parts):
+            k = out[-1][1]
+            out.append((self._key(self.ends[k], self.ends[-1]), k, len(self.parts)))
+        return out
+
+    def _of_words(self, min_words: int, window: int) -> list[tuple[bytes, int, int]]:
+        found = anchors(self.words, window)
+        ends = np.searchsorted(self.upto[found], self.upto[found] + min_words)
+        return [(self._key(a, b), a, b) for a, b in zip(found[ends < len(found)].tolist(), found[ends[ends < len(found)]].tolist())]
+
+    def spans(self, repeated: set[bytes]) -> list[tuple[int, int]]:
+        """Characters of repeated runs and of runs that stood earlier in the text, in order and without overlap."""
+        places = np.cumsum([0, *map(len, self.parts)]).tolist()
+        starts: list[int] = []
+        marked = []
+        for runs in (self.of_sentences, self.of_words):
+            seen: set[bytes] = set()
+            for key, a, b in runs:
+                if key in repeated or key in seen:
+                    if runs is self.of_words and not starts:
+                        starts = [m.start() for m in (WORDS if self.upto[-1] != len(self.words) else re.compile(r"\S+")).finditer(self.text)]
+                    marked.append((places[a], places[b]) if runs is self.of_sentences else (starts[a], starts[b] if b < len(starts) else len(self.text)))
+                seen.add(key)
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(marked):
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
+
+
+def document_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_words: int, passage: int | None) -> DataFrame:
+    """id, h1 and h2 of each run of each row of docs, once for each row; one without h1 says that a run comes again in the
+    row itself. part tells texts of one id apart."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = [], []
+            rows, keys, again = [], [], []
             for k, text in enumerate(batch.column("text")):
-                own = dict.fromkeys(key for key, _, _ in run_keys(sentences(text.as_py() or ""), run, min_words))
-                keys += own
-                rows += [k] * len(own)
+                own = Runs(text.as_py() or "", run, min_words, passage)
+                distinct = dict.fromkeys(key for runs in (own.of_sentences, own.of_words) for key, _, _ in runs)
+                if any(len({key for key, _, _ in runs}) < len(runs) for runs in (own.of_sentences, own.of_words)):
+                    again.append(k)
+                keys += distinct
+                rows += [k] * len(distinct)
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n).take(pa.array(rows, pa.int64())) for n in ("id", "part")), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))], ["id", "part", "h1", "h2"]
-            )
+            h1, h2 = (pa.concat_arrays([pa.array(np.ascontiguousarray(halves[:, k])), pa.nulls(len(again), pa.int64())]) for k in (0, 1))
+            at = pa.array(rows + again, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("part").take(at), h1, h2], ["id", "part", "h1", "h2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = plain(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
-    return texts.withColumn("part", F.hash("text")).mapInArrow(of, f"id {kind}, part int, h1 long, h2 long")
-
-
-def remove_runs(text: str, repeated: set[bytes], run: int, min_words: int) -> tuple[str, int, list[tuple[int, int]]]:
-    """Text without the sentences of repeated runs and of runs that stood earlier in it; sentences; removed spans."""
-    parts = sentences(text)
-    gone, seen = [False] * len(parts), set()
-    for key, k, end in run_keys(parts, run, min_words):
-        if key in repeated or key in seen:
-            gone[k:end] = [True] * (end - k)
-        seen.add(key)
-    spans: list[tuple[int, int]] = []
-    at = 0
-    for part, out in zip(parts, gone):
-        if out:
-            if spans and spans[-1][1] == at:
-                spans[-1] = (spans[-1][0], at + len(part))
-            else:
-                spans.append((at, at + len(part)))
-        at += len(part)
-    return "".join(p for p, out in zip(parts, gone) if not out), len(parts), spans
+    return texts.withColumn("part", F.xxhash64("text")).mapInArrow(of, f"id {kind}, part long, h1 long, h2 long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup", run: int = RUN, min_words: int = MIN_WORDS, passage: int | None = PASSAGE) -> DataFrame:
     """docs with a struct column: text (what stays), sentences, spans (start and end of what goes), first_ids."""
     kind = docs.schema[id_col].dataType.simpleString()
-    runs = stage(document_runs(docs, id_col, text_col, run, min_words))
+    all_runs = stage(document_runs(docs, id_col, text_col, run, min_words, passage))
+    runs = all_runs.where("h1 is not null")
     first = stage(runs.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     later = join_splitting_hot(runs, first, ["h1", "h2"], "n", runs.count()).where(~F.col("id").eqNullSafe(F.col("first_id")))
-    by_doc = later.groupBy(F.col("id").alias("_r_id"), F.col("part").alias("_r_part")).agg(F.collect_set(F.struct("h1", "h2")).alias("_r_runs"), F.sort_array(F.collect_set("first_id")).alias("_r_first"))
+    again = all_runs.where("h1 is null").withColumn("first_id", F.lit(None).cast(kind))
+    hashes = F.filter(F.collect_set(F.struct("h1", "h2")), lambda r: r["h1"].isNotNull())
+    by_doc = later.select(again.columns).unionByName(again).groupBy(F.col("id").alias("_r_id"), F.col("part").alias("_r_part")).agg(hashes.alias("_r_runs"), F.sort_array(F.collect_set("first_id")).alias("_r_first"))
     own = plain(docs)
-    same = F.col(place(docs, id_col)).eqNullSafe(F.col("_r_id")) & (F.hash(place(docs, text_col)) == F.col("_r_part"))
+    same = F.col(place(docs, id_col)).eqNullSafe(F.col("_r_id")) & (F.xxhash64(place(docs, text_col)) == F.col("_r_part"))
     met = own.join(by_doc, same, "left").drop("_r_id", "_r_part")
     shape = f"text string, sentences long, spans array<struct<start:long,end:long>>, first_ids array<{kind}>"
     names = own.columns
@@ -148,9 +181,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             runs_col, done, start, weight = batch.column(n), [], 0, 0
             firsts = batch.column(n + 1).to_pylist()
             for k, value in enumerate(batch.column(at_text)):
-                text = value.as_py()
-                repeated = {np.array([r["h1"], r["h2"]], "<i8").tobytes() for r in runs_col[k].as_py() or ()}
-                left, count, spans = remove_runs(text, repeated, run, min_words) if text is not None else (None, 0, [])
+                text, found = value.as_py(), runs_col[k].as_py()
+                spans: list[tuple[int, int]] = []
+                left, count = text, 0 if text is None else len(sentences(text))
+                if text is not None and found is not None:
+                    spans = Runs(text, run, min_words, passage).spans({np.array([r["h1"], r["h2"]], "<i8").tobytes() for r in found})
+                    left = "".join(text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)]))
                 done.append({"text": left, "sentences": count, "spans": [{"start": a, "end": b} for a, b in spans], "first_ids": firsts[k] or []})
                 weight += len(text or "")
                 if weight >= BATCH_BYTES or k + 1 == batch.num_rows:
