@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline import schemas
-from emberline.operators import ledger, logs, metrics, rules, sessions
+from emberline.operators import ledger, logs, metrics, properties, rules, sessions
 from emberline.plans.plant import Plant
 from emberline.sources import fixtures as fx
+from emberline.sources import metrics as sources
 from emberline.sources.scratch import scratch_folder, written
-from emberline.streaming import pages, run, tail
+from emberline.streaming import levels, pages, run, tail
 from emberline.streaming import sessions as stream_sessions
 from emberline.streaming.events import EventLog
 from emberline.streaming.feed import ChangeFeed
@@ -320,6 +321,23 @@ def events_all_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "seq", "ts", F.get("labels", F.lit(0)).alias("label"))
 
 
+@registered(f"""WITH e AS ({E_LOG}) SELECT id, seq, ts, label, k, CASE WHEN seq % 3 = 0 THEN 'VARCHAR' WHEN seq % 3 = 1 THEN 'DOUBLE' END AS kind
+  FROM e WHERE label IN ('purchase', 'view') AND k > 50 AND (seq % 3 = 0 OR seq % 3 = 1 AND value < 90 OR seq % 3 = 2)""")
+def events_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on properties of a stored log. One property is a text, a number or missing, by event."""
+    folder, log = scratch_folder(spark), fx.event_log(spark, sf_dir)
+    plain = F.expr("left(properties, length(properties) - 1)")
+    number = F.get_json_object("properties", "$.value")
+    more = F.when(F.col("seq") % 3 == 0, F.lit(', "mixed": "text"}')).when(F.col("seq") % 3 == 1, F.concat(F.lit(', "mixed": '), number, F.lit("}"))).otherwise("}")
+    properties.write_events(properties.with_variant(log.withColumn("properties", F.concat(plain, more))), folder)
+    stored = properties.read_events(spark, folder)
+    number = properties.value_of("mixed", "double")
+    found = logs.every(stored, F.get("labels", F.lit(0)).isin("purchase", "view"), properties.value_of("k", "int") > 50, F.coalesce(number < 90, F.lit(True)))
+    kind = properties.kind_of("mixed")
+    told = F.when(kind == "STRING", "VARCHAR").when(kind.isNotNull() & (kind != "VOID"), "DOUBLE")
+    return found.select("id", "seq", "ts", F.get("labels", F.lit(0)).alias("label"), properties.value_of("k", "int").alias("k"), told.alias("kind"))
+
+
 @registered(f"WITH e AS ({E_LOG}) SELECT id, seq, ts FROM e WHERE id = 'ev-42'")
 def events_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.find(fx.event_log(spark, sf_dir), "ev-42").select("id", "seq", "ts")
@@ -492,3 +510,48 @@ def stream_sessions_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.readStream.schema(commands.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     with stream_sessions.stateful(spark):
         return sessions.latest_sessions(run.drain_appends(stream_sessions.fold_stream(files, LATENESS)))
+
+
+def _in_parts(spark: SparkSession, rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """rows as a stream of files, each the rows of one stretch of `order`."""
+    folder = scratch_folder(spark)
+    dealt = written(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    for k in range(parts):
+        dealt.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@registered(f"""WITH {LEDGER}, p AS (SELECT event_id AS probe, user_id AS machine, ts::TIMESTAMP - INTERVAL 1 DAY AS "at" FROM events WHERE event_type IN ('view', 'signup'))
+  SELECT p.probe, p.machine, p."at", coalesce(arg_max(h.weight, h.seq), 0.0) AS weight FROM p JOIN customer ON c_custkey = machine LEFT JOIN h ON h.machine = p.machine AND h.ts <= p."at" GROUP BY ALL""")
+def stream_weight_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights at a time before each view or signup, over streams of operations and probes; the last operation's time, far
+    ahead, lets all probes be answered."""
+    ops = fx.operations(spark, sf_dir)
+    far = F.lit(datetime(2100, 1, 1)).cast("timestamp_ntz")
+    end = ops.limit(1).select("machine", F.lit(1 << 40).alias("seq"), far.alias("ts"), "op", "amount")
+    probes = fx.read(spark, sf_dir, "events").where("event_type in ('view', 'signup')").select(F.col("event_id").alias("probe"), F.col("user_id").alias("machine"), F.expr("cast(ts as timestamp_ntz) - interval 1 day").alias("at"))
+    last = probes.limit(1).select(F.lit(-1).cast("bigint").alias("probe"), "machine", far.alias("at"))
+    stream = levels.weight_at_stream(_in_parts(spark, ops.unionByName(end), "ts", 4), _in_parts(spark, probes.unionByName(last), "at", 4), fx.machines(spark, sf_dir), "20 days")
+    with stream_sessions.stateful(spark):
+        return run.drain_appends(stream).where("probe >= 0")
+
+
+#: Metrics of a store that keeps one row for each topic and minute.
+OVERWRITTEN = f"WITH m AS ({M}) SELECT topic, date_trunc('minute', ts) AS ts, arg_max(value, seq) AS value, max(seq) AS seq FROM m GROUP BY 1, 2"
+
+
+def _by_minute(metrics_: DataFrame) -> DataFrame:
+    return metrics_.withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+
+
+@registered(OVERWRITTEN)
+def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.keep_last(_by_minute(fx.metrics(spark, sf_dir)))
+
+
+@registered(OVERWRITTEN)
+def stream_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream whose parts overlap in time: rows of one minute come in several batches."""
+    shuffled = _by_minute(fx.metrics(spark, sf_dir)).withColumn("_order", F.col("seq") * 7919 % 1009)
+    stream = _in_parts(spark, shuffled, "_order", 4).drop("_order")
+    return run.drain_updates(levels.keep_last_stream(stream, "40 days"), ["topic", "ts"])

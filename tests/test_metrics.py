@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import metrics as M
-from emberline.sources.metrics import keep_last, metrics_from, read_parquet, write_metrics
+from emberline.sources.metrics import keep_last, metrics_from, read_jdbc, read_parquet, write_metrics
 
 T0 = datetime(2024, 1, 1)
 SHAPE = "topic string, ts timestamp_ntz, value double, seq bigint"
@@ -79,3 +79,28 @@ def test_table_layout_and_overwriting_store(spark, metrics, tmp_path):
     assert metrics_from(spark.read.parquet(str(tmp_path / "t"))).count() == 9
     doubled = metrics.unionByName(metrics.withColumns({"seq": F.col("seq") + 100, "value": F.col("value") + 1}))
     assert keep_last(doubled).count() == 9 and keep_last(doubled).agg(F.min("seq")).first()[0] == 100
+
+
+def test_a_database_is_read_in_ranges(spark, metrics):
+    url, options = "jdbc:derby:memory:metrics;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    timed = metrics.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed.write.format("jdbc").options(url=url, dbtable="metrics", createTableColumnTypes="topic varchar(64)", **options).mode("overwrite").save()
+    key = lambda df: sorted((r.topic, r.ts, r.value) for r in df.collect())
+    whole = read_jdbc(spark, url, "metrics", seq="seq", **options)
+    assert key(whole) == key(metrics) and sorted(r.seq for r in whole.collect()) == sorted(r.seq for r in metrics.collect())
+    split = read_jdbc(spark, url, "metrics", 4, (str(T0), str(T0 + timedelta(seconds=200))), **options)
+    assert split.rdd.getNumPartitions() == 4 and key(split) == key(metrics) and split.select("seq").distinct().count() == 9
+    plan = M.of_topic(whole, "a")._jdf.queryExecution().toString()
+    assert "PushedFilters: [*IsNotNull(topic), *EqualTo(topic,a)]" in plan
+    assert [r.seq for r in M.cursor_page(whole, T0 + timedelta(seconds=60), limit=3).collect()] == [4, 5, 6]
+
+
+def test_results_come_in_order_when_asked_for(spark, metrics):
+    end = T0 + timedelta(seconds=300)
+    rows = M.downsample(metrics.repartition(5), T0, end, 60_000, ordered=True).collect()
+    assert [(r.topic, r.timestamp) for r in rows] == sorted((r.topic, r.timestamp) for r in rows) and len(rows) == 5
+    for ascending in (True, False):
+        times = [r.timestamp for r in M.measurements(metrics.repartition(5), T0, end, ascending=ascending).collect()]
+        assert times == sorted(times, reverse=not ascending) and len(times) == 9
+    tie = spark.createDataFrame([("a", T0, float(k), k) for k in (3, 1, 2)], SHAPE)
+    assert [r.seq for r in M.measurements(tie, T0, end, ascending=False).collect()] == [1, 2, 3]
