@@ -28,6 +28,8 @@ from emberline.llm.shared import place, plain, restored, table
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST = 256, 257, 258
+#: Codes of one LZW table; some writers clear it a few codes late.
+TABLE_END = 1 << 13
 #: Samples of a page that come in one cell of a row; read_blocks gives those of larger pages by strips or tiles.
 MAX_PIXELS = 1 << 28
 #: Bytes of a strip or tile, without a bound.
@@ -143,11 +145,10 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def lzw_decode(data: bytes, most: int = UNBOUND) -> bytes:
-    """The bytes that data stands for, no more than `most` and what the last code adds."""
-    size = 0
+    """The bytes that data stands for, no more than `most` and what one table of codes adds."""
     singles = [bytes([k]) for k in range(256)] + [b"", b""]
-    known, out = singles.copy(), []
-    push = out.append
+    known, free, out, counted, size = singles.copy(), FIRST, [], 0, 0
+    push, learn = out.append, known.append
     held, have, width, last, grow = 0, 0, 9, b"", 511
     for byte in data:
         held = held << 8 | byte
@@ -158,31 +159,34 @@ def lzw_decode(data: bytes, most: int = UNBOUND) -> bytes:
         code = held >> have
         held &= (1 << have) - 1
         if code == CLEAR:
-            known, width, last, grow = singles.copy(), 9, b"", 511
+            size += sum(map(len, out[counted:]))
+            if size >= most:
+                break
+            known, free, width, last, grow, counted = singles.copy(), FIRST, 9, b"", 511, len(out)
+            learn = known.append
             continue
         if code == END:
             break
         if not last:
             last = known[code]
             push(last)
-            size += len(last)
             continue
-        if code < len(known):
+        if code < free:
             now = known[code]
-            known.append(last + now[:1])
-        elif code == len(known):
+            learn(last + now[:1])
+        elif code == free:
             now = last + last[:1]
-            known.append(now)
+            learn(now)
         else:
             raise ValueError("LZW code ahead of its table")
         push(now)
         last = now
-        size += len(now)
-        if size >= most:
-            break
-        if len(known) == grow and width < 12:
+        free += 1
+        if free == grow and width < 12:
             width += 1
             grow = grow * 2 + 1
+        elif free > TABLE_END:
+            raise ValueError("LZW codes without a clear")
     return b"".join(out)
 
 

@@ -118,14 +118,15 @@ def test_bombs_are_read_no_further_than_the_page_goes():
 
     entries, _ = M.write_page(np.zeros((1, 1, 1), np.uint8), M.DEFLATE)
     zeros = b"\0" * 50_000_000
-    for codec, part in ((M.DEFLATE, zlib.compress(zeros, 9)), (M.PACKBITS, b"\x81\0" * 400_000), (M.LZW, M.lzw_encode(zeros[:3_000_000]))):
+    for codec, part in ((M.DEFLATE, zlib.compress(zeros, 9)), (M.PACKBITS, b"\x81\0" * 400_000), (M.LZW, M.lzw_encode(zeros))):
         own = [(n, kind, {"strip_counts": [len(part)], "compression": [codec]}.get(n, v)) for n, kind, v in entries]
         file = M.write_tiff([(own, [part])])
         tracemalloc.start()
         (page,) = M.read_tiff(file)
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
-        assert page["samples"] == b"\0" and most < 3 * len(file) + 500_000
+        # of LZW a table's worth, of the others what the page asks for
+        assert page["samples"] == b"\0" and most < 3 * len(file) + (20_000_000 if codec == M.LZW else 500_000)
 
 
 def test_pages_behind_a_bad_entry_are_read():
