@@ -42,15 +42,12 @@ PASSAGE = 50
 #: Bytes of text that one Arrow batch of results holds, about.
 BATCH_BYTES = 16 << 20
 
-ENDING = re.compile(r"[.!?…]+[\"')\]»”’]*\s+|[。！？]+\s*|\n\s*")
+#: Where a sentence ends, with the white space behind it.
+ENDING = re.compile(r"[.!?…。！？\n](?:(?<=[.!?…])[.!?…]*[\"')\]»”’]*\s+|(?<=[。！？])[。！？]*\s*|(?<=\n)\s*)")
 #: Letters and marks of scripts without spaces between words: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese.
 SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u312f\u31a0-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
-WORDS, SOLIDS = re.compile(rf"[{SOLID}]|[^\s{SOLID}]+"), re.compile(rf"[{SOLID}]")
-
-
-def words_of(text: str) -> list[str]:
-    """Words, each character of scripts without spaces on its own."""
-    return text.split() if text.isascii() or not SOLIDS.search(text) else WORDS.findall(text)
+#: Words, which ASCII white space divides; each character of scripts without spaces is one.
+WORDS, SOLID_WORDS, SOLIDS = re.compile(r"[^\t-\r ]+"), re.compile(rf"[{SOLID}]|[^\t-\r {SOLID}]+"), re.compile(rf"[{SOLID}]")
 
 
 def sentences(text: str) -> list[str]:
@@ -68,9 +65,10 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def anchors(words: list[str], window: int) -> np.ndarray:
+def anchors(words: list[bytes], window: int) -> np.ndarray:
     """Places of the words that, with the next one, have the least hash of some `window` places in a row."""
-    hashes = np.fromiter((zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:])), np.uint32, max(0, len(words) - 1))
+    own = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    hashes = (own[:-1] ^ own[:-1] >> 15) * np.uint32(0x9E3779B1) ^ own[1:]
     if len(hashes) < window:
         return np.empty(0, np.int64)
     return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1) + np.arange(len(hashes) - window + 1))
@@ -81,19 +79,28 @@ class Runs:
 
     def __init__(self, text: str, run: int, min_words: int, passage: int | None) -> None:
         self.text, self.parts = text, sentences(text)
-        self.words: list[str] = []
+        self.solid = not text.isascii() and SOLIDS.search(text) is not None
+        self.words: list[bytes] = []
         self.ends = [0]  # words up to each sentence
         for part in self.parts:
-            self.words += words_of(part.lower())
+            low = part.lower()
+            self.words += [w.encode("utf-8", "surrogatepass") for w in SOLID_WORDS.findall(low)] if self.solid else low.encode("utf-8", "surrogatepass").split()
             self.ends.append(len(self.words))
-        solid = not text.isascii() and SOLIDS.search(text) is not None
-        # words so far, of characters of scripts without spaces half of them
-        self.upto = np.cumsum([0, *(0.5 if solid and SOLIDS.match(w) else 1 for w in self.words)]) if solid else np.arange(len(self.words) + 1)
+        # words so far; of characters of scripts without spaces, halves
+        self.upto = np.cumsum([0, *(0.5 if SOLIDS.match(w.decode("utf-8", "surrogatepass")) else 1 for w in self.words)]) if self.solid else np.arange(len(self.words) + 1)
         self.of_sentences = self._of_sentences(run, min_words)
         self.of_words = [] if passage is None else self._of_words(min_words, max(1, (passage - 1 - min_words) // 2))
 
     def _key(self, a: int, b: int) -> bytes:
-        return xxhash.xxh3_128_digest(" ".join(self.words[a:b]).encode("utf-8", "surrogatepass"))
+        return xxhash.xxh3_128_digest(b" ".join(self.words[a:b]))
+
+    def _starts(self) -> list[int]:
+        """Where each word begins in the text."""
+        starts, at = [], 0
+        for part in self.parts:
+            starts += [at + m.start() for m in (SOLID_WORDS if self.solid else WORDS).finditer(part)]
+            at += len(part)
+        return starts
 
     def _of_sentences(self, run: int, min_words: int) -> list[tuple[bytes, int, int]]:
         """From each sentence on, as far as the text goes; the last run also goes to the end of the text."""
@@ -123,7 +130,7 @@ class Runs:
             for key, a, b in runs:
                 if key in repeated or key in seen:
                     if runs is self.of_words and not starts:
-                        starts = [m.start() for m in (WORDS if self.upto[-1] != len(self.words) else re.compile(r"\S+")).finditer(self.text)]
+                        starts = self._starts()
                     marked.append((places[a], places[b]) if runs is self.of_sentences else (starts[a], starts[b] if b < len(starts) else len(self.text)))
                 seen.add(key)
         out: list[tuple[int, int]] = []
