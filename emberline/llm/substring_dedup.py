@@ -1,7 +1,7 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences. From each sentence on, the run of RUN sentences, or of as many more as make up MIN_WORDS
-words, is hashed to 128 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and
+words, is hashed to 96 bits. All documents' runs are joined by hash: the run in the document with the smallest id, and
 there at its first place, stays; the sentences of every other run with that hash are removed, whatever other runs they
 are in.
 
@@ -39,6 +39,8 @@ from emberline.llm.shared import join_splitting_hot, place, plain, restored, sta
 RUN, MIN_WORDS = 2, 20
 #: Words of a passage that is found wherever it begins.
 PASSAGE = 50
+#: A run's key as two numbers.
+KEY = np.dtype([("h1", "<i8"), ("h2", "<i4")])
 #: Bytes of text that one Arrow batch of results holds, about.
 BATCH_BYTES = 16 << 20
 
@@ -75,7 +77,7 @@ def anchors(words: list[bytes], window: int) -> np.ndarray:
 
 
 class Runs:
-    """Sentences and words of a text, and its runs: key (128 bits), first and last sentence or word, and of which."""
+    """Sentences and words of a text, and its runs: key (96 bits), first and last sentence or word, and of which."""
 
     def __init__(self, text: str, run: int, min_words: int, passage: int | None) -> None:
         self.text, self.parts = text, sentences(text)
@@ -92,7 +94,7 @@ class Runs:
         self.of_words = [] if passage is None else self._of_words(min_words, max(1, (passage - 1 - min_words) // 2))
 
     def _key(self, a: int, b: int) -> bytes:
-        return xxhash.xxh3_128_digest(b" ".join(self.words[a:b]))
+        return xxhash.xxh3_128_digest(b" ".join(self.words[a:b]))[:12]
 
     def _starts(self) -> list[int]:
         """Where each word begins in the text."""
@@ -156,14 +158,14 @@ def document_runs(docs: DataFrame, id_col: str, text_col: str, run: int, min_wor
                     again.append(k)
                 keys += distinct
                 rows += [k] * len(distinct)
-            halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            h1, h2 = (pa.concat_arrays([pa.array(np.ascontiguousarray(halves[:, k])), pa.nulls(len(again), pa.int64())]) for k in (0, 1))
+            halves = np.frombuffer(b"".join(keys), KEY)
+            h1, h2 = (pa.concat_arrays([pa.array(np.ascontiguousarray(halves[n])), pa.nulls(len(again), kind)]) for n, kind in (("h1", pa.int64()), ("h2", pa.int32())))
             at = pa.array(rows + again, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("part").take(at), h1, h2], ["id", "part", "h1", "h2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = plain(docs).select(F.col(place(docs, id_col)).alias("id"), F.col(place(docs, text_col)).alias("text"))
-    return texts.withColumn("part", F.xxhash64("text")).mapInArrow(of, f"id {kind}, part long, h1 long, h2 long")
+    return texts.withColumn("part", F.xxhash64("text")).mapInArrow(of, f"id {kind}, part long, h1 long, h2 int")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup", run: int = RUN, min_words: int = MIN_WORDS, passage: int | None = PASSAGE) -> DataFrame:
@@ -192,7 +194,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 spans: list[tuple[int, int]] = []
                 left, count = text, 0 if text is None else len(sentences(text))
                 if text is not None and found is not None:
-                    spans = Runs(text, run, min_words, passage).spans({np.array([r["h1"], r["h2"]], "<i8").tobytes() for r in found})
+                    spans = Runs(text, run, min_words, passage).spans({np.array((r["h1"], r["h2"]), KEY).tobytes() for r in found})
                     left = "".join(text[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(text)]))
                 done.append({"text": left, "sentences": count, "spans": [{"start": a, "end": b} for a, b in spans], "first_ids": firsts[k] or []})
                 weight += len(text or "")
