@@ -18,6 +18,7 @@ from emberline.streaming import levels, pages, run, tail
 from emberline.streaming import sessions as stream_sessions
 from emberline.streaming.events import EventLog
 from emberline.streaming.feed import ChangeFeed
+from emberline.streaming.ledger_view import LedgerView
 from emberline.streaming.monitor import LatestValues
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +135,16 @@ def weight_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(spark, sf_dir)
 
 
+@registered(f"WITH {LEDGER} SELECT * FROM h")
+def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history, kept up by three parts of the operations."""
+    view, ops, machines = LedgerView(spark, scratch_folder(spark)), fx.operations(spark, sf_dir), fx.machines(spark, sf_dir)
+    upto = ops.agg(F.max("seq")).first()[0] or 0
+    for n, (a, b) in enumerate(((0, 0.5), (0.5, 0.99), (0.99, 1))):
+        view.extend(ops.where((F.col("seq") > a * upto if a else F.lit(True)) & (F.col("seq") <= b * upto)), machines, f"part:{n}", fold=not n)
+    return view.history()
+
+
 @registered(f"""WITH {LEDGER}, t(n, "at") AS (VALUES (0, TIMESTAMP '2024-01-12 06:00:00'), (1, TIMESTAMP '2023-12-01')), p AS (SELECT c_custkey AS machine, n, "at" FROM customer, t)
   SELECT p.machine, p.n, p."at", coalesce(arg_max(h.weight, h.seq), 0.0) AS weight FROM p LEFT JOIN h ON h.machine = p.machine AND h.ts <= p."at" GROUP BY ALL""")
 def weight_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ _made: set[str] = set()
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else a folder of the warehouse. On a cluster a folder of one machine is refused."""
+    """spark.checkpoint.dir, else a folder of the warehouse, which on a cluster must not be one machine's. A file: folder that
+    spark.checkpoint.dir names is taken as it is, as it may be mounted on all machines."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
