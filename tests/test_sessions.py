@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,91 @@ def test_a_logbook_is_written_by_calls_and_read_as_ledger_and_sessions(spark):
     query.processAllAvailable()
     query.stop()
     assert [r.change for r in spark.table("changes").orderBy("seq").collect()] == ["started", "completed", "updated", "started"]
+
+
+class CountedState:
+    """Handle and state of a key in memory; counts accesses."""
+
+    def __init__(self):
+        self.calls, self.map, self.lists, self.values, self.timers = 0, {}, {}, {}, set()
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name.endswith("State"):
+            return lambda state, *_: CountedVariable(self, state)
+        raise AttributeError(name)
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.timers.discard(ms)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+class CountedVariable:
+    def __init__(self, owner, name):
+        self.owner, self.rows = owner, {}
+
+    def exists(self):
+        self.owner.calls += 1
+        return bool(self.rows)
+
+    def getValue(self, key):  # noqa: N802
+        self.owner.calls += 1
+        return self.rows.get(key)
+
+    containsKey = lambda self, key: self.getValue(key) is not None  # noqa: E731, N815
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.owner.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.owner.calls += 1
+        self.rows.pop(key, None)
+
+    def appendValue(self, value):  # noqa: N802
+        self.updateValue(len(self.rows), value)
+
+    def update(self, value):
+        self.updateValue(0, value)
+
+    def get(self):
+        self.owner.calls += 1
+        return iter(list(self.rows.values())) if 0 not in self.rows or isinstance(self.rows[0][0], bytes) else self.rows[0]
+
+    def clear(self):
+        self.owner.calls += 1
+        self.rows.clear()
+
+
+def command_frame(rows):
+    """rows: (machine, seq, command, second)."""
+    none = -(1 << 63)
+    return pd.DataFrame([(m, k, c, s * 10**6, none, none, none, s * 1000) for m, k, c, s in rows], columns=["machine", "seq", "command", "ts", "session", "start", "end", "ms"])
+
+
+def test_a_session_is_written_once_a_batch_and_machines_share_accesses():
+    state, processor = CountedState(), stream_sessions.SessionProcessor()
+    processor.init(state)
+    first = [r for m in range(200) for r in ((m, 5 * m, "add", 1), (m, 5 * m + 1, "stop", 2), (m, 5 * m + 2, "add", 3))]
+    made = pd.concat(list(processor.handleInputRows((0,), iter([command_frame(first)]), None)))
+    assert len(made) == 600 and state.calls <= 200 + 10
+    state.calls = 0
+    made = pd.concat(list(processor.handleInputRows((0,), iter([command_frame([(m, 5 * m + 3, "stop", 9) for m in range(200)])]), None)))
+    assert made["session"].tolist() == [5 * m + 2 for m in range(200)] and state.calls <= 200 + 10
+
+
+def test_held_back_commands_are_read_and_written_at_once():
+    state, processor = CountedState(), stream_sessions.LateSessionProcessor()
+    processor.init(state)
+    rows = [r for m in range(200) for r in ((m, 5 * m + 1, "stop", 8), (m, 5 * m, "add", 1), (m, 5 * m + 2, "add", 70))]
+    for part in (rows[::2], rows[1::2]):
+        assert list(processor.handleInputRows((0,), iter([command_frame(part)]), None)) == []
+    assert state.timers == {1000}
+    state.watermark = 9000
+    made = pd.concat(list(processor.handleExpiredTimer((0,), state, None)))
+    assert sorted(made["change"]) == ["completed"] * 200 + ["started"] * 200 and 70_000 in state.timers
+    assert state.calls <= 200 + 40
