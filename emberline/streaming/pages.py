@@ -1,14 +1,16 @@
-"""Pages of a metrics table as a streaming source: each batch is the next rows in order of (ts, seq), at most a page.
+"""Pages of a metrics table as a streaming source: each batch is the next rows in order of (ts, seq), at most a page, or
+the next few pages at once.
 
 The offset of a stream is its cursor, the (ts, seq) of the last row of a page, so it stands in the query's checkpoint: a
 query that was stopped or killed goes on with the row after its last page, and a batch that runs again reads the rows
 between the same two cursors. As with any cursor, rows that are stored later than others but lie before them in order are
-passed by. A page is found by row group statistics: only row groups that may hold its rows are read.
+passed by. A page is found by row group statistics: only row groups that may hold its rows are read, and row groups that
+lie whole within a batch and apart from others are counted unread. A table whose row groups all overlap in time would be
+read anew for each batch; `in_order` makes a copy of it where they don't.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import uuid
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -28,10 +31,14 @@ from emberline.sources.scratch import scratch_folder
 
 #: Rows of a page.
 PAGE = 100
+#: Pages that a batch takes at once where a whole table is read through: a batch of one small page is all overhead.
+BATCH_PAGES = 500
 EPOCH = datetime(1970, 1, 1)
 LAST = (1 << 63) - 1
-#: Row groups that one task reads of a batch.
-GROUPS_PER_TASK = 64
+#: Row groups, and rows if it is more than one group, that one task reads of a batch.
+GROUPS_PER_TASK, ROWS_PER_TASK = 64, 100_000
+#: Rows of a row group of a copy in order.
+ORDERED_ROWS = 50_000
 
 Cursor = tuple[int, int]
 
@@ -47,10 +54,11 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass(frozen=True)
 class Group:
-    """A row group: its file, number, and the least and greatest ts, in microseconds."""
+    """A row group: its file, number, rows, and the least and greatest ts, in microseconds."""
 
     file: str
     number: int
+    rows: int
     first: int
     last: int
 
@@ -77,7 +85,7 @@ class PagedTable:
         found = []
         for fragment in ds.dataset(self.path, filesystem=self.files, format="parquet").get_fragments():
             if fragment.path not in self._known:
-                self._known[fragment.path] = [Group(fragment.path, g.id, *self._span(g.statistics)) for g in fragment.row_groups]
+                self._known[fragment.path] = [Group(fragment.path, g.id, g.num_rows, *self._span(g.statistics)) for g in fragment.row_groups]
             found += self._known[fragment.path]
         return found
 
@@ -99,24 +107,44 @@ class PagedTable:
         return made.filter(pc.and_(behind, within))
 
     def page_end(self, after: Cursor, limit: int) -> Cursor:
-        """The cursor of the last row of the page behind `after`; `after` itself if there is none.
-
-        Row groups are read by their first time, until none that is left can hold a row of the page. Of each only the
-        `limit` least cursors are kept.
-        """
-        least: list[Cursor] = []  # the page's cursors so far, in order
-        for group in sorted((g for g in self.groups() if g.last >= after[0]), key=lambda g: g.first):
-            if len(least) >= limit and group.first > least[limit - 1][0]:
+        """The cursor of the last of the next `limit` rows behind `after`; `after` itself if there is none."""
+        groups = sorted((g for g in self.groups() if g.last >= after[0]), key=lambda g: g.first)
+        end, counted, k = after, [], 0
+        while k < len(groups) and limit > 0:
+            near, last = [groups[k]], groups[k].last  # row groups that overlap in time
+            while k + len(near) < len(groups) and groups[k + len(near)].first <= last:
+                near.append(groups[k + len(near)])
+                last = max(last, near[-1].last)
+            k += len(near)
+            if near[0].first > after[0] and sum(g.rows for g in near) <= limit:
+                limit, counted = limit - sum(g.rows for g in near), near
+                continue
+            found = self._first(near, after, limit)
+            if len(found):
+                limit, counted, end = limit - len(found), [], _cursor(found, len(found) - 1)
+        if counted:
+            last = max(g.last for g in counted)
+            found = [_cursor(f, len(f) - 1) for f in (self._first([g], after, g.rows) for g in counted if g.last == last) if len(f)]
+            end = max([end, *found])
+        return end
+
+    def _first(self, groups: list[Group], after: Cursor, limit: int) -> pa.Table:
+        """ts and seq, in order, of the first `limit` rows behind `after`, and of those that share the last one's cursor, as
+        nothing tells them apart. Row groups come by their first time, and are read until none that is left can hold one."""
+        least = pa.table([pa.array([], pa.int64())] * 2, ["ts", "seq"])
+        for group in groups:
+            upto = _cursor(least, limit - 1) if len(least) >= limit else (LAST, LAST)
+            if group.first > upto[0]:
                 break
-            upto = least[limit - 1] if len(least) >= limit else (LAST, LAST)
-            found = self.rows(group, after, upto)
-            order = pc.sort_indices(found, [("ts", "ascending"), ("seq", "ascending")])[:limit]
-            found = found.take(order)
-            least = list(heapq.merge(least, zip(found.column("ts").to_pylist(), found.column("seq").to_pylist())))
+            least = pa.concat_tables([least, self.rows(group, after, upto).select(["ts", "seq"])]).sort_by([("ts", "ascending"), ("seq", "ascending")])
             if len(least) > limit:
-                # rows that share the last cursor belong to one page, as nothing tells them apart
-                least = [x for x in least if x <= least[limit - 1]]
-        return least[-1] if least else after
+                ts, seq = _cursor(least, limit - 1)
+                least = least.filter(pc.or_(pc.less(least["ts"], ts), pc.and_(pc.equal(least["ts"], ts), pc.less_equal(least["seq"], seq))))
+        return least
+
+
+def _cursor(rows: pa.Table, k: int) -> Cursor:
+    return rows["ts"][k].as_py(), rows["seq"][k].as_py()
 
 
 @dataclass
@@ -138,7 +166,7 @@ class PageReader(DataSourceStreamReader):
 
     def __init__(self, options: dict[str, str]) -> None:
         names = {n: options[f"{n}_column"] for n in ("topic", "ts", "value", "seq") if options.get(f"{n}_column")}
-        self.path, self.columns, self.limit, self.since = options["path"], Columns(**names), int(options.get("limit", PAGE)), int(options.get("since_micros", -LAST))
+        self.path, self.columns, self.limit, self.since = options["path"], Columns(**names), int(options.get("limit", PAGE)) * int(options.get("pages", 1)), int(options.get("since_micros", -LAST))
         self.cursor_file, self._table, self._cursor = options["cursor"], None, None
 
     @property
@@ -160,7 +188,12 @@ class PageReader(DataSourceStreamReader):
         if upto <= after:
             return []
         groups = sorted((g for g in self.table.groups() if g.last >= after[0] and g.first <= upto[0]), key=lambda g: (g.file, g.number))
-        return [PageTask(groups[k : k + GROUPS_PER_TASK], after, upto) for k in range(0, len(groups), GROUPS_PER_TASK)]
+        tasks: list[PageTask] = []
+        for group in groups:
+            if not tasks or len(tasks[-1].groups) == GROUPS_PER_TASK or sum(g.rows for g in tasks[-1].groups) + group.rows > ROWS_PER_TASK:
+                tasks.append(PageTask([], after, upto))
+            tasks[-1].groups.append(group)
+        return tasks
 
     def read(self, partition: PageTask) -> Iterator[pa.RecordBatch]:
         table = PagedTable(self.path, self.columns)
@@ -192,7 +225,7 @@ class PageReader(DataSourceStreamReader):
 
 
 class MetricsPages(DataSource):
-    """Format "metrics_pages". Options: path, cursor (a file beside the checkpoint), limit, since_micros, and the stored
+    """Format "metrics_pages". Options: path, cursor (a file beside the checkpoint), limit, pages, since_micros, and the stored
     names of columns (topic_column, ts_column, value_column, seq_column)."""
 
     @classmethod
@@ -206,10 +239,10 @@ class MetricsPages(DataSource):
         return PageReader(dict(self.options))
 
 
-def page_stream(spark: SparkSession, path: str, progress: str, since: datetime | None = None, limit: int = PAGE, **columns: str) -> DataFrame:
-    """Metrics rows behind `since` as a stream of pages. progress: the folder that holds the query's checkpoint too."""
+def page_stream(spark: SparkSession, path: str, progress: str, since: datetime | None = None, limit: int = PAGE, batch_pages: int = 1, **columns: str) -> DataFrame:
+    """Metrics rows behind `since` as a stream of pages, batch_pages a batch. progress: the folder that holds the query's checkpoint too."""
     spark.dataSource.register(MetricsPages)
-    reader = spark.readStream.format("metrics_pages").option("path", path).option("cursor", f"{progress.rstrip('/')}/cursor.json").option("limit", limit)
+    reader = spark.readStream.format("metrics_pages").option("path", path).option("cursor", f"{progress.rstrip('/')}/cursor.json").option("limit", limit).option("pages", batch_pages)
     if since is not None:
         reader = reader.option("since_micros", micros(since))
     for name, stored in columns.items():
@@ -226,8 +259,17 @@ def drain_pages(stream: DataFrame, progress: str, out: str) -> None:
         query.stop()
 
 
-def all_pages(spark: SparkSession, path: str, since: datetime | None = None, limit: int = PAGE, **columns: str) -> DataFrame:
-    """All rows behind `since`, page by page."""
+def in_order(metrics: DataFrame) -> str:
+    """The folder of a copy of metrics in order of (ts, seq), in row groups that meet in time at most at their ends."""
+    folder = scratch_folder(metrics.sparkSession)
+    ranged = metrics.repartitionByRange("ts", "seq").sortWithinPartitions("ts", "seq")
+    ranged.write.option("maxRecordsPerFile", ORDERED_ROWS).parquet(folder)
+    return folder
+
+
+def all_pages(spark: SparkSession, path: str, since: datetime | None = None, limit: int = PAGE, batch_pages: int = BATCH_PAGES, **columns: str) -> DataFrame:
+    """All rows behind `since`, page by page, of a copy in order: a page reads its own rows, whatever the table's size."""
+    stored = spark.read.parquet(path).select(*[F.col(columns.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in METRICS])
     folder = scratch_folder(spark)
-    drain_pages(page_stream(spark, path, f"{folder}/progress", since, limit, **columns), f"{folder}/progress", f"{folder}/out")
+    drain_pages(page_stream(spark, in_order(stored), f"{folder}/progress", since, limit, batch_pages), f"{folder}/progress", f"{folder}/out")
     return spark.read.schema(METRICS).parquet(f"{folder}/out")

@@ -102,3 +102,29 @@ def test_only_row_groups_of_a_page_are_read(stored, monkeypatch):
     monkeypatch.setattr(pages.PagedTable, "rows", lambda self, g, a, b: read.append(g) or rows(self, g, a, b))
     assert table.page_end((pages.micros(T0 + timedelta(seconds=50)), pages.LAST), 20) == (pages.micros(T0 + timedelta(seconds=52)), 529)
     assert len(read) <= 8
+
+
+def test_row_groups_whole_within_a_batch_are_counted_unread(spark, monkeypatch):
+    """1,000 rows in no order of time; of the copy in order a batch of many pages reads the row groups at its ends."""
+    monkeypatch.setattr(pages, "ORDERED_ROWS", 50)
+    path = pages.in_order(metrics(spark, [(k, (k * 7919) % 1000 // 2) for k in range(1000)]))
+    table = pages.PagedTable(path, pages.Columns())
+    read = []
+    rows = pages.PagedTable.rows
+    monkeypatch.setattr(pages.PagedTable, "rows", lambda self, g, a, b: read.append(g) or rows(self, g, a, b))
+    in_order = sorted(((k * 7919) % 1000 // 2, k) for k in range(1000))
+    after = (-pages.LAST, pages.LAST)
+    for n in (370, 740, 1000):
+        read.clear()
+        after = table.page_end(after, 370)
+        assert after == (pages.micros(T0 + timedelta(seconds=in_order[n - 1][0])), in_order[n - 1][1])
+        assert len(read) <= 6
+    assert table.page_end(after, 370) == after
+
+
+def test_a_batch_takes_several_pages(spark, tmp_path, stored):
+    progress, out = str(tmp_path / "progress"), str(tmp_path / "out")
+    pages.drain_pages(pages.page_stream(spark, stored, progress, limit=40, batch_pages=7), progress, out)
+    assert [len(b) for b in written_batches(out) if b] == [280, 280, 280, 160]
+    got = pages.all_pages(spark, stored, limit=40)
+    assert sorted(r.seq for r in got.collect()) == list(range(1000))
