@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.operators.ledger import EXACT
+from emberline.streaming.sessions import FirstTimer, PackedRows, bucket_of
 
 #: Millionths, in which weights are whole numbers in the state, as they are exact in the batch's decimals.
 UNIT = 1_000_000
@@ -17,7 +20,7 @@ OUT = "probe bigint, machine bigint, at timestamp_ntz, weight double"
 
 
 class LevelProcessor(StatefulProcessor):
-    """A machine's level, its entries that a probe may still ask for, and probes that wait for their time.
+    """Levels of a bucket's machines, their entries that a probe may still ask for, and probes that wait for their time.
 
     Operations are applied by seq as they come. A probe waits until the watermark has passed its time. Then entries up to
     the watermark have no more use but for the one inserted last among them, which stands for all.
@@ -25,50 +28,72 @@ class LevelProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.level = handle.getValueState("level", "units bigint")
-        self.past = handle.getValueState("past", "seq bigint, units bigint")
-        self.recent = handle.getMapState("recent", "seq bigint", "us bigint, units bigint")
-        self.waiting = handle.getMapState("waiting", "probe bigint", "us bigint, initial bigint")
+        self.levels = PackedRows(handle, "levels")  # machine, units
+        self.past = PackedRows(handle, "past")  # machine, seq, units
+        self.recent = PackedRows(handle, "recent")  # machine, seq, us, units
+        self.waiting = PackedRows(handle, "waiting")  # machine, probe, us, initial
+        self.timer = FirstTimer(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         came = pd.concat(list(rows))
-        entered, asked = came[came["probe"].isna()].sort_values("seq"), came[came["probe"].notna()]
+        entered, asked = came[~came["asks"]].sort_values("seq", kind="stable"), came[came["asks"]]
         if len(entered):
-            level = self.level.get()[0] if self.level.exists() else int(entered["initial"].iloc[0])
-            for r in entered.itertuples(index=False):
-                level = int(r.units) if r.op == "reset" else level + (-int(r.units) if r.op == "dispense" else int(r.units))
-                self.recent.updateValue((int(r.seq),), (int(r.us), level))
-            self.level.update((level,))
-        for r in asked.itertuples(index=False):
-            self.waiting.updateValue((int(r.probe),), (int(r.us), int(r.initial)))
-        self.handle.registerTimer(int(came["us"].min()) // 1000 + 1)
-        yield self._answered(key[0], [])
+            held, after = self.levels.get(), []
+            levels = {} if held is None else dict(zip(held["machine"].tolist(), held["units"].tolist()))
+            for machine, op, units, initial in zip(*[entered[c].tolist() for c in ("machine", "op", "units", "initial")]):
+                level = levels.get(machine, initial)
+                levels[machine] = units if op == "reset" else level + (-units if op == "dispense" else units)
+                after.append(levels[machine])
+            self.recent.add(entered[["machine", "seq", "us"]].assign(units=np.array(after, "int64")))
+            self.levels.replace(pd.DataFrame({"machine": list(levels), "units": list(levels.values())}, dtype="int64"))
+        self.waiting.add(asked[["machine", "probe", "us", "initial"]])
+        self.timer.at_latest(int(came["us"].min()) // 1000 + 1)
+        yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        recent = sorted((k[0], us, units) for k, (us, units) in self.recent.iterator())
-        waiting = [(k[0], us, initial) for k, (us, initial) in self.waiting.iterator()]
-        past = self.past.get() if self.past.exists() else None
-        out = []
-        for probe, us, initial in waiting:
-            if us < upto:
-                found = max((seq, units) for seq, units in [past or (-1, initial), *((seq, units) for seq, at, units in recent if at <= us)])
-                out.append((probe, us, found[1]))
-                self.waiting.removeKey((probe,))
-        done = [(seq, units) for seq, us, units in recent if us < upto]
-        if done:
-            self.past.update(max([*done, *([tuple(past)] if past else [])]))
-            for seq, _ in done:
-                self.recent.removeKey((seq,))
-        later = [us for _, us, _ in recent if us >= upto] + [us for _, us, _ in waiting if us >= upto]
+        self.timer.expired()
+        recent, waiting, past = self._held(self.recent, ["machine", "seq"]), self._held(self.waiting, ["machine", "probe"]), self.past.get()
+        later = []
+        if waiting is not None:
+            due = waiting["us"] < upto
+            later += waiting["us"][~due].tolist()
+            if due.any():
+                self.waiting.replace(waiting[~due])
+                yield self._answers(waiting[due], recent, past)
+        if recent is not None:
+            done = recent["us"] < upto
+            later += recent["us"][~done].tolist()
+            if done.any():
+                known = [recent.loc[done, ["machine", "seq", "units"]], *([] if past is None else [past])]
+                self.past.replace(pd.concat(known).sort_values("seq").drop_duplicates("machine", keep="last"))
+                self.recent.replace(recent[~done])
         if later:
-            self.handle.registerTimer(min(later) // 1000 + 1)
-        yield self._answered(key[0], out)
+            self.timer.at_latest(min(later) // 1000 + 1)
 
     @staticmethod
-    def _answered(machine: int, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["probe", "us", "units"])
-        return pd.DataFrame({"probe": frame["probe"].astype("int64"), "machine": machine, "at": pd.to_datetime(frame["us"].astype("int64"), unit="us"), "weight": frame["units"].astype("float64") / UNIT})
+    def _held(rows: PackedRows, key: list[str]) -> pd.DataFrame | None:
+        held = rows.get()
+        return None if held is None else held.drop_duplicates(key, keep="last")
+
+    @staticmethod
+    def _answers(asked: pd.DataFrame, recent: pd.DataFrame | None, past: pd.DataFrame | None) -> pd.DataFrame:
+        """Of each probe, the units of the entry with the largest seq among its machine's up to its time and the past one."""
+        before = {} if past is None else {m: (seq, units) for m, seq, units in past[["machine", "seq", "units"]].itertuples(index=False, name=None)}
+        times: dict[int, list[int]] = {}
+        newest: dict[int, list[tuple[int, int]]] = {}
+        if recent is not None:
+            of_asked = recent[recent["machine"].isin(asked["machine"])].sort_values("us")
+            for machine, seq, us, units in of_asked[["machine", "seq", "us", "units"]].itertuples(index=False, name=None):
+                entries = newest.setdefault(machine, [])
+                best = entries[-1] if entries else before.get(machine, (-1, 0))
+                entries.append(max(best, (seq, units)))
+                times.setdefault(machine, []).append(us)
+        units = []
+        for machine, us, initial in asked[["machine", "us", "initial"]].itertuples(index=False, name=None):
+            k = bisect_right(times.get(machine, []), us)
+            units.append(newest[machine][k - 1][1] if k else before.get(machine, (-1, initial))[1])
+        return pd.DataFrame({"probe": asked["probe"].to_numpy(), "machine": asked["machine"].to_numpy(), "at": asked["us"].to_numpy().view("datetime64[us]"), "weight": np.array(units, "int64").astype("float64") / UNIT})
 
     def close(self) -> None:
         pass
@@ -81,13 +106,14 @@ def weight_at_stream(operations: DataFrame, probes: DataFrame, machines: DataFra
     Rows may come late within `lateness`, operations of a machine by seq; what is later still is dropped. Start the query under
     `sessions.stateful` settings.
     """
-    none = lambda kind: F.lit(None).cast(kind)
     units = lambda c: (F.col(c).cast(EXACT) * UNIT).cast("bigint")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    entered = operations.select("machine", F.col("ts").cast("timestamp").alias("_at"), us("ts").alias("us"), "seq", "op", units("amount").alias("units"), none("bigint").alias("probe"))
-    asked = probes.select("machine", F.col("at").cast("timestamp").alias("_at"), us("at").alias("us"), none("bigint").alias("seq"), none("string").alias("op"), none("bigint").alias("units"), "probe")
+    no = F.lit(0).cast("bigint")
+    entered = operations.select("machine", F.col("ts").cast("timestamp").alias("_at"), us("ts").alias("us"), "seq", "op", units("amount").alias("units"), no.alias("probe"), F.lit(False).alias("asks"))
+    asked = probes.select("machine", F.col("at").cast("timestamp").alias("_at"), us("at").alias("us"), no.alias("seq"), F.lit("").alias("op"), no.alias("units"), "probe", F.lit(True).alias("asks"))
     both = entered.unionByName(asked).join(machines.select("machine", units("initial").alias("initial")), "machine")
-    return both.withWatermark("_at", lateness).groupBy("machine").transformWithStateInPandas(LevelProcessor(), OUT, "Append", "eventTime")
+    dealt = both.withWatermark("_at", lateness).withColumn("bucket", bucket_of("machine"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(LevelProcessor(), OUT, "Append", "eventTime")
 
 
 def keep_last_stream(metrics: DataFrame, lateness: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from emberline import schemas
@@ -9,6 +10,7 @@ from emberline.sources.metrics import keep_last
 from emberline.sources.scratch import scratch_folder
 from emberline.streaming import levels, run
 from emberline.streaming.sessions import stateful
+from test_sessions import CountedState
 
 T0 = datetime(2024, 1, 1)
 PROBES = "probe bigint, machine bigint, at timestamp_ntz"
@@ -49,3 +51,20 @@ def test_streamed_overwrites_equal_the_batch(spark):
     got = run.drain_updates(levels.keep_last_stream(stream, "60 seconds"), ["topic", "ts"])
     want = keep_last(spark.createDataFrame(rows, schemas.METRICS))
     assert {tuple(r) for r in got.select(want.columns).collect()} == {tuple(r) for r in want.collect()} and got.agg(F.count("*")).first()[0] == want.count()
+
+
+def test_machines_share_accesses_to_the_state():
+    """300 machines with two operations and a probe each: a few accesses to the state for all of them."""
+    state, processor, none = CountedState(), levels.LevelProcessor(), 0
+    processor.init(state)
+    ops = [(m, s * 10**6, 1000 * m + s, op, 10 * s, 5, none, False) for m in range(300) for s, op in ((1, "load"), (7, "load"), (9, "reset"))]
+    asked = [(m, 8 * 10**6, none, "", none, 5, m, True) for m in range(300)] + [(0, 0, none, "", none, 5, 300, True), (0, 10**9, none, "", none, 5, 301, True)]
+    frame = pd.DataFrame(ops + asked, columns=["machine", "us", "seq", "op", "units", "initial", "probe", "asks"])
+    assert list(processor.handleInputRows((0,), iter([frame]), None)) == []
+    state.watermark = 8500
+    made = pd.concat(list(processor.handleExpiredTimer((0,), state, None)))
+    assert dict(zip(made["probe"], made["weight"] * levels.UNIT)) == {**{m: 85.0 for m in range(300)}, 300: 5.0}
+    state.watermark = 2 * 10**6
+    made = pd.concat(list(processor.handleExpiredTimer((0,), state, None)))
+    assert made["probe"].tolist() == [301] and made["weight"].tolist() == [90 / levels.UNIT]
+    assert state.calls <= 60
